@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, packing, substring_dedup
+from . import decontaminate, jaccard_join, packing, secret_scan, substring_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secrets_by_document(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -32,8 +40,8 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_jaccard_join, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op3_decontamination, op5_best_fit_packing, op6_jaccard_join, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_jaccard_join": jaccard_join.SQL, "op9_substring_dedup": substring_dedup.SQL}
+    return {"op1_secret_scan": secret_scan.sql(), "op3_decontamination": decontaminate.SQL, "op6_jaccard_join": jaccard_join.SQL, "op9_substring_dedup": substring_dedup.SQL}
