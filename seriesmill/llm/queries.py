@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, packing, secret_scan, substring_dedup
+from . import decontaminate, jaccard_join, packing, secret_scan, substring_dedup, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,18 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets_by_document(table(spark, sf_dir, "documents"))
 
 
+def op2_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, sf_dir, "pages"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), byte_bpe())
 
@@ -39,9 +48,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.severity(documents, toxicity.train(documents, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op3_decontamination, op5_best_fit_packing, op6_jaccard_join, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_top_inner_products, op3_decontamination, op4_url_filter, op5_best_fit_packing, op6_jaccard_join, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": secret_scan.sql(), "op3_decontamination": decontaminate.SQL, "op6_jaccard_join": jaccard_join.SQL, "op9_substring_dedup": substring_dedup.SQL}
+    return {"op1_secret_scan": secret_scan.sql(), "op2_top_inner_products": topk.SQL, "op3_decontamination": decontaminate.SQL, "op6_jaccard_join": jaccard_join.SQL, "op9_substring_dedup": substring_dedup.SQL}
