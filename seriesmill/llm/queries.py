@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, packing, secret_scan, substring_dedup, topk, toxicity, url_filter
+from . import decontaminate, html_text, jaccard_join, packing, pii, secret_scan, substring_dedup, topk, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
@@ -54,7 +62,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_top_inner_products, op3_decontamination, op4_url_filter, op5_best_fit_packing, op6_jaccard_join, op9_substring_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_top_inner_products, op3_decontamination, op4_url_filter, op5_best_fit_packing, op6_jaccard_join, op7_personal_data, op8_html_text, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
