@@ -1,15 +1,63 @@
-"""A corpus pipeline of training-data operators."""
+"""A corpus pipeline: from documents to packed training sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from seriesmill.llm.decontaminate import contamination
+from seriesmill.llm.filters import without
+from seriesmill.llm.jaccard_join import jaccard_join
+from seriesmill.llm.packing import best_fit_pack
+from seriesmill.llm.queries import byte_bpe, table
+from seriesmill.llm.scratch import written
+from seriesmill.llm.secret_scan import scan
+from seriesmill.llm.toxicity import severity, train
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model does not reject; it is fitted on the labelled ones among them."""
+    judged = severity(docs, train(docs, table(spark, sf_dir, "labels")), keep=True)
+    return judged.where("not toxic").select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest doc_id of each group of near copies."""
+    return without(docs, written(jaccard_join(docs), "classes").where("doc_id <> class_id"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")))
+
+
+def drop_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a secret."""
+    done = scan(docs, ["doc_id"])
+    return without(docs, done.blobs.join(done.findings.select("blob_id").distinct(), "blob_id"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that are left, packed into sequences."""
+    return best_fit_pack(docs, byte_bpe())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard join", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("secret scan", drop_secrets),
+    ("best-fit packing", pack),
+]
+
+#: The toxicity stage is a fitted model, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages one after another, each on all that its predecessor kept, written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage{k}")
     return docs
