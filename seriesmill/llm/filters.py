@@ -1,7 +1,11 @@
-"""Dropping documents by id."""
+"""Dropping documents by id, and a bitmap that spares most rows a shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +13,38 @@ from .scratch import written
 
 #: Broadcast ids up to so many, else shuffle.
 BROADCAST_IDS = 1_000_000
+#: Bits of the bitmap: 8 MB, whatever the number of keys. When it fills up, it only lets more rows pass.
+BITS = 1 << 26
 
 
 def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """documents whose doc_id is not in ids(doc_id); rows without doc_id stay."""
     bad = written(ids.where("doc_id is not null").select("doc_id").distinct(), "dropped")
     return documents.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "doc_id", "left_anti").select(documents.columns)
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """Which values of key (a hash), modulo BITS, occur in keys(key): at most BITS / 64 words come to the driver."""
+    bit = F.pmod("key", F.lit(BITS))
+    words = keys.select((bit / 64).cast("long").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask"))
+    got = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(BITS // 64, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
+    return out
+
+
+def hits(bits: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """For each key whether it may be in the bitmap; never false for one that is."""
+    at = keys.to_numpy(zero_copy_only=False).astype(np.int64) & (BITS - 1)
+    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def maybe_in(rows: DataFrame, bits: np.ndarray) -> DataFrame:
+    """rows(key, ...) of which the key may be in the bitmap."""
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(hits(shared.value, batch.column("key"))))
+
+    return rows.mapInArrow(passed, rows.schema)

@@ -5,13 +5,17 @@ word) where it occurs. As in minimiser-partitioned compaction, a document is rea
 maximal runs of consecutive edges that share one anchor, the `anchor`-word gram of least hash inside
 each of them. Equal k-mers have equal anchors, so k-mers meet inside one anchor's part of the graph.
 
-1. Paths are listed by anchor and coordinates only (one for some 20 words). An aggregate keeps anchors
-   that occur in two documents, and a join keeps their paths: all other k-mers are unique.
-2. Those paths are read again at their source coordinates and get a 128-bit digest of all their words.
-   Equal paths compact to one, with the smallest document that holds it (an aggregate, then a join back).
+1. Every path is listed with its coordinates and a digest of all its k-mers (a path has some 20).
+   An aggregate keeps anchors that occur in two documents, and a join keeps their paths: all other
+   k-mers are unique.
+2. Equal paths compact to one, with the smallest document that holds it (an aggregate, then a join back).
 3. Where an anchor has several different compacted paths (branches, or passages that end), these are
-   opened into single k-mers, which meet in an aggregate and a join on (anchor, k-mer digest).
+   read again at their source coordinates and opened into single k-mers, which meet in an aggregate and
+   a join on (anchor, k-mer digest).
 4. Covered words are mapped back to every coordinate of every path.
+
+Two paths are held to be equal if 64-bit digests of the anchor and of all k-mers agree. Texts are only
+shuffled for documents that a bitmap of fixed size can't rule out.
 """
 
 from __future__ import annotations
@@ -24,12 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .filters import bitmap, hits, maybe_in
 from .scratch import small_text_batches, written
 from .words import U64, Words, column_bytes, mix, split_words
 
-#: Broadcast rows about candidate documents up to so many numbers in them, else shuffle.
-BROADCAST_NUMBERS = 6_000_000
-P1, P2, P3 = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)
+P1, P2 = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
 
 
 def rolling(w: np.ndarray, n: int, p: np.uint64) -> np.ndarray:
@@ -77,75 +80,105 @@ def paths(words: Words, hashes: np.ndarray, window: int, anchor: int) -> tuple[n
     return gram[at[first]], at[first], here[first], np.diff(np.append(first, len(here)))
 
 
+def unit_digests(w: np.ndarray, window: int, place: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(digest of each path, its k-mers' digests one path after another, their ends)."""
+    kmer = rolling(w, window, P2)
+    ends = np.cumsum(n)
+    order = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+    each = kmer[order + np.repeat(start, n)]
+    # The sum of the k-mers' digests, each times an odd number for its place.
+    spot = mix((np.arange(int(n.max()) if len(n) else 0) + 1).astype(U64)) | U64(1)
+    shape = mix((place - start).astype(U64) * P1 + n.astype(U64))
+    total = np.add.reduceat(each * spot[order], ends - n) if len(n) else np.zeros(0, U64)
+    return mix(total ^ shape), each, ends
+
+
+LISTED = "anchor long, unit long, doc_id long, version long, start int, n int"
+
+
 def _lister(window: int, anchor: int):
-    schema = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+    schema = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = split_words(batch.column("text"))
-            a, _, start, n = paths(words, words.hashes(), window, anchor)
+            w = words.hashes()
+            a, place, start, n = paths(words, w, window, anchor)
+            unit = unit_digests(w, window, place, start, n)[0] if len(n) else np.zeros(0, U64)
             doc = np.searchsorted(words.first, start, side="right") - 1
+            take = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), batch.column("version").take(pa.array(doc)), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                [pa.array(a.view(np.int64)), pa.array(unit.view(np.int64)), batch.column("doc_id").take(take), batch.column("version").take(take), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
                 schema=schema,
             )
 
     return listed
 
 
-PATHS = "anchor long, u1 long, u2 long, doc_id long, version long, start int, kmers array<long>"
+OPENED = "anchor long, unit long, low long, kmers array<long>"
 
 
-def _reader(window: int, anchor: int):
-    schema = pa.schema([("anchor", pa.int64()), ("u1", pa.int64()), ("u2", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("kmers", pa.list_(pa.int64()))])
+def _opener(window: int, anchor: int):
+    schema = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("low", pa.int64()), ("kmers", pa.list_(pa.int64()))])
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = split_words(batch.column("text"))
             w = words.hashes()
             a, place, start, n = paths(words, w, window, anchor)
-            if not len(a):
-                continue
             wanted = batch.column("starts")
             sizes = wanted.value_lengths().to_numpy(zero_copy_only=False)
-            asked = np.repeat(words.first[:-1], sizes) + wanted.flatten().to_numpy()
-            pick = np.flatnonzero(np.isin(start, asked))
-            a, place, start, n = a[pick], place[pick], start[pick], n[pick]
+            pick = np.flatnonzero(np.isin(start, np.repeat(words.first[:-1], sizes) + wanted.flatten().to_numpy()))
             if not len(pick):
                 continue
-            kmer = rolling(w, window, P2)
-            ends = np.cumsum(n)
-            each = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(start, n)
-            # A path's digests: the digests of its k-mers, each times an odd number for its place.
-            spot = mix((np.arange(int(n.max())) + 1).astype(U64)) | U64(1)
-            order = np.arange(ends[-1]) - np.repeat(ends - n, n)
-            other = mix(w * P3)
-            shape = mix((place - start).astype(U64) * P1 + n.astype(U64))
-            u1 = mix(np.add.reduceat(kmer[each] * spot[order], ends - n) ^ shape)
-            u2 = mix(np.add.reduceat(rolling(other, window, P3)[each] * spot[order], ends - n) + shape)
+            a, place, start, n = a[pick], place[pick], start[pick], n[pick]
+            unit, each, ends = unit_digests(w, window, place, start, n)
             doc = np.searchsorted(words.first, start, side="right") - 1
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(kmer[each].view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(u1.view(np.int64)), pa.array(u2.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), batch.column("version").take(pa.array(doc)), pa.array((start - words.first[doc]).astype(np.int32)), lists],
-                schema=schema,
-            )
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(each.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(unit.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), lists], schema=schema)
 
-    return read
+    return opened
 
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def _untouched(bits, with_text: bool):
+    """Finishes documents from which nothing can be removed; the others keep their text for the join."""
+    schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column("text"))
+            raw = data.tobytes()
+            open_ = hits(bits.value, batch.column("key")) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+            n, digest, texts = [], [], []
+            for k in range(batch.num_rows):
+                part = raw[offsets[k] : offsets[k + 1]]
+                words = [] if open_[k] else part.split()
+                kept = b" ".join(words)
+                n.append(None if open_[k] else len(words))
+                digest.append(None if open_[k] else hashlib.sha256(kept).hexdigest())
+                texts.append(part.decode() if open_[k] else kept.decode() if with_text else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(texts, pa.string())], schema=schema)
+
+    return finished
+
+
 def _remover(window: int, with_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column_bytes(batch.column("text"))
-            raw = data.tobytes()
             n, gone, digest, texts = [], [], [], []
-            for k, ranges in enumerate(batch.column("ranges").to_pylist()):
-                words = raw[offsets[k] : offsets[k + 1]].split()
+            for count, done, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("n_words", "kept_sha256", "text", "ranges")), strict=True):
+                if done is not None:
+                    n.append(count)
+                    gone.append(0)
+                    digest.append(done)
+                    texts.append(text)
+                    continue
+                words = text.encode().split()
                 n.append(len(words))
                 if ranges:
                     edge = np.zeros(len(words) + 1, np.int64)
@@ -157,8 +190,7 @@ def _remover(window: int, with_text: bool):
                 gone.append(n[-1] - len(words))
                 kept = b" ".join(words)
                 digest.append(hashlib.sha256(kept).hexdigest())
-                if with_text:
-                    texts.append(kept.decode())
+                texts.append(kept.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())] + [pa.array(texts, pa.string())] * with_text, schema=schema)
 
     return removed
@@ -179,34 +211,34 @@ def substring_dedup(documents: DataFrame, window: int = 50, anchor: int = 10, wi
     small_text_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
 
-    listed = written(docs.where("doc_id is not null").mapInArrow(_lister(window, anchor), "anchor long, doc_id long, version long, start int, n int"), "paths")
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "version"))
+    known = docs.where("doc_id is not null")
+    listed = written(known.select("doc_id", "version", "text").mapInArrow(_lister(window, anchor), LISTED), "paths")
     anchors = listed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    wanted = written(listed.join(anchors, "anchor").groupBy("doc_id", "version").agg(F.collect_set("start").alias("starts")), "wanted")
-
-    numbers = wanted.agg(F.sum(F.size("starts") + 4)).first()[0] or 0
-    source = docs.join(F.broadcast(wanted) if numbers <= BROADCAST_NUMBERS else wanted, ["doc_id", "version"])
-    found = written(source.select("doc_id", "version", "text", "starts").mapInArrow(_reader(window, anchor), PATHS), "found")
-
-    unit = ["anchor", "u1", "u2"]
-    compact = written(found.groupBy(*unit).agg(F.min("doc_id").alias("low"), F.first("kmers").alias("kmers")), "compact")
-    branched = compact.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    opened = compact.join(branched, "anchor").select(*unit, "low", F.posexplode("kmers").alias("place", "kmer"))
-    earliest = opened.groupBy("anchor", "kmer").agg(F.min("low").alias("first"))
-    partly = opened.join(earliest, ["anchor", "kmer"]).where("first < low").groupBy(*unit).agg(F.collect_list("place").alias("places"))
-    sources = compact.select(*unit, "low").join(partly, unit, "left")
+    found = written(listed.join(anchors, "anchor"), "found")
+
+    units = written(found.groupBy("anchor", "unit").agg(F.min(F.struct("doc_id", "version", "start")).alias("at")).select("anchor", "unit", "at.*"), "units")
+    branched = units.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    sources = written(units.join(branched, "anchor").groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts")).withColumn("key", F.xxhash64("doc_id", "version")), "sources")
+    texts = maybe_in(known, bitmap(sources.select("key"))).join(sources.drop("key"), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
+    opened = written(texts.select("doc_id", "text", "starts").mapInArrow(_opener(window, anchor), OPENED), "opened")
+    each = opened.select("anchor", "unit", "low", F.posexplode("kmers").alias("place", "kmer"))
+    earliest = each.groupBy("anchor", "kmer").agg(F.min("low").alias("first"))
+    partly = each.join(earliest, ["anchor", "kmer"]).where("first < low").groupBy("anchor", "unit").agg(F.collect_set("place").alias("places"))
+    compact = units.select("anchor", "unit", F.col("doc_id").alias("low")).join(partly, ["anchor", "unit"], "left")
 
     whole = F.array(F.struct(F.col("start"), F.col("n")))
     single = F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), F.lit(1).alias("n")))
     ranges = (
-        found.select(*unit, "doc_id", "version", "start", F.size("kmers").alias("n"))
-        .join(sources, unit)
+        found.join(compact, ["anchor", "unit"])
         .where("doc_id > low or places is not null")
         .select("doc_id", "version", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(single)).alias("r"))
     )
-    removal = written(ranges.groupBy("doc_id", "version").agg(F.collect_set("r").alias("ranges")), "ranges")
-    numbers = removal.agg(F.sum(2 * F.size("ranges") + 4)).first()[0] or 0
-    both = docs.join(F.broadcast(removal) if numbers <= BROADCAST_NUMBERS else removal, ["doc_id", "version"], "left")
-    return both.select("doc_id", "text", "ranges").mapInArrow(_remover(window, with_text), KEPT + (", kept_text string" if with_text else ""))
+    removal = written(ranges.groupBy("doc_id", "version").agg(F.collect_set("r").alias("ranges")).withColumn("key", F.xxhash64("doc_id", "version")), "ranges")
+    bits = spark.sparkContext.broadcast(bitmap(removal.select("key")))
+    first = docs.mapInArrow(_untouched(bits, with_text), "doc_id long, version long, n_words long, kept_sha256 string, text string")
+    both = first.join(removal.drop("key"), ["doc_id", "version"], "left")
+    return both.select("doc_id", "n_words", "kept_sha256", "text", "ranges").mapInArrow(_remover(window, with_text), KEPT + (", kept_text string" if with_text else ""))
 
 
 SQL = r"""
