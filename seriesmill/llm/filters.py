@@ -35,7 +35,7 @@ def bitmap(keys: DataFrame) -> np.ndarray:
 
 def hits(bits: np.ndarray, keys: pa.Array) -> np.ndarray:
     """For each key whether it may be in the bitmap; never false for one that is."""
-    at = keys.to_numpy(zero_copy_only=False).astype(np.int64) & (BITS - 1)
+    at = keys.to_numpy(zero_copy_only=False).astype(np.int64) & (64 * len(bits) - 1)
     return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 

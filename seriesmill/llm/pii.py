@@ -266,9 +266,9 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
     if not hits:
         return []
     out = []
-    done = 0
-    for h in hits:
-        if h < done:
+    done = covered = 0  # the end of the last entity, and of the last trigger that was read with what follows it
+    for n, h in enumerate(hits):
+        if h < covered:
             continue
         low = max(done, h)
         for _ in range(AROUND):  # the token of the trigger and some before it
@@ -276,7 +276,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
             low = p + 1 if p >= done else done
             if low == done:
                 break
-        spots, after = [], 0
+        spots, after, due = [], 0, n
         for m in TOKEN.finditer(text, low):
             if len(spots) == LATTICE or after > AROUND or (spots and "\n" in text[spots[-1][1] : m.start()]):
                 break
@@ -286,8 +286,13 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
                 spots, after = [], 0
                 continue
             spots.append((m.start(), m.end()))
-            after = 0 if m.start() <= h or TRIGGER.search(m[0]) else after + 1
-        done = max(h + 1, spots[-1][1] if spots else h + 1)
+            triggers = False
+            while due < len(hits) and hits[due] < m.end():
+                triggers, due = True, due + 1
+            after = 0 if triggers or m.start() <= h else after + 1
+            if triggers:
+                covered = m.end()
+        covered = max(covered, h + 1)
         tokens = [text[a:b] for a, b in spots]
         for a, b, kind in field.best(tokens) if tokens else []:
             start, end = spots[a][0], spots[b - 1][1]
@@ -297,6 +302,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
                 start += 1
             if start < end and all(end <= x or start >= y for x, y in taken):
                 out.append((kind, start, end))
+                done = max(done, end)
     return out
 
 
