@@ -55,6 +55,12 @@ def block_meta(samples: DataFrame, duration: int = TWO_HOURS, chunk: int = 240)
     )
 
 
+def meta_json(meta: DataFrame) -> DataFrame:
+    """(block_start, json): a description of each block, as block_meta gives it."""
+    stats = F.struct(F.col("num_samples").alias("numSamples"), F.col("num_series").alias("numSeries"), F.col("num_chunks").alias("numChunks"))
+    return meta.select("block_start", F.to_json(F.struct(F.col("min_time").alias("minTime"), F.col("max_time").alias("maxTime"), stats.alias("stats"), F.lit(1).alias("version"))).alias("json"))
+
+
 def outdated(now_ms: int, max_ts: Column, retention_ms: int) -> Column:
     """Whether a head is so old that it is discarded unwritten."""
     return F.lit(now_ms) - max_ts > retention_ms

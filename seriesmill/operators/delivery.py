@@ -61,6 +61,30 @@ def ack_status(acked: DataFrame) -> DataFrame:
     return acked.groupBy("shard").agg(F.when(has, F.min("last_segment")).alias("acked_by_all"))
 
 
+def acked_segments(segments: DataFrame, acked: DataFrame) -> DataFrame:
+    """segments(shard, segment) with `acked`: whether every destination has acknowledged it or a later one."""
+    per = acked.groupBy("shard").agg(F.min(F.coalesce("last_segment", F.lit(-1))).alias("least"))
+    return segments.join(per, "shard", "left").select("shard", "segment", F.coalesce(F.col("least") >= F.col("segment"), F.lit(True)).alias("acked"))
+
+
+def refill_due(exchange: DataFrame, now_ms: int) -> DataFrame:
+    """(shard, segment) of exchange(shard, segment, resolved, rejected, expires_ms) that go to the refill table.
+
+    Segments that are there and were rejected or have expired; once a shard has a rejected segment, all of
+    its segments go.
+    """
+    shards = exchange.groupBy("shard").agg(F.bool_or("rejected").alias("any_rejected"))
+    due = F.col("rejected") | (F.col("expires_ms") < now_ms) | F.col("any_rejected")
+    return exchange.where("resolved").join(shards, "shard").where(due).select("shard", "segment")
+
+
+def segment_state(segments: DataFrame, heads: DataFrame) -> DataFrame:
+    """segments(head, segment) as ready, out of range or wait, by heads(head, status, last_appended)."""
+    ready = F.coalesce(F.col("last_appended") >= F.col("segment"), F.lit(False))
+    state = F.when(ready, "ready").when(~F.col("status").isin("new", "active"), "out of range").otherwise("wait")
+    return segments.join(heads, "head").select("head", "segment", state.alias("state"))
+
+
 def promise_status(statuses: DataFrame) -> DataFrame:
     """(segment, done, delivered) of statuses(segment, shard, status: ack, refill or null): delivered only if each shard acknowledged."""
     return statuses.groupBy("segment").agg(F.bool_and(F.col("status").isNotNull()).alias("done"), F.bool_and(F.coalesce(F.col("status") == "ack", F.lit(False))).alias("delivered"))

@@ -39,6 +39,11 @@ def block_meta(spark: SparkSession, d: str) -> DataFrame:
     return blocks.block_meta(_events(spark, d), _DAY, 3)
 
 
+@query(f"WITH {EVENTS}, per AS (SELECT (ts_ms // {_DAY}) * {_DAY} AS block_start, ls_key, count(*) AS n, min(ts_ms) AS low, max(ts_ms) AS high FROM ev GROUP BY 1, 2) SELECT block_start, '{{\"minTime\":' || min(low) || ',\"maxTime\":' || (max(high) + 1) || ',\"stats\":{{\"numSamples\":' || sum(n)::BIGINT || ',\"numSeries\":' || count(*) || ',\"numChunks\":' || sum(ceil(n / 240.0))::BIGINT || '}},\"version\":1}}' AS json FROM per GROUP BY 1")
+def block_meta_json(spark: SparkSession, d: str) -> DataFrame:
+    return blocks.meta_json(blocks.block_meta(_events(spark, d), _DAY))
+
+
 @query(f"WITH {EVENTS}, r AS (SELECT ls_key, ts_ms, (row_number() OVER (PARTITION BY ls_key ORDER BY ts_ms) - 1) // 5 AS chunk, count(*) OVER (PARTITION BY ls_key) AS total FROM ev) SELECT ls_key, chunk, min(ts_ms) AS min_ts, max(ts_ms) AS max_ts, count(*) AS samples, chunk < (max(total) - 1) // 5 AS has_more FROM r GROUP BY ls_key, chunk")
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     return _keyed(spark, d, blocks.chunk_stats(_events(spark, d), 5))
@@ -178,6 +183,26 @@ def ack_status(spark: SparkSession, d: str) -> DataFrame:
     return delivery.ack_status(_acks(spark, d)[0])
 
 
+@query(f"WITH {ACKS}, low AS (SELECT shard, min(coalesce(last_segment, -1)) AS least FROM acked GROUP BY shard) SELECT DISTINCT shard, segment, segment <= least AS acked FROM o JOIN low USING (shard)")
+def acked_segments(spark: SparkSession, d: str) -> DataFrame:
+    segments = bridge.table(spark, d, "orders").select((F.col("o_orderkey") % 4).alias("shard"), F.floor(F.col("o_orderkey") / 4).cast("long").alias("segment")).distinct()
+    return delivery.acked_segments(segments, _acks(spark, d)[0])
+
+
+@query("WITH e AS (SELECT o_orderkey % 512 AS shard, o_orderkey // 512 AS segment, o_orderstatus <> 'O' AS resolved, o_custkey % 97 = 0 AS rejected, epoch_us(o_orderdate) // 1000 AS expires FROM orders) SELECT shard, segment FROM e WHERE resolved AND (rejected OR expires < 800000000000 OR shard IN (SELECT shard FROM e WHERE rejected))")
+def refill_due(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = bridge.table(spark, d, "orders").select((k % 512).alias("shard"), F.floor(k / 512).cast("long").alias("segment"), (F.col("o_orderstatus") != "O").alias("resolved"), (F.col("o_custkey") % 97 == 0).alias("rejected"), bridge.millis("o_orderdate").alias("expires_ms"))
+    return delivery.refill_due(rows, 800_000_000_000)
+
+
+@query("WITH h AS (SELECT c_custkey AS head, ['new', 'rotated', 'active', 'persisted'][c_custkey % 4 + 1] AS status, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 40 END AS last_appended FROM customer) SELECT o_custkey AS head, o_orderkey % 50 AS segment, CASE WHEN last_appended >= o_orderkey % 50 THEN 'ready' WHEN status IN ('rotated', 'persisted') THEN 'out of range' ELSE 'wait' END AS state FROM orders JOIN h ON h.head = o_custkey")
+def segment_state(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey")
+    heads = bridge.table(spark, d, "customer").select(c.alias("head"), F.get(F.array(*map(F.lit, ("new", "rotated", "active", "persisted"))), (c % 4).cast("int")).alias("status"), F.when(c % 5 > 0, c % 40).alias("last_appended"))
+    return delivery.segment_state(bridge.table(spark, d, "orders").select(F.col("o_custkey").alias("head"), (F.col("o_orderkey") % 50).alias("segment")), heads)
+
+
 @query("WITH s AS (SELECT o_orderkey // 4 AS segment, o_orderkey % 4 AS shard, CASE o_orderstatus WHEN 'F' THEN 'ack' WHEN 'O' THEN 'refill' WHEN 'P' THEN CASE WHEN o_custkey % 2 = 0 THEN 'ack' END END AS status FROM orders) SELECT segment, bool_and(status IS NOT NULL) AS done, bool_and(coalesce(status = 'ack', false)) AS delivered FROM s GROUP BY segment")
 def promise_status(spark: SparkSession, d: str) -> DataFrame:
     status: Column = F.when(F.col("o_orderstatus") == "F", "ack").when(F.col("o_orderstatus") == "O", "refill").when((F.col("o_orderstatus") == "P") & (F.col("o_custkey") % 2 == 0), "ack")
