@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from seriesmill import plans
@@ -22,9 +24,17 @@ def duck():
     return c
 
 
+def plain(x):
+    if pd.isna(x):
+        return None
+    if isinstance(x, bool | np.bool_):
+        return bool(x)
+    return round(float(x), 6) if isinstance(x, float | int | np.number) else x
+
+
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    return sorted(tuple("NULL" if x is None or x != x else round(x, 6) if isinstance(x, float) else x for x in r) for r in map(tuple, frame.astype(object).values.tolist()))
+    return sorted((tuple(map(plain, r)) for r in frame.astype(object).values.tolist()), key=repr)
 
 
 @pytest.mark.parametrize("name", sorted(plans.QUERIES))
