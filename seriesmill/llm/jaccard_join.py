@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .groups import consecutive
-from .scratch import small_text_batches, written
+from .scratch import small_text_batches, split_hot_keys, written
 from .words import mix, shingle_sets
 
 #: Broadcast group membership (some 24 bytes a row) up to this many documents, else shuffle.
@@ -35,9 +35,9 @@ CELLS = 8_000_000
 class Forest:
     words: int = 5
     threshold: float = 0.8
-    trees: int = 40
+    trees: int = 64
     depth: int = 10
-    recall: float = 0.9999
+    recall: float = 0.999999
 
     def prefix(self) -> int:
         """The longest prefix at which a pair at the threshold is a candidate with the target recall."""
@@ -151,6 +151,7 @@ def jaccard_join(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """
     spark = documents.sparkSession
     small_text_batches(spark)
+    split_hot_keys(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(_signer(forest), SIGNATURES), "signatures")
     known = signed.where("doc_id is not null and set_id is not null")

@@ -40,3 +40,8 @@ def small_text_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > TEXT_ROWS_PER_BATCH:
         spark.conf.set(key, str(TEXT_ROWS_PER_BATCH))
+
+
+def split_hot_keys(spark: SparkSession) -> None:
+    """Lets adaptive execution split a hot key of a join even where that costs another shuffle."""
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
