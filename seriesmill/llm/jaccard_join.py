@@ -169,7 +169,7 @@ def jaccard_join(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
     few = members.count() <= BROADCAST_ROWS
 
     source = docs.where("doc_id is not null").join(F.broadcast(members) if few else members, docs.doc_id == members.id)
-    if not few or signed.count() != signed.select("doc_id").distinct().count():
+    if known.count() != known.select("doc_id").distinct().count():  # a repeated row must not count as a partner
         source = source.dropDuplicates(["id", "text"])
     pairs = (
         source.select("id", "comp", "copies", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
