@@ -215,11 +215,11 @@ def substring_dedup(documents: DataFrame, window: int = 50, anchor: int = 10, wi
     docs = docs.withColumn("key", F.xxhash64("doc_id", "version"))
     known = docs.where("doc_id is not null")
     listed = written(known.select("doc_id", "version", "text").mapInArrow(_lister(window, anchor), LISTED), "paths")
-    anchors = listed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
+    anchors = written(listed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
     found = written(listed.join(anchors, "anchor"), "found")
 
     units = written(found.groupBy("anchor", "unit").agg(F.min(F.struct("doc_id", "version", "start")).alias("at")).select("anchor", "unit", "at.*"), "units")
-    branched = units.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    branched = written(units.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "branched")
     sources = written(units.join(branched, "anchor").groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts")).withColumn("key", F.xxhash64("doc_id", "version")), "sources")
     texts = maybe_in(known, bitmap(sources.select("key"))).join(sources.drop("key"), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
     opened = written(texts.select("doc_id", "text", "starts").mapInArrow(_opener(window, anchor), OPENED), "opened")
