@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .css import Cascade, applies
 from .scratch import small_text_batches
 
 #: Columns of a table are padded up to this width; longer cells run on.
@@ -49,9 +50,7 @@ IMPLIED = {
 }
 TAG = re.compile(r"<(?:!--(?:>|->|(?P<comment>.*?)(?:--!?>|$))|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<end>>|$)|(?P<bogus>[!?/][^>]*(?:>|$)))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-CSS_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 BLANKS = re.compile(r"[ \t\n\f\r]+")
-NONE, HIDDEN, SHOWN = re.compile(r"display\s*:\s*none", re.I), re.compile(r"visibility\s*:\s*(?:hidden|collapse)", re.I), re.compile(r"visibility\s*:\s*visible", re.I)
 
 
 class Canvas:
@@ -186,15 +185,19 @@ class Node:
     indent: bool = False
     number: int = 0
     cell: tuple[int, Canvas] | None = None
+    attributes: dict[str, str] = field(default_factory=dict)
 
 
 class Page:
-    def __init__(self) -> None:
+    def __init__(self, css: Cascade | None = None) -> None:
         self.canvases = [Canvas()]
         self.tables: list[Table] = []
         self.stack = [Node("#root", True, True, False)]
         self.scopes: list[Counter] = [Counter()]
-        self.css: list[tuple[str, str, str, bool]] = []  # tag, class, id, whether display (else visibility)
+        self.css = css or Cascade()
+        self.styled = css is not None  # whether all stylesheets are in already
+        self.drawn = False  # whether an element that may show text was opened
+        self.late = False  # whether one came after elements of the body
 
     # Tree builder
 
@@ -266,36 +269,34 @@ class Page:
         parent = self.stack[-1]
         node = Node(name, parent.seen and name not in UNSEEN, parent.visible, parent.pre or name in ("pre", "listing", "xmp", "textarea", "plaintext"))
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(rest)} if rest and not rest.isspace() else {}
-        style = attributes.get("style", "")
-        if "hidden" in attributes or NONE.search(style) or (name == "dialog" and "open" not in attributes) or (name == "input"):
+        node.attributes = attributes
+        switched = self.css.switched(self.stack, name, attributes) if node.seen and (self.css.rules or "style" in attributes) else {}
+        display, visibility = switched.get("display", "revert"), switched.get("visibility", "inherit")
+        if display == "none" or name == "input":
+            node.seen = False
+        elif display in ("revert", "revert-layer") and ("hidden" in attributes or (name == "dialog" and "open" not in attributes)):
             node.seen = False
         if parent.name == "details" and name != "summary" and parent.number == 1:
             node.seen = False
-        if self.css:
-            classes = attributes.get("class", "").split()
-            for tag, kind, ident, display in self.css:
-                if tag in ("", name) and (not kind or kind in classes) and (not ident or ident == attributes.get("id")):
-                    if display:
-                        node.seen = False
-                    else:
-                        node.visible = False
-        if HIDDEN.search(style):
+        if visibility in ("hidden", "collapse"):
             node.visible = False
-        elif SHOWN.search(style):
+        elif visibility in ("visible", "initial"):
             node.visible = True
         if node.seen:
+            self.drawn = self.drawn or name not in ("html", "body")
             self._opened(node, attributes)
         return node
 
     def stylesheet(self, text: str) -> None:
-        """Rules of single tags, classes and ids that hide; others don't count."""
-        for selectors, body in CSS_RULE.findall(re.sub(r"/\*.*?\*/", "", text, flags=re.S)):
-            display = bool(NONE.search(body))
-            if display or HIDDEN.search(body):
-                for s in selectors.split(","):
-                    if m := re.fullmatch(r"\s*([A-Za-z][\w-]*)?(?:\.([\w-]+))?(?:#([\w-]+))?\s*", s):
-                        if any(m.groups()):
-                            self.css.append(((m[1] or "").lower(), m[2] or "", m[3] or "", display))
+        """Text of the style element that is open."""
+        attributes = self.stack[-1].attributes
+        if self.styled or not applies(attributes.get("media", "")) or attributes.get("type", "").strip().lower() not in ("", "text/css"):
+            return
+        if any(n.name in ("noscript", "template") for n in self.stack):
+            return
+        before = self.css.order
+        self.css.read(text)
+        self.late = self.late or (self.css.order > before and not any(n.name == "head" for n in self.stack[:4]) and self.drawn)
 
     # Renderer
 
@@ -399,7 +400,14 @@ def visible_text(html: str | None) -> str:
     """The text that a browser would show, laid out with blank lines, bullets and columns."""
     if not html:
         return ""
-    page, at, n = Page(), 0, len(html)
+    page = _read(html, Page())
+    if page.late:  # rules reach elements before them, too
+        page = _read(html, Page(page.css))
+    return page.finish()
+
+
+def _read(html: str, page: Page) -> Page:
+    at, n = 0, len(html)
     while at < n:
         low = html.find("<", at)
         if low < 0:
@@ -435,7 +443,7 @@ def visible_text(html: str | None) -> str:
                 page.close(name)
         elif name == "pre" and html.startswith("\n", at):
             at += 1
-    return page.finish()
+    return page
 
 
 def extract(pages: DataFrame) -> DataFrame:

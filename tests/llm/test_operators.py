@@ -545,6 +545,41 @@ def test_visible_text(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("css", "body", "text"),
+    [
+        ("@media print{.a{display:none}}", "<p class=a>x", "x"),
+        ("@media (max-width:600px){.a{display:none}}", "<p class=a>x", "x"),
+        ("@media (width <= 600px){.a{display:none}} @media not print{#b{display:none}}", "<p class=a>x<p id=b>y", "x"),
+        ("@media screen and (min-width:600px){.a{display:none}}", "<p class=a>x<p>y", "y"),
+        ("@media (min-width:40em) and (not (hover:none)), print{.a{display:none}}", "<p class=a>x<p>y", "y"),
+        ("@supports (display:grid){@media screen{.a{display:none}}} @keyframes k{from{display:none}}", "<p class=a>x<p>y", "y"),
+        (".a{display:none} .a{display:block}", "<p class=a>x", "x"),
+        (".a{display:block} .a{display:none}", "<p class=a>x<p>y", "y"),
+        ("#i{display:block} .a{display:none} p{display:none}", "<p class=a id=i>x<p>y", "x"),
+        (".a{display:none!important} #i{display:block}", "<p class=a id=i style='display:block'>x<p>y", "y"),
+        (".hidden{display:none} @media(min-width:768px){.md\\:block{display:block}}", "<p class='hidden md:block'>x", "x"),
+        (".a{display:none; @media (min-width:768px){display:block}}", "<p class=a>x", "x"),
+        (".a .b{display:none} .c > .b{display:block}", "<div class=a><p class=b>x<div class=c><p class=b>y</div></div>", "y"),
+        (".a > .c .b{display:none}", "<div class=a><div class=c><div class=c><p class=b>x</div></div></div>y", "y"),
+        (".a:hover{display:none} .a::before{display:none} a:not(.k){display:none}", "<p class=a>x <a>y</a><a class=k>z</a>", "x z"),
+        (".a{visibility:hidden} .b{visibility:visible}", "<div class=a>x<b class=b>y</b></div>", "y"),
+        (".a{display:none}", "<p class=a style='display:block'>x", "x"),
+        ("[hidden].a{display:block}", "<p class=a hidden>x", "x"),
+        ("@layer p, q; @layer q{.a{display:block}} @layer p{.a{display:none}}", "<p class=a>x", "x"),
+        ("p{content:'}.a{display:none}'} /* .a{display:none} */", "<p class=a>x", "x"),
+    ],
+)
+def test_stylesheets_cascade(css, body, text):
+    assert html_text.visible_text(f"<style>{css}</style>{body}") == text
+
+
+def test_stylesheets_of_other_media_and_places():
+    hide = ".a{display:none}"
+    assert html_text.visible_text(f"<style media=print>{hide}</style><noscript><style>{hide}</style></noscript><p class=a>x") == "x"
+    assert html_text.visible_text(f"<p class=a>x</p><p>y</p><style>{hide}</style>") == "y"
+
+
 def test_visible_text_is_whole_and_safe():
     r = random.Random(7)
     parts = ["<p>", "</p>", "<div>", "</div>", "<table>", "<tr>", "<td colspan=2>", "</table>", "<li>", "<ul>", "</ul>", "<b>", "</i>", "<pre>", "<q>", "</tr>", "<dl>", "<dd>", "<caption>", "<br>", "word ", "&lt;", "<"]
