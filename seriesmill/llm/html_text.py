@@ -48,8 +48,12 @@ IMPLIED = {
     "thead": (("tbody", "thead", "tfoot", "caption", "colgroup"), {"table"}),
     "tfoot": (("tbody", "thead", "tfoot", "caption", "colgroup"), {"table"}),
 }
-TAG = re.compile(r"<(?:!--(?:>|->|(?P<comment>.*?)(?:--!?>|$))|(?P<close>/)?(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<end>>|$)|(?P<bogus>[!?/][^>]*(?:>|$)))", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Attributes as in the HTML tokenizer: a quote opens a value only after =, other values run to a blank or >.
+#: Possessive, so that a tag is read in one go whatever its quotes.
+VALUE = r"(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)|(?=>|\Z))"
+ATTRIBUTE = re.compile(rf"(=[^ \t\n\f\r/>=]*+|[^ \t\n\f\r/>=]++)(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+{VALUE})?+")
+REST = ATTRIBUTE.pattern.replace("(\"", "(?:\"").replace("([^", "(?:[^").replace("(=", "(?:=", 1)
+TAG = re.compile(rf"<(?:!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|(?P<close>/)?(?P<name>[A-Za-z][^ \t\n\f\r/>]*+)(?P<rest>(?:[ \t\n\f\r/]++|{REST})*+)(?P<end>>|\Z)|(?P<bogus>[!?/][^>]*(?:>|\Z)))", re.S)
 BLANKS = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -268,7 +272,7 @@ class Page:
     def _node(self, name: str, rest: str) -> Node:
         parent = self.stack[-1]
         node = Node(name, parent.seen and name not in UNSEEN, parent.visible, parent.pre or name in ("pre", "listing", "xmp", "textarea", "plaintext"))
-        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(rest)} if rest and not rest.isspace() else {}
+        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in reversed(ATTRIBUTE.findall(rest))} if rest and not rest.isspace() else {}
         node.attributes = attributes
         switched = self.css.switched(self.stack, name, attributes) if node.seen and (self.css.rules or "style" in attributes) else {}
         display, visibility = switched.get("display", "revert"), switched.get("visibility", "inherit")

@@ -580,6 +580,28 @@ def test_stylesheets_of_other_media_and_places():
     assert html_text.visible_text(f"<p class=a>x</p><p>y</p><style>{hide}</style>") == "y"
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<a title=it's>first</a> text that's here <b>bold", "first text that's here bold"),
+        ("<p class=foo\">Hello world</p>", "Hello world"),
+        ("<p title='a > b' id = \"x>y\">z", "z"),
+        ("<p '>x</p> it's", "x\n\nit's"),
+        ("<p a=\"b\"c='d'e>x<p =a>y<p a=>z", "x\n\ny\n\nz"),
+        ("<style>.k{display:none}</style><a href=/p/?q='k' class=k>no</a><a href=x/>y</a>", "y"),
+        ("<p class=k hidden=\"\">no<p>x<b title='never closed>y</b>", "x"),
+        ("<br/>x<img alt=\"1 > 0\"/>y</p title=\">\">z", "\nxy\n\nz"),
+    ],
+)
+def test_tags_end_as_in_the_tokenizer(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_quotes_in_tags_take_linear_time():
+    for part in ("<a b=\"", "<a b='c' ", "<a '\" = ", "<a \"", "<a/=\"/"):
+        html_text.visible_text(part * 30_000)
+
+
 def test_visible_text_is_whole_and_safe():
     r = random.Random(7)
     parts = ["<p>", "</p>", "<div>", "</div>", "<table>", "<tr>", "<td colspan=2>", "</table>", "<li>", "<ul>", "</ul>", "<b>", "</i>", "<pre>", "<q>", "</tr>", "<dl>", "<dd>", "<caption>", "<br>", "word ", "&lt;", "<"]
