@@ -26,13 +26,22 @@ PAD = 60
 # Element groups of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist select".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist".split())
+#: Within svg only text elements show their text; these never do. In math, notes on the formula.
+FOREIGN_UNSEEN = {
+    "svg": frozenset("title desc defs metadata symbol clippath mask marker pattern lineargradient radialgradient filter script style".split()),
+    "math": frozenset("annotation annotation-xml script style".split()),
+}
+#: Where html starts again inside of svg and math, and tags that end svg and math elsewhere.
+INTEGRATION = {"svg": frozenset(("foreignobject", "desc", "title")), "math": frozenset("mi mo mn ms mtext annotation-xml".split())}
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 BLOCKS = {
     **dict.fromkeys("address article aside body center dd details dialog dir div dl dt fieldset figcaption figure footer form header hgroup html legend li main menu nav ol optgroup option search section summary ul".split(), 0),
     **dict.fromkeys("blockquote h1 h2 h3 h4 h5 h6 hr listing p plaintext pre table xmp".split(), 1),
 }
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li dd dt main menu nav ol p pre search section table ul".split())
-BOUNDARY = frozenset("table td th caption button html template object marquee applet".split())
+BOUNDARY = frozenset("table td th caption button html template object marquee applet foreignobject select".split())
+TABLED = frozenset("table caption tbody tfoot thead tr td th".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An opening tag closes these, up to the nearest of the second set.
 IMPLIED = {
@@ -190,6 +199,10 @@ class Node:
     number: int = 0
     cell: tuple[int, Canvas] | None = None
     attributes: dict[str, str] = field(default_factory=dict)
+    foreign: str = ""  # svg or math
+    label: bool = False  # whether text shows inside of svg
+    picks: list[tuple[bool, bool, str]] | None = None  # a drop-down's options: whether selected, whether disabled, text
+    option: Canvas | None = None
 
 
 class Page:
@@ -228,6 +241,13 @@ class Page:
     def open(self, name: str, rest: str) -> None:
         if name in ("html", "body") and any(n.name == name for n in self.stack[:4]):
             return
+        if self.scopes[-1]["select"] > 0 and (name in ("select", "input", "textarea") or (name in TABLED and self.tables)):
+            self._pop_to("select")
+            if name == "select":
+                return
+        if name in BREAKOUT and self.stack[-1].foreign and self.stack[-1].name not in INTEGRATION[self.stack[-1].foreign]:
+            while self.stack[-1].foreign and self.stack[-1].name not in INTEGRATION[self.stack[-1].foreign]:
+                self._pop()
         if self.stack[-1].name == "head" and name not in ("title", "style", "script", "meta", "link", "base", "template", "noscript"):
             self._pop()
         if name in CLOSES_P and self.scopes[-1]["p"] > 0:
@@ -248,8 +268,9 @@ class Page:
         node = self._node(name, rest)
         if name in VOID:
             self._void(node)
-        elif rest.endswith("/") and any(n.name in ("svg", "math") for n in self.stack[-8:]):
-            pass
+        elif node.foreign and rest.endswith("/") and ATTRIBUTE.sub("", rest).endswith("/"):
+            if node.seen and node.option is None:
+                self._closed(node)
         else:
             self._push(node)
 
@@ -267,6 +288,17 @@ class Page:
         elif name in ("div", "ul", "ol", "article", "section", "main", "nav", "aside", "header", "footer", "form", "body") and self.stack[-1].name not in BOUNDARY:
             pass  # its opening tag is outside of a cell or missing
 
+    def _select(self) -> Node | None:
+        """The select that is open in this cell, button or page."""
+        if self.scopes[-1]["select"] <= 0:
+            return None
+        for node in reversed(self.stack):
+            if node.name == "select":
+                return node
+            if node.name in BOUNDARY:
+                return None
+        return None
+
     # Visibility
 
     def _node(self, name: str, rest: str) -> Node:
@@ -274,8 +306,18 @@ class Page:
         node = Node(name, parent.seen and name not in UNSEEN, parent.visible, parent.pre or name in ("pre", "listing", "xmp", "textarea", "plaintext"))
         attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in reversed(ATTRIBUTE.findall(rest))} if rest and not rest.isspace() else {}
         node.attributes = attributes
+        within = "" if parent.foreign and parent.name in INTEGRATION[parent.foreign] else parent.foreign
+        node.foreign = name if name in ("svg", "math") else within
+        if node.foreign:
+            node.seen = node.seen and name not in FOREIGN_UNSEEN[node.foreign]
+            node.label = node.foreign == "svg" and name != "svg" and (parent.label or name in ("text", "foreignobject"))
+            if name == "mphantom":
+                node.visible = False
         switched = self.css.switched(self.stack, name, attributes) if node.seen and (self.css.rules or "style" in attributes) else {}
-        display, visibility = switched.get("display", "revert"), switched.get("visibility", "inherit")
+        hint = attributes if node.foreign == "svg" else {}
+        display, visibility = switched.get("display", hint.get("display", "revert")), switched.get("visibility", hint.get("visibility", "inherit"))
+        if name in ("option", "optgroup") and (owner := self._select()) is not None and owner.picks is not None:
+            display, visibility = "inline", "inherit"  # a drop-down shows its choice even if that is hidden in the list
         if display == "none" or name == "input":
             node.seen = False
         elif display in ("revert", "revert-layer") and ("hidden" in attributes or (name == "dialog" and "open" not in attributes)):
@@ -345,6 +387,20 @@ class Page:
         elif name == "q":
             if node.visible:
                 canvas.words('"')
+        elif name == "select":
+            canvas.words(" ")
+            if "multiple" not in attributes and number("size", 1, 99_999) == 1:
+                node.picks = []
+        elif name in ("option", "optgroup") and (owner := self._select()) is not None and owner.picks is not None:
+            if name == "option":
+                node.option = Canvas()
+                self.canvases.append(node.option)
+        elif name == "optgroup" and attributes.get("label") and node.visible:
+            canvas.block(0)
+            canvas.words(unescape(attributes["label"]))
+            canvas.block(0)
+        elif name in ("mtr", "mlabeledtr", "mtd") or (node.label and (name == "text" or (name == "tspan" and attributes.keys() & {"x", "y", "dy"}))):
+            canvas.words(" ")
         elif name in BLOCKS:
             node.margin = BLOCKS[name]
             canvas.block(node.margin)
@@ -356,7 +412,22 @@ class Page:
             self.canvases.pop()
             self.tables[-1].rows[-1].append((node.cell[0], node.cell[1].done()))
             return
+        if node.option is not None:
+            self.canvases.pop()
+            owner = self._select()
+            text = unescape(node.attributes.get("label", "")) or " ".join(filter(None, node.option.done()))
+            disabled = "disabled" in node.attributes or any(n.name == "optgroup" and "disabled" in n.attributes for n in self.stack[-1:])
+            if owner is not None and owner.picks is not None:
+                owner.picks.append(("selected" in node.attributes, disabled, text))
+            return
         canvas = self.canvases[-1]
+        if node.picks is not None:
+            chosen = [t for selected, _, t in node.picks if selected][-1:] or [t for _, disabled, t in node.picks if not disabled][:1]
+            if chosen and node.visible:
+                canvas.words(chosen[0])
+            canvas.words(" ")
+        elif node.name == "select" or (node.label and node.name == "text"):
+            canvas.words(" ")
         if node.name == "table" and self.tables:
             table = self.tables.pop()
             canvas.whole(table.laid_out(), 1)
@@ -387,6 +458,8 @@ class Page:
             node = self.stack[-1]
         if node.name == "details" and node.number == 1:
             return
+        if (node.foreign == "svg" and not node.label) or node.picks is not None:
+            return
         if node.seen and node.visible:
             text = unescape(text) if "&" in text else text
             if node.pre:

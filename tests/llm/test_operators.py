@@ -602,6 +602,36 @@ def test_quotes_in_tags_take_linear_time():
         html_text.visible_text(part * 30_000)
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("a <svg viewBox='0 0 9 9'><title>no</title><desc>no</desc><defs><text>no</text></defs><path d=M0/> stray <text>Sales <tspan>2020</tspan></text><text x=1>Costs</text></svg> b", "a Sales 2020 Costs b"),
+        ("<svg><g><text/><text>x</text><g display=none><text>no</text></g></g><foreignObject><p>html</p></foreignObject></svg>", "x\n\nhtml"),
+        ("<svg><path d=x><p>after an open svg</p>", "after an open svg"),
+        ("<p>so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn><mphantom><mi>y</mi></mphantom></mrow><annotation>no</annotation></semantics></math> holds", "so x=2 holds"),
+        ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr></mtable></math>", "1 2"),
+        ("Size:<select><option>S<option selected>M<option>L</select>now", "Size: M now"),
+        ("<select><option disabled>Choose<optgroup label=g><option>one<option>two</optgroup></select>", "one"),
+        ("<select><option selected hidden>Choose<option>one</select>", "Choose"),
+        ("<select><option label='as label'>text</select>", "as label"),
+        ("<select multiple><optgroup label=g><option>one<option>two</select>", "g\none\ntwo"),
+        ("<select><option>one<input>after", "one after"),
+        ("<table><tr><td><select><option>one<option>two</td><td>x</table>", "one  x"),
+        ("<table><tr><td><select><option>one<option>two<tr><td>x</table>", "one\nx"),
+        ("<select><option>a<option>b</select><select><option>c</select>d", "a c d"),
+    ],
+)
+def test_vector_text_formulas_and_choices(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_foreign_and_select_fragments_are_safe():
+    r = random.Random(8)
+    parts = ["<svg>", "</svg>", "<text>", "</text>", "<foreignObject>", "</foreignObject>", "<math>", "</math>", "<mi>", "<select>", "</select>", "<option>", "<optgroup>", "<option selected>", "<table>", "<td>", "</table>", "<p>", "<g/>", "<input>", "<li>", "word ", "<button>"]
+    for _ in range(3000):
+        assert html_text.visible_text("".join(r.choices(parts, k=40)) + "</select></svg>") is not None
+
+
 def test_visible_text_is_whole_and_safe():
     r = random.Random(7)
     parts = ["<p>", "</p>", "<div>", "</div>", "<table>", "<tr>", "<td colspan=2>", "</table>", "<li>", "<ul>", "</ul>", "<b>", "</i>", "<pre>", "<q>", "</tr>", "<dl>", "<dd>", "<caption>", "<br>", "word ", "&lt;", "<"]
