@@ -324,6 +324,13 @@ def test_contamination(spark):
     assert decontaminate.contamination(documents(spark, []), bench).count() == 0
 
 
+def test_contamination_with_repeated_words(spark):
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(204))) for k in range(6)]
+    rows = [(k, " ".join([*t.split()[:182], *["For"] * 22])) for k, t in items]  # 178 / 222 alike
+    got = decontaminate.contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id): round(x.similarity, 9) for x in got} == {k: round(v, 9) for k, v in brute_contamination(rows, items).items()} and len(got) == 6
+
+
 def test_contamination_in_parts(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 20)
     items = [(k, " ".join(f"i{k}x{j}" for j in range(20))) for k in range(6)]
