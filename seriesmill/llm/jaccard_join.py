@@ -1,9 +1,9 @@
-"""Near-duplicate join: a MinHash LSH forest finds candidates, exact Jaccard decides.
+"""Near-duplicate join: MinHash banding finds candidates, exact Jaccard decides.
 
-Method: every distinct shingle set gets `trees` labels, each a sequence of min-hashes: its path in a
-prefix trie. Two sets are candidates if in any tree their paths share a prefix. Full-length prefixes
-are shortened step by step until sets at the threshold meet in some tree with the target recall;
-sorting by prefix is left to the shuffle. Candidates that are connected form a group, and inside each
+Method: every distinct shingle set gets `trees` keys, each over the same number of min-hashes. This is
+banding at a fixed depth in place of an LSH forest: no longer signature is kept, sorted or shortened from
+the data. The depth is the greatest at which sets at the threshold share a key with the target recall.
+Sets that share a key are candidates. Candidates that are connected form a group, and inside each
 group every pair is verified exactly, in blocks of bounded size.
 """
 
