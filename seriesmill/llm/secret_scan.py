@@ -10,7 +10,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -116,9 +117,37 @@ def digests(findings: DataFrame, rules: tuple[Rule, ...] = BASE + ADDED, base: t
     return grouped.select("blob_id", *(f"n_{k}" for k in own), F.sha2(joined(mine), 256).alias("base_sha256"), joined(F.col("all")).alias("spans"))
 
 
-def secrets_by_document(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans), a row for each row of documents(doc_id, text)."""
-    done = scan(documents, ["doc_id"])
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def scan_into(store: str, versions: DataFrame, paths: list[str], rules: tuple[Rule, ...] = BASE + ADDED) -> Scan:
+    """As scan, with ledger and findings kept in the folder `store`: only what it lacks is scanned.
+
+    findings are old and new ones under these rules. They are written before the ledger, so a run that
+    breaks off between the two scans again; findings that come twice count once. One run at a time.
+    """
+    spark = versions.sparkSession
+    ledger = _stored(spark, f"{store}/ledger", "blob_id string, kind string, rule_version int")
+    done = scan(versions, paths, rules, ledger)
+    done.findings.write.mode("append").parquet(f"{store}/findings")
+    done.ledger.write.mode("append").parquet(f"{store}/ledger")
+    kept = _stored(spark, f"{store}/findings", "blob_id string, kind string, rule_version int, start long, end long")
+    ours = reduce(lambda c, r: c | ((F.col("kind") == r.kind) & (F.col("rule_version") == r.version)), rules, F.lit(False))
+    return Scan(done.blobs, kept.where(ours).distinct(), done.ledger)
+
+
+def secrets_by_document(documents: DataFrame, store: str | None = None) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans), a row for each row of documents(doc_id, text).
+
+    With a store, blobs that it has are not scanned again and keep their findings.
+    """
+    done = scan(documents, ["doc_id"]) if store is None else scan_into(store, documents, ["doc_id"])
     out = by_path(done.blobs, digests(done.findings), "doc_id")
     zero = [F.coalesce(f"n_{r.kind}", F.lit(0)).cast("long").alias(f"n_{r.kind}") for r in BASE]
     return out.select("doc_id", *zero, F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))

@@ -278,6 +278,16 @@ def test_ledger_is_incremental(spark):
 # Benchmark items
 
 
+def test_stored_findings_reach_new_paths(spark, tmp_path):
+    store, secret = str(tmp_path / "store"), "x 0123456789abcdef0123 y"
+    first = documents(spark, [(1, secret), (2, "clean")])
+    later = documents(spark, [(1, secret), (3, secret), (4, "AKIA" + "A" * 16), (5, None)])
+    for docs in (first, later, later):
+        got = sorted(map(tuple, secret_scan.secrets_by_document(docs, store).collect()))
+        assert got == sorted(map(tuple, secret_scan.secrets_by_document(docs).collect()))
+    assert spark.read.parquet(f"{store}/ledger").count() == 5 * 4 and spark.read.parquet(f"{store}/findings").count() == 2
+
+
 def brute_contamination(rows, items):
     norm = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
     out = {}
