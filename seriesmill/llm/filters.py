@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +13,32 @@ from .scratch import written
 
 #: Broadcast ids up to so many, else shuffle.
 BROADCAST_IDS = 1_000_000
+#: Ids below this one stand for the text of a row without an id.
+LEAST_ID = -(1 << 62)
 #: Bits of the bitmap: 8 MB, whatever the number of keys. When it fills up, it only lets more rows pass.
 BITS = 1 << 26
 
 
-def without(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """documents whose doc_id is not in ids(doc_id); rows without doc_id stay."""
-    bad = written(ids.where("doc_id is not null").select("doc_id").distinct(), "dropped")
-    return documents.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, "doc_id", "left_anti").select(documents.columns)
+def spare(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without_rows(documents: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """documents without the rows that judge names.
+
+    judge gets (doc_id, text) and returns the doc_id of what must go; rows of one doc_id go together. A row
+    without doc_id stands for its text: it gets an id below LEAST_ID that is a hash of the text, so it is
+    judged like any other, and texts that are equal are judged alike. Ids below LEAST_ID are thus reserved.
+    """
+    row = spare(documents, "row_id")
+    stands_for = F.lit(LEAST_ID - 1) - F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1))
+    named = documents.withColumn(row, F.coalesce(F.col("doc_id").cast("long"), stands_for))
+    bad = written(judge(named.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row)).distinct(), "dropped")
+    return named.join(F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad, row, "left_anti").drop(row)
 
 
 def bitmap(keys: DataFrame) -> np.ndarray:

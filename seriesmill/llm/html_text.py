@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .css import Cascade, applies
-from .scratch import small_text_batches
+from .scratch import text_chunks
 
 #: Columns of a table are padded up to this width; longer cells run on.
 PAD = 60
@@ -529,10 +529,9 @@ def extract(pages: DataFrame) -> DataFrame:
     Null and empty html give an empty text. Unclosed and misnested tags are repaired as a browser would
     do in the common cases; a tag that never ends is dropped with what is in it. Pages are read whole.
     """
-    small_text_batches(pages.sparkSession)
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_chunks(batches, "html"):
             texts = [visible_text(h) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(texts, pa.string())], names=["page_id", "text"])
 

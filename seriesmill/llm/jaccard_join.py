@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .groups import consecutive
-from .scratch import small_text_batches, split_hot_keys, written
+from .scratch import split_hot_keys, text_chunks, written
 from .words import mix, shingle_sets
 
 #: Broadcast group membership (some 24 bytes a row) up to this many documents, else shuffle.
@@ -62,9 +62,7 @@ def _signer(forest: Forest):
     schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.string()), ("size", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in text_chunks(batches):
             h, at = shingle_sets(batch.column("text"), forest.words)
             size = np.diff(at)
             full = np.flatnonzero(size > 0)
@@ -150,7 +148,6 @@ def jaccard_join(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
     share a class. No cap is set on any group; a group larger than a block is compared block by block.
     """
     spark = documents.sparkSession
-    small_text_batches(spark)
     split_hot_keys(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(docs.mapInArrow(_signer(forest), SIGNATURES), "signatures")

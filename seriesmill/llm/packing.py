@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_text_batches, written
+from .scratch import text_chunks, written
 from .words import U64, column_bytes, mix, slice_hashes
 
 #: Pieces that one task packs.
@@ -206,7 +206,7 @@ def _cutter(path: str, end: int, size: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(path, end)
-        for batch in batches:
+        for batch in text_chunks(batches):
             row, piece, start, length, crc = [], [], [], [], []
             for d, ids in enumerate(tokens.ids(batch.column("text"))):
                 n = len(ids) // 4
@@ -244,7 +244,6 @@ def best_fit_pack(documents: DataFrame, tokenizer: str, size: int = 1024, end: i
     rows and rows without doc_id are packed like any other. No piece is dropped.
     """
     spark = documents.sparkSession
-    small_text_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     pieces = written(docs.mapInArrow(_cutter(tokenizer, end, size), PIECES), "pieces")
     tasks = max(1, -(-pieces.count() // PIECES_PER_TASK))

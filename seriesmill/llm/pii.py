@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_text_batches
+from .scratch import text_chunks
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 6
@@ -319,12 +319,11 @@ def personal_data(documents: DataFrame, field: Field | None = None) -> DataFrame
     texts are read whole.
     """
     spark = documents.sparkSession
-    small_text_batches(spark)
     shared = spark.sparkContext.broadcast(field or trained())
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in text_chunks(batches):
             counts: list[list[int]] = [[] for _ in KINDS]
             digest, spans = [], []
             for text in batch.column("text").to_pylist():

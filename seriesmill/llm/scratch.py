@@ -1,22 +1,28 @@
-"""Tables that survive lost executors, in the folder that the whole cluster shares."""
+"""Tables that survive lost executors, in the folder that the whole cluster shares, and bounds of memory."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of text in an Arrow batch: with very long documents 10,000 rows would be gigabytes.
-TEXT_ROWS_PER_BATCH = 256
+#: Rows and bytes of text that an operator works on at once. Spark bounds an Arrow batch by bytes, too,
+#: but a numpy working set is many times as large as its text.
+TEXT_ROWS, TEXT_BYTES = 256, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where the session names none (tests)."""
+    """This application's folder in spark.checkpoint.dir; a session that names none can't run what needs it."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="seriesmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.scratch"  # one machine: any folder is shared
     return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
@@ -35,13 +41,27 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_text_batches(spark: SparkSession) -> None:
-    """Bounds the memory of a Python worker that reads whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_ROWS_PER_BATCH:
-        spark.conf.set(key, str(TEXT_ROWS_PER_BATCH))
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of at most TEXT_ROWS rows and TEXT_BYTES of text (or one row)."""
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index(column))
+        sizes = np.zeros(len(texts), np.int64) if not len(texts) else pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = min(at + TEXT_ROWS, max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
-def split_hot_keys(spark: SparkSession) -> None:
-    """Lets adaptive execution split a hot key of a join even where that costs another shuffle."""
-    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+@contextmanager
+def split_hot_keys(spark: SparkSession) -> Iterator[None]:
+    """Inside, adaptive execution may split a hot key of a join even where that costs another shuffle."""
+    key = "spark.sql.adaptive.forceOptimizeSkewedJoin"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import bitmap, hits, maybe_in
-from .scratch import small_text_batches, split_hot_keys, written
+from .scratch import split_hot_keys, text_chunks, written
 from .words import U64, Words, column_bytes, mix, split_words
 
 P1, P2 = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
@@ -208,7 +208,6 @@ def substring_dedup(documents: DataFrame, window: int = 50, anchor: int = 10, wi
     other. A very long text is one row; no part of it is left out. Needs 1 < anchor < window.
     """
     spark = documents.sparkSession
-    small_text_batches(spark)
     split_hot_keys(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
 

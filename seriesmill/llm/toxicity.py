@@ -2,7 +2,8 @@
 
 P(grade >= k) = sigmoid(score - cut[k]) for k = 1..K: one weight vector is shared by all thresholds,
 and the cuts increase. Features are the presence of hashed words and of their beginnings (the first 5
-and 6 bytes, which stand for a stem in compounds), so a text's length does not dilute them.
+and 6 bytes, which stand for a stem in compounds), and whether they come twice or four times, so a
+text's length does not dilute them.
 """
 
 from __future__ import annotations
@@ -15,17 +16,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_text_batches
+from .filters import spare
+from .scratch import text_chunks
 from .words import U64, Words, column_bytes, mix, slice_hashes, split_words
 
 #: Rows that the model is fitted on at most, chosen by a hash of their doc_id.
 FIT_ROWS = 6_000
 BITS = 18
 STEMS = (5, 6)
+#: A word or stem that comes so often in a text is a feature of its own.
+REPEATS = (2, 4)
 #: Grades above 0: thirds of toxic texts by the number of markers in them.
 GRADES = 3
-#: Deviations above chance from which on a feature gets a weight.
-Z = 6.0
+#: How many features may get a weight by chance, expected over all features that are tested.
+FALSE_FEATURES = 0.01
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 PUNCTUATION = np.zeros(256, bool)
@@ -58,7 +62,12 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         parts.append(mix(slice_hashes(words.data, start[long], start[long] + k) + U64(k)))
         owners.append(doc[long])
     code = (np.concatenate(parts) >> U64(64 - BITS)).astype(np.int64)
-    both = np.unique((np.concatenate(owners).astype(np.int64) << BITS) | code)
+    both, times = np.unique((np.concatenate(owners).astype(np.int64) << BITS) | code, return_counts=True)
+    parts = [both]
+    for k in REPEATS:
+        often = both[times >= k]
+        parts.append((often >> BITS << BITS) | (mix(often.astype(U64) % U64(1 << BITS) + U64(k << BITS)) >> U64(64 - BITS)).astype(np.int64))
+    both = np.unique(np.concatenate(parts))
     return (both & ((1 << BITS) - 1)).astype(np.int32), np.searchsorted(both >> BITS, np.arange(len(column) + 1))
 
 
@@ -69,20 +78,30 @@ def _counts(x: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarra
 
 
 def informative(x: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Which features occur in toxic texts more often than chance explains, by Z deviations at least.
+    """Which features are evidence: they occur in toxic texts more often than chance explains.
 
-    Most words are too rare to tell; weights for them would only fit the sample's noise.
+    By Chernoff's bound, n texts of which a share s is toxic by chance hold c or more toxic ones with
+    a probability of at most exp(-n KL(c / n || s)). A feature counts if that, times the number of
+    features tested, is at most FALSE_FEATURES. So the more toxic texts there are, the more of them must
+    agree: at a share of a tenth some 7, at a half some 24. Most words are too rare to tell; weights
+    for them would only fit the sample's noise.
     """
     _, c1, c0 = _counts(x, at, toxic)
-    expected = (c1 + c0) * toxic.mean()
-    return (c1 >= 3) & (c1 - expected > Z * np.sqrt(expected + 1e-9))
-
-
-def _markers(x: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """How many features of each text are markers: far commoner in toxic texts than in others."""
-    owner, c1, c0 = _counts(x, at, toxic)
+    n, s = c1 + c0, float(toxic.mean())
+    tested = int((n >= 3).sum())
+    if not tested or s in (0.0, 1.0):
+        return np.zeros(1 << BITS, bool)
+    rate = np.divide(c1, n, out=np.zeros(len(n)), where=n > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(rate > 0, rate * np.log(rate / s), 0) + np.where(rate < 1, (1 - rate) * np.log((1 - rate) / (1 - s)), 0)
+    return (c1 >= 3) & (rate > s) & (n * kl >= np.log(tested / FALSE_FEATURES))
+
+
+def _marking(x: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Which features are markers: far commoner in toxic texts than in others."""
+    _, c1, c0 = _counts(x, at, toxic)
     odds = np.log((c1 + 0.5) / (max(1, toxic.sum()) + 1)) - np.log((c0 + 0.5) / (max(1, (~toxic).sum()) + 1))
-    return np.bincount(owner, weights=((odds > 2.5) & (c1 >= 3))[x], minlength=len(at) - 1)
+    return (odds > 2.5) & (c1 >= 3)
 
 
 def distinct_rows(x: np.ndarray, at: np.ndarray, keys: int = 16, hashes: int = 12) -> np.ndarray:
@@ -108,18 +127,34 @@ def distinct_rows(x: np.ndarray, at: np.ndarray, keys: int = 16, hashes: int = 1
     return keep
 
 
+def _part(x: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of some rows, given as a mask."""
+    size = np.diff(at)
+    return x[np.repeat(rows, size)], np.append(0, np.cumsum(size[rows]))
+
+
 def grades(x: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """0 for texts that are not toxic, 1..GRADES for the others, by their markers (labels have no grades)."""
-    n = _markers(x, at, toxic)
+    """0 for texts that are not toxic, 1..GRADES for the others, by how many markers they hold.
+
+    Labels have no grades. Markers of one half of the rows grade the other half, so that no row's grade
+    is a function of its own label. Texts with equal numbers of markers get equal grades.
+    """
+    n, half = np.zeros(len(toxic)), np.arange(len(toxic)) % 2 == 0
+    for own in (half, ~half):
+        marks = _marking(*_part(x, at, ~own), toxic[~own])
+        xs, ats = _part(x, at, own)
+        n[own] = np.bincount(np.repeat(np.arange(own.sum()), np.diff(ats)), weights=marks[xs], minlength=int(own.sum()))
     out = np.zeros(len(toxic), np.int64)
     if toxic.any():
-        edges = np.quantile(n[toxic], np.arange(1, GRADES) / GRADES)
-        out[toxic] = 1 + np.searchsorted(edges, n[toxic], side="right").clip(0, GRADES - 1)
+        out[toxic] = 1 + np.searchsorted(np.quantile(n[toxic], np.arange(1, GRADES) / GRADES), n[toxic], side="left")
     return out
 
 
 def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, ridge: float = 1e-4, rounds: int = 200) -> Model:
-    """Maximum likelihood with a small ridge, by full-batch Adam; deterministic."""
+    """Maximum likelihood with a small ridge, by full-batch Adam; deterministic.
+
+    All rows weigh the same, so that probabilities are those of texts as common as the fitted ones.
+    """
     rows = len(at) - 1
     owner = np.repeat(np.arange(rows), np.diff(at))
     chosen = informative(x, at, grade > 0)[x]
@@ -129,7 +164,7 @@ def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, ridge: float = 1e-4, r
     gaps = np.log(np.maximum(np.diff(cuts), 1e-2))
     theta = np.concatenate([np.zeros(len(used)), cuts[:1], gaps])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    weight = np.where(grade > 0, 0.5 / max(1, (grade > 0).sum()), 0.5 / max(1, (grade == 0).sum()))
+    weight = 1 / max(1, rows)
     for t in range(1, rounds + 1):
         w, first, gap = theta[: len(used)], theta[len(used)], np.exp(theta[len(used) + 1 :])
         cuts = first + np.append(0, np.cumsum(gap))
@@ -153,14 +188,13 @@ def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, ridge: float = 1e-4, r
 
 
 def _featurizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in text_chunks(batches):
         x, at = features(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x))], names=["toxic", "x"])
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model | None:
     """A model from at most `rows` labelled documents; None if labels(doc_id, toxic) have no toxic or no other ones."""
-    small_text_batches(documents.sparkSession)
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     some = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
@@ -173,36 +207,49 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mode
     x = lists.flatten().to_numpy()
     keep = distinct_rows(x, at)
     if toxic[keep].any() and not toxic[keep].all():
-        x, at, toxic = x[np.repeat(keep, np.diff(at))], np.append(0, np.cumsum(np.diff(at)[keep])), toxic[keep]
+        (x, at), toxic = _part(x, at, keep), toxic[keep]
     return fit(x, at, grades(x, at, toxic))
 
 
-def severity(documents: DataFrame, model: Model | None, keep: bool = False) -> DataFrame:
-    """(doc_id, severity, p_toxic, toxic), a row for each row of documents; with keep, all its columns and these three.
+def judged(text: pa.Array, model: Model | None) -> np.ndarray:
+    """P(grade >= k) for k = 1..GRADES of each text: 0 for one without any feature that is evidence."""
+    p = np.zeros((len(text), GRADES))
+    if model is not None and len(text):
+        x, at = features(text)
+        owner = np.repeat(np.arange(len(text)), np.diff(at))
+        p = model.above(np.bincount(owner, weights=model.weights[x], minlength=len(text)))
+        p[np.bincount(owner, weights=model.weights[x] != 0, minlength=len(text)) == 0] = 0
+    return p
+
+
+def severity(documents: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, severity, p_toxic, toxic), a row for each row of documents.
 
     severity: the expected grade, 0 to GRADES; p_toxic: the probability of grade 1 or more; toxic:
-    whether that is at least one half. Null, empty and wordless texts, and all texts where there is no
-    model, get 0, 0 and false. Repeated rows and rows without doc_id are judged like any other.
+    whether that is at least one half. A text without any feature that is evidence gets 0, 0 and false,
+    and so null, empty and wordless texts do, and all texts where there is no model or no evidence.
+    Repeated rows and rows without doc_id are judged like any other.
     """
     spark = documents.sparkSession
-    small_text_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            text = batch.column("_text")
-            p = np.zeros((len(text), GRADES))
-            if m is not None and len(text):
-                x, at = features(text)
-                owner = np.repeat(np.arange(len(text)), np.diff(at))
-                p = m.above(np.bincount(owner, weights=m.weights[x], minlength=len(text)))
-                p[np.diff(at) == 0] = 0
-            rest = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_text"]
-            names = [n for n in batch.schema.names if n != "_text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)], names=[*names, "severity", "p_toxic", "toxic"])
-
-    given = [c for c in documents.columns if c not in ("severity", "p_toxic", "toxic")] if keep else ["doc_id"]
-    source = documents.select(*given, F.col("text").cast("string").alias("_text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.drop("_text").schema)
-    return source.mapInArrow(judge, f"{kept}, severity double, p_toxic double, toxic boolean")
+        for batch in text_chunks(batches):
+            p = judged(batch.column("text"), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)], names=["doc_id", "severity", "p_toxic", "toxic"])
+
+    source = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    return source.mapInArrow(judge, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, severity double, p_toxic double, toxic boolean")
+
+
+def not_toxic(documents: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of documents that severity does not call toxic, with all their columns, whatever their names."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    name = spare(documents, "judged_text")
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_chunks(batches, name):
+            kept = judged(batch.column(batch.num_columns - 1), shared.value)[:, 0] < 0.5
+            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(kept))
+
+    return documents.withColumn(name, F.col("text").cast("string")).mapInArrow(passed, documents.schema)

@@ -702,11 +702,32 @@ def test_toxicity_without_labels(spark):
     for labels in ([], [(1, 0)], [(1, 1)]):
         model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
         assert model is None
-    got = toxicity.severity(docs, None, keep=True)
-    assert set(docs.columns) < set(got.columns) and [r.severity for r in got.collect()] == [0.0, 0.0]
+    assert [r.severity for r in toxicity.severity(docs, None).collect()] == [0.0, 0.0]
+    assert toxicity.not_toxic(docs, None).columns == docs.columns and toxicity.not_toxic(docs, None).count() == 2
     assert toxicity.severity(docs.limit(0), None).count() == 0
 
 
+def test_toxicity_without_evidence(spark):
+    r = random.Random(4)
+    rows = [(d, " ".join(r.choices([f"word{k}" for k in range(400)], k=60))) for d in range(120)]
+    for share in (0.1, 0.5, 0.9):
+        labels = [(d, int(r.random() < share)) for d, _ in rows]
+        model = toxicity.train(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+        got = toxicity.severity(documents(spark, rows), model).collect()
+        assert not any(x.toxic for x in got) and {x.severity for x in got} == {0.0}
+
+
+def test_not_toxic_keeps_rows_whole(spark):
+    rows, labels = toxic_corpus(500)
+    odd = spark.createDataFrame([(d, t, "a", True, 9.0, 9.0, "b") for d, t in [*rows, (None, None), (None, rows[0][1])]], "doc_id long, text string, _text string, toxic boolean, severity double, p_toxic double, judged_text string")
+    model = toxicity.train(odd, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = toxicity.not_toxic(odd, model).collect()
+    truth = dict(labels)
+    assert {r.doc_id for r in got if r.doc_id is not None} == {d for d, v in truth.items() if not v}
+    assert sum(r.doc_id is None for r in got) == 2 - truth[0]
+    assert {tuple(r)[2:] for r in got} == {("a", True, 9.0, 9.0, "b")}
+
+
 def test_cuts_increase():
     rows, labels = toxic_corpus(400)
     x, at = toxicity.features(pa.array([t for _, t in rows]))

@@ -68,3 +68,24 @@ def test_stages(spark, tables):
 
 def test_run(spark, tables):
     assert corpus_pipeline.run(spark, tables[0]).count() > 100
+
+
+def test_rows_without_an_id_are_judged_like_others(spark, tables):
+    path, rows, items = tables
+    near = " ".join(f"n{k}" for k in range(60))
+    secret, item = "x 0123456789abcdef0123 y", "a b c d e f g " + items[0][1]
+    given = [(None, near), (7, near + " end"), (None, "alone in the text"), (None, "alone in the text"), (3, "three"), (3, "three"), (None, secret), (8, secret), (None, item), (9, item), (None, None)]
+    docs = spark.createDataFrame([(d, t, "_", 1, "x") for d, t in given], "doc_id long, text string, row_id string, _row_id int, class_id string")
+    left = lambda df: sorted((r.doc_id or -1, r.text or "") for r in df.collect())
+    stages = dict(corpus_pipeline.STAGES)
+    once = left(stages["jaccard join"](spark, docs, path))
+    assert once == sorted([(7, near + " end"), (-1, "alone in the text"), (3, "three"), (8, secret), (9, item), (-1, "")])
+    assert left(stages["secret scan"](spark, docs, path)) == sorted((d or -1, t or "") for d, t in given if t != secret)
+    assert left(stages["decontamination"](spark, docs, path)) == sorted((d or -1, t or "") for d, t in given if t != item)
+    assert left(stages["toxicity"](spark, docs, path)) == sorted((d or -1, t or "") for d, t in given)
+
+
+def test_empty_tables(spark, tables, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{tables[0]}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
