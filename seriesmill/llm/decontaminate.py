@@ -1,23 +1,32 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, exact verification.
 
-DataFrame functions only. Any window with the required similarity to an item shares a shingle with it,
-so windows are cut where a shingle of a document occurs in the benchmark, aligned with the place that
-it has there. Windows get 64-bit SimHash fingerprints. Fingerprints within the radius agree in at least
-one of BLOCKS blocks up to RADIUS // BLOCKS flipped bits, so an index over blocks and their neighbours
-finds all of them. Candidates are verified by exact weighted Jaccard similarity of shingles.
+DataFrame functions only. Windows are all runs of words of a document that are as long as an item, at every
+start. A window of n shingles that is similar enough to an item of m shingles shares at least
+t (n + m) / (1 + t) of them, whatever their order, so starts at which fewer of the window's shingles occur
+in the benchmark at all are passed over; that filter is exact. The windows left get 64-bit SimHash
+fingerprints. Fingerprints within the radius agree in at least one of BLOCKS blocks up to
+RADIUS // BLOCKS flipped bits, so an index over blocks and their neighbours finds all of them. Candidates
+are verified by exact weighted Jaccard similarity of shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: A pair at similarity 0.8 has an angle under 0.48 and so differs in 9.7 of 64 bits on average, with a
 #: deviation of 2.9: more than RADIUS bits differ in about one such pair of a thousand (simulated: 0.3 to
 #: 1.5 per thousand; 10 for a window of four shingles in an item of five).
 RADIUS, BLOCKS = 19, 10
-#: Shingles of the benchmark in one broadcast; a larger benchmark is searched part by part.
-BROADCAST_SHINGLES = 500_000
+#: Rows of the benchmark's tables (shingles and index keys) in one broadcast; a larger benchmark is searched
+#: part by part.
+BROADCAST_ROWS = 500_000
+#: Broadcast the places of windows up to so many, else shuffle.
+BROADCAST_STARTS = 1_000_000
 WORDS = r"[\p{L}\p{N}]+"
 
 
@@ -30,24 +39,48 @@ def shingles_of(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def weighted(shingles: Column) -> Column:
     """The multiset as a set: the k-th occurrence of a shingle is an element of its own."""
+
+    def occurrences(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s) - 1)
+        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        runs = lambda f: F.zip_with(f, F.array_append(F.slice(f, 2, F.size(f)), F.size(s)), lambda a, b: F.transform(F.sequence(F.lit(1), b - a), lambda k: F.xxhash64(F.get(s, a), k)))
+        return F.flatten(bound(first, runs))
+
     plain = F.transform(shingles, lambda h: F.xxhash64(h, F.lit(1)))
-    counted = F.transform(F.sequence(F.lit(1), F.size(shingles)), lambda i: F.xxhash64(F.get(shingles, i - 1), F.size(F.filter(F.slice(shingles, 1, i), lambda x: x == F.get(shingles, i - 1)))))
-    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), plain).otherwise(counted)
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), plain).otherwise(bound(F.array_sort(shingles), occurrences))
+
+
+def simhash(elements: Column) -> Column:
+    """64 majority bits of distinct elements: one that came r times would pull all bits r-fold.
 
+    Counts of the bits j, j + width, j + 2 width, ... are held in lanes of one number, each below half of
+    what its lane can hold; so a comparison of all lanes with half of the elements is one addition.
+    """
+    n = F.size(elements)
+
+    def majority(width: int) -> Column:
+        ones = sum(1 << k for k in range(0, 64, width))
+        pairs = sum(1 << k for k in range(0, 64, 2 * width))
+        top = 1 << (width - 1)
+        short = (F.lit(top - 1) - F.floor(n / 2)).cast("long") * F.lit(pairs)
 
-def simhash(shingles: Column) -> Column:
-    """64 majority bits of distinct elements: one that came r times would pull all bits r-fold. Bits j and j + 32 are counted in the two halves of one number."""
-    halves = F.lit(0x0000000100000001)
-    count = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, h: acc + F.call_function("shiftrightunsigned", h, j).bitwiseAND(halves)))
-    half = F.size(shingles)
+        def bits(lanes: Column) -> Column:
+            return F.shiftrightunsigned((lanes.bitwiseAND(F.lit(pairs * ((1 << width) - 1))) + short).bitwiseAND(F.lit(pairs * top)), width - 1)
 
-    def bit(c: Column, at: Column) -> Column:
-        return F.when(c * 2 > half, F.call_function("shiftleft", F.lit(1).cast("long"), at)).otherwise(F.lit(0).cast("long"))
+        def counted(j: Column) -> Column:
+            return F.aggregate(elements, F.lit(0).cast("long"), lambda acc, h: acc + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(ones)))
 
-    both = F.transform(count, lambda c, j: bit(c.bitwiseAND(F.lit(0xFFFFFFFF)), j).bitwiseOR(bit(F.shiftrightunsigned(c, 32), j + 32)))
-    return F.aggregate(both, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
+        found = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.call_function("shiftleft", bound(counted(j), lambda c: bits(c).bitwiseOR(F.shiftleft(bits(F.shiftrightunsigned(c, width)), width))), j))
+        return F.aggregate(found, F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(b))
+
+    return F.when(n < 1 << 7, majority(8)).when(n < 1 << 15, majority(16)).otherwise(majority(32))
 
 
 def _blocks() -> list[tuple[int, int]]:
@@ -66,28 +99,39 @@ def _probe(fingerprint: Column, neighbours: bool) -> Column:
     return F.array(*keys)
 
 
+def _first_block(x: Column) -> Column:
+    """The first block in which a difference of fingerprints has at most one bit, as the key's prefix."""
+    out = F.lit(-1)
+    for k, (at, width) in reversed(list(enumerate(_blocks()))):
+        out = F.when(F.bit_count(F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1))) <= 1, F.lit(k)).otherwise(out)
+    return out
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(doc_id, item_id, start, n_words, similarity): items of benchmark(item_id, text) in documents(doc_id, text).
 
     A row for each document and item of which some window of the document, as long as the item, has a
     weighted Jaccard similarity of at least `threshold` on shingles of `words` words (weights are
     occurrences); the best window, the first if several are. Words are runs of letters and digits in
-    lower case. An item of fewer words than a shingle is one shingle of its own.
+    lower case. An item of fewer words than a shingle is one shingle of its own. A document shorter than
+    an item is one window.
 
     Null, empty and wordless texts match nothing, on either side. Rows without doc_id or item_id can't
-    be reported and take no part. Repeated rows give one result. A benchmark over BROADCAST_SHINGLES is
-    searched part by part, so that what is broadcast stays bounded.
+    be reported and take no part. Repeated rows give one result; of several texts under one id, each is
+    searched and the best window of any counts. A benchmark over BROADCAST_ROWS is searched part by part,
+    so that what is broadcast stays bounded.
     """
     raw = benchmark.where("item_id is not null").select("item_id", words_of(F.col("text")).alias("w")).where("size(w) > 0").distinct()
     raw = raw.withColumn("k", F.least(F.size("w"), F.lit(words)))
-    total, sizes = raw.agg(F.sum(F.size("w")), F.collect_set("k")).first()
-    docs = documents.where("doc_id is not null").select("doc_id", words_of(F.col("text")).alias("w"))
+    keys = 64 + BLOCKS
+    total, sizes = raw.agg(F.sum(F.size("w") + keys), F.collect_set("k")).first()
+    docs = documents.where("doc_id is not null").select("doc_id", F.col("text").cast("string").alias("text"))
     if not total:
         total, sizes = 0, [words]
-    parts = max(1, -(-total // BROADCAST_SHINGLES))
+    parts = max(1, -(-total // BROADCAST_ROWS))
     out = None
     for part in range(parts):
-        chosen = raw if parts == 1 else raw.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
+        chosen = raw if parts == 1 else raw.where(F.pmod(F.xxhash64("item_id", "w"), F.lit(parts)) == part)
         for k in sorted(sizes):
             found = _one(docs, chosen.where(F.col("k") == k), k, threshold)
             out = found if out is None else out.union(found)
@@ -95,42 +139,67 @@ def contamination(documents: DataFrame, benchmark: DataFrame, words: int = 5, th
     return best.select("doc_id", "item_id", (-F.col("b.back")).alias("start"), "b.n_words", "b.similarity")
 
 
+def _spots(docs: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(doc_id, version, spots): starts at which a window may be similar, by its length and in blocks of as many starts as it has shingles."""
+    places = items.select("length", F.explode("sh").alias("h")).distinct()
+    shingles = docs.select("doc_id", F.xxhash64("text").alias("version"), words_of(F.col("text")).alias("w"))
+    shingles = shingles.select("doc_id", "version", F.size("w").alias("total"), F.posexplode(shingles_of(F.col("w"), k)).alias("at", "h"))
+    hits = shingles.join(F.broadcast(places), "h").groupBy("doc_id", "version", "total", "length").agg(F.array_sort(F.collect_set("at")).alias("p"))
+
+    n = F.least("total", "length") - (k - 1)
+    need = F.greatest(F.lit(1), F.ceil(threshold * (n + F.col("length") - (k - 1)) / (1 + threshold) - 1e-9).cast("int"))
+    hits = hits.withColumns({"n": n, "need": need}).where(F.size("p") >= F.col("need"))
+    # The window of the j-th hit as the last of `need` starts after the window before it could, so ranges are disjoint.
+    ranges = F.transform(F.sequence(F.col("need") - 1, F.size("p") - 1), lambda j: F.struct(
+        F.greatest(F.lit(0), F.get("p", j) - F.col("n") + 1, F.coalesce(F.get("p", F.when(j >= F.col("need"), j - F.col("need"))) + 1, F.lit(0))).alias("low"),
+        F.least(F.get("p", j - F.col("need") + 1), F.greatest(F.lit(0), F.col("total") - F.col("length"))).alias("high"),
+    ))
+    starts = hits.select("doc_id", "version", "length", "n", F.explode(F.filter(ranges, lambda r: r["low"] <= r["high"])).alias("r"))
+    starts = starts.select("doc_id", "version", "length", "n", F.explode(F.sequence("r.low", "r.high")).alias("start"))
+    blocks = starts.groupBy("doc_id", "version", "length", "n", F.floor(F.col("start") / F.col("n")).cast("int").alias("block")).agg(F.collect_list("start").alias("starts"))
+    return blocks.groupBy("doc_id", "version").agg(F.collect_list(F.struct("length", "n", "block", "starts")).alias("spots"))
+
+
 def _one(docs: DataFrame, raw: DataFrame, k: int, threshold: float) -> DataFrame:
     items = raw.select("item_id", F.size("w").alias("length"), shingles_of(F.col("w"), k).alias("sh"))
-    places = items.select("length", F.posexplode("sh").alias("place", "h")).distinct()
-    hits = docs.select("doc_id", "w", F.posexplode(shingles_of(F.col("w"), k)).alias("at", "h")).join(F.broadcast(places), "h")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.size("w") - F.col("length")))
-    cut = hits.select("doc_id", start.alias("start"), "length", F.slice("w", start + 1, F.col("length")).alias("w"))
-    windows = cut.groupBy("doc_id", "start", "length", F.xxhash64("w").alias("version")).agg(F.first("w").alias("w"))
-    windows = windows.select("doc_id", "start", F.size("w").alias("n_words"), shingles_of(F.col("w"), k).alias("sh"))
-    prints = windows.select("doc_id", "start", "n_words", F.size("sh").alias("n"), weighted(F.col("sh")).alias("ws"))
-    prints = prints.withColumn("fp", F.get(F.transform(F.array("ws"), simhash), F.lit(0)))  # bound, so that ws is not built for each bit
-
-    index = items.select("item_id", F.size("sh").alias("item_n"), weighted(F.col("sh")).alias("item_ws")).withColumn("item_fp", F.get(F.transform(F.array("item_ws"), simhash), F.lit(0)))
-    probes = index.select("item_id", "item_n", "item_fp", F.explode(_probe(F.col("item_fp"), True)).alias("key"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
+    spots = written(_spots(docs, items, k, threshold), "spots")
+    few = (spots.agg(F.sum(F.aggregate("spots", F.lit(0).cast("long"), lambda a, s: a + F.size(s["starts"]) + 4))).first()[0] or 0) <= BROADCAST_STARTS
+    held = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(spots) if few else spots, ["doc_id", "version"]).select("doc_id", "spots", shingles_of(words_of(F.col("text")), k).alias("sh"))
+    # Each block takes only its part of the document's shingles along.
+    part = F.transform("spots", lambda s: F.struct(s["n"].alias("n"), s["block"].alias("block"), s["starts"].alias("starts"), F.slice("sh", s["block"] * s["n"] + 1, 2 * s["n"]).alias("sh")))
+    near = held.select("doc_id", F.explode(part).alias("b")).select("doc_id", "b.*").select("doc_id", "n", "block", "sh", F.explode("starts").alias("start"))
+    windows = near.select("doc_id", "start", (F.col("n") + (k - 1)).alias("n_words"), "n", weighted(F.slice("sh", F.col("start") - F.col("block") * F.col("n") + 1, F.col("n"))).alias("ws"))
+    prints = windows.withColumn("fp", bound(F.col("ws"), simhash))
+
+    index = items.select("item_id", F.size("sh").alias("item_n"), weighted(F.col("sh")).alias("item_ws")).withColumn("item_fp", bound(F.col("item_ws"), simhash))
+    probes = index.select("item_n", "item_fp", "item_id", "item_ws", F.explode(_probe(F.col("item_fp"), True)).alias("key"))
+    apart = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    close = F.bit_count(apart) <= RADIUS
     sized = (F.col("n") >= threshold * F.col("item_n")) & (F.col("item_n") >= threshold * F.col("n"))
-    asked = prints.withColumn("key", F.explode(_probe(F.col("fp"), False))).alias("p")
-    pairs = asked.join(F.broadcast(probes.alias("q")), (F.col("p.key") == F.col("q.key")) & near & sized)
-    pairs = pairs.groupBy("doc_id", "item_id", "start", "n_words", "n", "fp").agg(F.first("ws").alias("ws"))
+    asked = prints.withColumn("key", F.explode(_probe(F.col("fp"), False)))
+    once = F.shiftright("key", 16) == _first_block(apart)  # a pair may agree in several blocks
+    pairs = asked.join(F.broadcast(probes), "key").where(close & sized & once)
     both = F.size(F.array_intersect("ws", "item_ws"))
-    verified = pairs.join(F.broadcast(index.select("item_id", "item_n", "item_ws")), "item_id").withColumn("both", both)
+    verified = pairs.withColumn("both", both)
     similarity = F.col("both") / (F.col("n") + F.col("item_n") - F.col("both"))
     return verified.select("doc_id", "item_id", "start", "n_words", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 SQL = r"""
-WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
-iw AS (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
-ds AS (SELECT doc_id, len(w) AS n, i, array_to_string(w[i+1:i+5], ' ') AS s FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM dw)),
-js AS (SELECT item_id, len(w) AS n, i, array_to_string(w[i+1:i+5], ' ') AS s FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS i FROM iw)),
-win AS (SELECT DISTINCT doc_id, js.n AS len, greatest(0, least(ds.i - js.i, ds.n - js.n)) AS start FROM ds JOIN js USING (s)),
-ws AS (SELECT win.doc_id, len, start, s, count(*) AS c FROM win JOIN ds ON ds.doc_id = win.doc_id AND ds.i >= start AND ds.i <= start + len - 5 GROUP BY ALL),
-wt AS (SELECT doc_id, len, start, sum(c) AS n FROM ws GROUP BY ALL),
-ic AS (SELECT item_id, s, count(*) AS c FROM js GROUP BY ALL),
-it AS (SELECT item_id, sum(c) AS n FROM ic GROUP BY ALL),
-shared AS (SELECT doc_id, len, start, item_id, sum(least(ws.c, ic.c)) AS b FROM ws JOIN ic USING (s) GROUP BY ALL),
-sim AS (SELECT doc_id, len, start, item_id, b::DOUBLE / (wt.n + it.n - b)::DOUBLE AS similarity FROM shared JOIN wt USING (doc_id, len, start) JOIN it USING (item_id)),
-best AS (SELECT sim.*, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS r FROM sim WHERE similarity >= 0.8)
-SELECT doc_id, item_id, start::INTEGER AS start, least(len, dl)::INTEGER AS n_words, similarity FROM best JOIN (SELECT doc_id, len(w) AS dl FROM dw) USING (doc_id) WHERE r = 1
+WITH dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+iw AS (SELECT row_number() OVER () AS i_id, item_id, w, least(5, len(w)) AS k FROM (
+  SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+dk AS (SELECT row_number() OVER () AS d_id, doc_id, w, k FROM dw, (SELECT DISTINCT k FROM iw)),
+ds AS (SELECT d_id, k, len(w) AS total, i, array_to_string(w[i+1:i+k], ' ') AS s FROM (SELECT d_id, k, w, unnest(range(0, len(w) - k + 1)) AS i FROM dk)),
+ic AS (SELECT i_id, item_id, k, length, s, count(*) AS c FROM (
+  SELECT i_id, item_id, k, len(w) AS length, array_to_string(w[i+1:i+k], ' ') AS s FROM (SELECT i_id, item_id, k, w, unnest(range(0, len(w) - k + 1)) AS i FROM iw)) GROUP BY ALL),
+hits AS (SELECT d_id, i_id, length, k, total, i, s, c FROM ds JOIN ic USING (k, s)),
+-- every start of a window that holds a hit: windows without one are not similar
+win AS (SELECT DISTINCT d_id, i_id, length, k, total, unnest(range(greatest(0, i - least(total, length) + k), 1 + least(i, greatest(0, total - length)))) AS start FROM hits),
+shared AS (SELECT d_id, i_id, start, least(count(*), any_value(c)) AS b FROM win JOIN hits USING (d_id, i_id) WHERE hits.i BETWEEN start AND start + least(win.total, win.length) - win.k GROUP BY d_id, i_id, start, s),
+sim AS (SELECT d_id, i_id, start, any_value(n) AS n, any_value(n_words) AS n_words, any_value(m) AS m, sum(b) AS b FROM shared JOIN (
+  SELECT d_id, i_id, start, least(total, length) AS n_words, least(total, length) - k + 1 AS n, length - k + 1 AS m FROM win) USING (d_id, i_id, start) GROUP BY ALL),
+best AS (SELECT doc_id, item_id, start, n_words, b::DOUBLE / (n + m - b)::DOUBLE AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY b::DOUBLE / (n + m - b)::DOUBLE DESC, start) AS r
+  FROM sim JOIN dk USING (d_id) JOIN (SELECT DISTINCT i_id, item_id FROM iw) USING (i_id) WHERE b::DOUBLE / (n + m - b)::DOUBLE >= 0.8)
+SELECT doc_id, item_id, start::INTEGER AS start, n_words::INTEGER AS n_words, similarity FROM best WHERE r = 1
 """

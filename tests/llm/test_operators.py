@@ -342,12 +342,41 @@ def test_contamination_with_repeated_words(spark):
 
 
 def test_contamination_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", 20)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 200)
+    monkeypatch.setattr(decontaminate, "BROADCAST_STARTS", 0)
     items = [(k, " ".join(f"i{k}x{j}" for j in range(20))) for k in range(6)]
     got = decontaminate.contamination(documents(spark, [(1, items[2][1]), (2, items[5][1] + " more"), (3, "clean text of no item at all")]), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted((x.doc_id, x.item_id) for x in got.collect()) == [(1, 2), (2, 5)]
 
 
+def test_contamination_with_reordered_passages(spark):
+    r = random.Random(6)
+    a, b = ([f"{c}{k}" for k in range(100)] for c in "ab")
+    filler = [f"f{k}" for k in range(300)]
+    items = [(1, " ".join(a + b)), (2, " ".join(["x"] * 30)), (3, " ".join(a[:20]))]
+    rows = [(1, " ".join(filler[:150] + b + a + filler[150:])), (2, " ".join(b[50:] + a + b[:50])), (3, " ".join(a)), (4, "x " * 700), (5, " ".join(["x"] * 26)), (6, " ".join(filler + a[:18] + filler)), (7, " ".join(a[10:20] + a[:10]))]
+    for d in range(8, 20):
+        t = a + b
+        for _ in range(r.randrange(1, 4)):
+            cut = r.randrange(len(t))
+            t = t[cut:] + t[:cut]
+            t[r.randrange(len(t))] = "new"
+        rows.append((d, " ".join(filler[:d] + t)))
+    got = decontaminate.contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_contamination(rows, items)
+    assert (1, 1) in want and {(x.doc_id, x.item_id): round(x.similarity, 9) for x in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_simhash(spark):
+    r = random.Random(1)
+    sets = [[r.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 64, 127, 128, 400)] + [[-1] * 127, [-1] * 300, [1] * 33000]
+    got = spark.createDataFrame([(k, x) for k, x in enumerate(sets)], "k int, x array<long>").select("k", decontaminate.simhash(F.col("x")).alias("fp")).collect()
+    for row in got:
+        x = sets[row.k]
+        want = sum(1 << b for b in range(64) if 2 * sum((v >> b) & 1 for v in x) > len(x))
+        assert row.fp % (1 << 64) == want
+
+
 def test_probes_meet_within_the_radius(spark):
     r = random.Random(4)
     rows = []
