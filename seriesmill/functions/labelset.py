@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import bind
+
 MAP = "map<string,string>"
 
 
@@ -55,13 +57,14 @@ def value_at(m: Column, k: int) -> Column:
 
 def put(m: Column, name: Column, value: Column) -> Column:
     """With name set to value, whatever it is."""
-    return F.map_concat(F.map_filter(m, lambda k, _: k != name), F.create_map(name, value))
+    return bind(name, lambda n: F.map_concat(F.map_filter(m, lambda k, _: k != n), F.create_map(n, value)))
 
 
 def set_label(m: Column, name: Column, value: Column) -> Column:
-    """With name set to value; an empty value deletes it."""
-    rest = F.map_filter(m, lambda k, _: k != name)
-    return F.when(value == "", rest).otherwise(F.map_concat(rest, F.create_map(name, value)))
+    """With name set to value; an empty value deletes it. m, name and value are in the result once each."""
+    given = F.struct(name.alias("name"), value.alias("value"))
+    added = lambda e: F.map_filter(F.create_map(e["name"], e["value"]), lambda _, v: v != "")
+    return bind(given, lambda e: F.map_concat(F.map_filter(m, lambda k, _: k != e["name"]), added(e)))
 
 
 def with_label(m: Column, name: str, value: str) -> Column:
@@ -108,5 +111,37 @@ def from_json(text: Column) -> Column:
 
 def to_yaml(m: Column) -> Column:
     """A YAML mapping with quoted scalars, by name."""
-    quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    quote = lambda c: F.concat(F.lit('"'), escaped(c), F.lit('"'))
     return F.concat_ws("", F.transform(sorted_entries(m), lambda e: F.concat(quote(e["key"]), F.lit(": "), quote(e["value"]), F.lit("\n"))))
+
+
+#: A line of a YAML mapping: a name and a value, each plain or in single or double quotes, and a comment.
+SCALAR = r"""(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^']*+(?:''[^']*+)*+'|[^\s"'#:,\[\]{}&*!|>%@`](?:[^\s:#]|:(?=\S)|(?<=\S)#|[ \t](?=[^\s#]))*+)"""
+YAML_LINE = rf"^({SCALAR})[ \t]*:(?:[ \t]+({SCALAR}))?[ \t]*(?:(?<=\s)#.*)?\z"
+
+
+def _scalar(text: Column) -> Column:
+    """The string of a YAML scalar."""
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    part = lambda p: F.replace(F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\t"), F.lit("\t")), F.lit('\\"'), F.lit('"'))
+    double = F.array_join(F.transform(F.split(inner, r"\\\\"), part), "\\")
+    single = F.replace(inner, F.lit("''"), F.lit("'"))
+    return F.when(text.startswith('"'), double).when(text.startswith("'"), single).otherwise(text)
+
+
+def from_yaml(text: Column) -> Column:
+    """The map of a YAML mapping of scalars, a label on a line; a scalar is plain or quoted, a missing value empty.
+
+    Empty lines, comments and the marks of a document's start and end are skipped, and {} is the empty
+    map. A line that is no label, or a name that comes twice, makes the result null, as an unreadable JSON
+    text does.
+    """
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: ~x.rlike(r"^\s*(?:#.*)?\z|^(?:---|\.\.\.)\s*\z"))
+
+    def mapping(kept: Column) -> Column:
+        entries = F.transform(kept, lambda x: F.struct(_scalar(F.regexp_extract(x, YAML_LINE, 1)).alias("key"), _scalar(F.regexp_extract(x, YAML_LINE, 2)).alias("value")))
+        unique = lambda e: F.when(F.size(F.array_distinct(F.transform(e, lambda x: x["key"]))) == F.size(e), F.map_from_entries(e))
+        return F.when(F.forall(kept, lambda x: x.rlike(YAML_LINE)), bind(entries, unique))
+
+    return F.when(F.trim(text) == "{}", empty()).otherwise(bind(lines, mapping))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import patterns
 from ..functions.labelset import get
 
 OPERATORS = ("=", "!=", "=~", "!~")
@@ -22,11 +22,6 @@ class BadRegex(ValueError):
     """A pattern that can't be compiled."""
 
 
-def java_pattern(regex: str) -> str:
-    """The whole value must match, and a dot matches a newline too."""
-    return r"(?s)^(?:" + regex.replace("(?P<", "(?<") + r")\z"
-
-
 @dataclass(frozen=True)
 class Matcher:
     name: str
@@ -38,12 +33,12 @@ class Matcher:
             raise ValueError(f"unknown matcher {self.op!r}")
         if self.op in ("=~", "!~"):
             try:
-                re.compile(self.value)
-            except re.error as e:
-                raise BadRegex(f"{self.value!r}: {e}") from e
+                patterns.read(self.value)
+            except patterns.PatternError as e:
+                raise BadRegex(str(e)) from e
 
     def accepts(self, value: str) -> bool:
-        found = self.value == value if self.op in ("=", "!=") else re.fullmatch(self.value, value, re.S) is not None
+        found = self.value == value if self.op in ("=", "!=") else patterns.read(self.value).accepts(value)
         return found == (self.op in ("=", "=~"))
 
     @property
@@ -59,9 +54,9 @@ class Matcher:
             case "!=":
                 return value != self.value
             case "=~":
-                return value.rlike(java_pattern(self.value))
+                return value.rlike(patterns.whole(self.value))
             case _:
-                return ~value.rlike(java_pattern(self.value))
+                return ~value.rlike(patterns.whole(self.value))
 
 
 def all_of(matchers: list[Matcher], labels: Column, metric_name: Column | None = None, need_positive: bool = True) -> Column:

@@ -10,14 +10,18 @@ import hashlib
 import json
 import re
 from dataclasses import asdict, dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import patterns
+from ..functions.bind import bind, once
 from ..functions.labelset import canonical, empty, get, merge, put, set_label, sorted_entries
-from .matchers import java_pattern
 
 ACTIONS = ("drop", "keep", "dropequal", "keepequal", "replace", "lowercase", "uppercase", "hashmod", "labelmap", "labeldrop", "labelkeep")
+#: Rules in one expression.
+STEPS = 6
 FILTERS = ("drop", "keep", "dropequal", "keepequal")
 TARGETED = ("replace", "lowercase", "uppercase", "hashmod", "keepequal", "dropequal")
 REFERENCE = re.compile(r"\$(?:\$|\{(\w+)\}|(\w+))")
@@ -46,24 +50,21 @@ class Rule:
 
     def validate(self) -> Rule:
         """This rule, or a ValueError that says what is wrong."""
-        if not self.action:
-            raise ValueError("relabel action cannot be empty")
         if self.action not in ACTIONS:
-            raise ValueError(f"unknown relabel action {self.action!r}")
+            raise ValueError(f"no such relabel action: {self.action!r}" if self.action else "a relabel rule names no action")
         try:
-            re.compile(self.regex)
-        except re.error as e:
-            raise ValueError(f"relabel regex {self.regex!r}: {e}") from e
+            patterns.read(self.regex)
+        except patterns.PatternError as e:
+            raise ValueError(f"relabel regex: {e}") from e
         if self.action == "hashmod" and self.modulus <= 0:
             raise ValueError("hashmod needs a modulus above 0")
-        if self.action in TARGETED and not self.target_label:
-            raise ValueError(f"action {self.action} requires 'target_label' value")
-        if self.action == "replace" and not TARGET.fullmatch(self.target_label):
-            raise ValueError(f"{json.dumps(self.target_label)} is invalid 'target_label' for replace action")
-        if self.action in TARGETED and self.action != "replace" and not LABEL_NAME.fullmatch(self.target_label):
-            raise ValueError(f"{json.dumps(self.target_label)} is invalid 'target_label' for {self.action} action")
+        if self.action in TARGETED:
+            if not self.target_label:
+                raise ValueError(f"a {self.action} rule has no target label")
+            if not (TARGET if self.action == "replace" else LABEL_NAME).fullmatch(self.target_label):
+                raise ValueError(f"a {self.action} rule can't write to label {self.target_label!r}")
         if self.action == "labelmap" and not TARGET.fullmatch(self.replacement):
-            raise ValueError(f"{json.dumps(self.replacement)} is invalid 'replacement' for labelmap action")
+            raise ValueError(f"a labelmap rule can't make names of {self.replacement!r}")
         return self
 
 
@@ -74,7 +75,7 @@ def config_hash(rules: list[Rule]) -> str:
 
 def expand(template: str, regex: str, text: Column) -> Column:
     """The template with its references to groups of regex, matched on the whole text; unknown ones are empty."""
-    groups = re.compile(regex)
+    groups = patterns.read(regex)
     parts, at = [], 0
     for m in REFERENCE.finditer(template):
         parts.append(F.lit(template[at : m.start()]))
@@ -83,9 +84,9 @@ def expand(template: str, regex: str, text: Column) -> Column:
         if name is None:
             parts.append(F.lit("$"))
             continue
-        n = int(name) if name.isdecimal() else groups.groupindex.get(name, -1)
+        n = int(name) if name.isdecimal() else groups.index.get(name, -1)
         if 0 <= n <= groups.groups:
-            parts.append(F.coalesce(F.regexp_extract(text, java_pattern(regex), n), F.lit("")))
+            parts.append(F.coalesce(F.regexp_extract(text, patterns.whole(regex), n), F.lit("")))
     parts.append(F.lit(template[at:]))
     return F.concat(*parts)
 
@@ -103,9 +104,9 @@ def _keeps(rule: Rule, labels: Column) -> Column:
     source = _source(rule, labels)
     match rule.action:
         case "keep":
-            return source.rlike(java_pattern(rule.regex))
+            return source.rlike(patterns.whole(rule.regex))
         case "drop":
-            return ~source.rlike(java_pattern(rule.regex))
+            return ~source.rlike(patterns.whole(rule.regex))
         case "keepequal":
             return source == get(labels, rule.target_label)
         case _:
@@ -113,20 +114,23 @@ def _keeps(rule: Rule, labels: Column) -> Column:
 
 
 def _rewrite(rule: Rule, labels: Column) -> Column:
-    source, pattern = _source(rule, labels), java_pattern(rule.regex)
+    pattern = patterns.whole(rule.regex)
     target = F.lit(rule.target_label)
     match rule.action:
         case "replace":
-            name = expand(rule.target_label, rule.regex, source)
-            value = expand(rule.replacement, rule.regex, source)
-            valid = source.rlike(pattern) & name.rlike(r"^[a-zA-Z_][a-zA-Z0-9_]*\z")
-            return F.when(valid, set_label(labels, name, value)).otherwise(labels)
+
+            def replaced(source: Column) -> Column:
+                given = F.struct(expand(rule.target_label, rule.regex, source).alias("name"), expand(rule.replacement, rule.regex, source).alias("value"))
+                fits = lambda g: F.when(g["name"].rlike(r"^[a-zA-Z_][a-zA-Z0-9_]*\z"), set_label(labels, g["name"], g["value"])).otherwise(labels)
+                return F.when(source.rlike(pattern), bind(given, fits)).otherwise(labels)
+
+            return bind(_source(rule, labels), replaced)
         case "lowercase":
-            return set_label(labels, target, F.lower(source))
+            return set_label(labels, target, F.lower(_source(rule, labels)))
         case "uppercase":
-            return set_label(labels, target, F.upper(source))
+            return set_label(labels, target, F.upper(_source(rule, labels)))
         case "hashmod":
-            return put(labels, target, (low_md5(source) % rule.modulus).cast("string"))
+            return put(labels, target, (low_md5(_source(rule, labels)) % rule.modulus).cast("string"))
         case "labelmap":
             mapped = F.transform(F.filter(sorted_entries(labels), lambda e: e["key"].rlike(pattern)), lambda e: F.struct(expand(rule.replacement, rule.regex, e["key"]).alias("name"), e["value"].alias("value")))
             return F.aggregate(mapped, labels, lambda m, e: set_label(m, e["name"], e["value"]))
@@ -136,6 +140,27 @@ def _rewrite(rule: Rule, labels: Column) -> Column:
             return F.map_filter(labels, lambda k, _: k.rlike(pattern))
 
 
+def relabeled(series: DataFrame, name: str, rules: list[Rule]) -> DataFrame:
+    """series with the labels after the rules as column `name`: null if a rule drops the series, empty if no label is left.
+
+    Each rule is a function of one lambda variable that is bound to what the rule before it left, so the plan
+    grows with the number of rules. STEPS rules are one expression, so that its depth stays bounded, too.
+    """
+    labels = F.col("labels")
+    for k in range(0, max(1, len(rules)), STEPS):
+        for rule in rules[k : k + STEPS]:
+            labels = bind(labels, partial(_step, rule.validate()))
+        series = once(series, name, labels)
+        labels = F.col(name)
+    return series
+
+
+def _step(rule: Rule, m: Column) -> Column:
+    if rule.action in FILTERS:
+        return F.when(m.isNotNull() & _keeps(rule, m), m)
+    return F.when(m.isNotNull(), _rewrite(rule, m))
+
+
 def only_filters(rules: list[Rule]) -> bool:
     """Whether a chain leaves labels as they are, so that series keep their identity."""
     return all(r.action in FILTERS for r in rules)
@@ -143,21 +168,39 @@ def only_filters(rules: list[Rule]) -> bool:
 
 def relabel(series: DataFrame, rules: list[Rule]) -> DataFrame:
     """series whose labels went through the rules; dropped ones are gone, and so are those left without labels."""
-    for rule in rules:
-        rule.validate()
-        if rule.action in FILTERS:
-            series = series.where(_keeps(rule, F.col("labels")))
-        else:
-            series = series.withColumn("labels", _rewrite(rule, F.col("labels")))
+    out = relabeled(series, "labels", rules)
+    out = out.where(F.col("labels").isNotNull() if only_filters(rules) else F.col("labels").isNotNull() & (F.size("labels") > 0))
     if only_filters(rules):
-        return series
-    out = series.where(F.size("labels") > 0).withColumn("ls_key", canonical(F.col("labels")))
-    return out.withColumn("metric_name", get(F.col("labels"), "__name__")) if "metric_name" in series.columns else out
+        return out.select(series.columns)
+    out = out.withColumn("ls_key", canonical(F.col("labels")))
+    if "metric_name" in series.columns:
+        out = out.withColumn("metric_name", get(F.col("labels"), "__name__"))
+    return out.select([*series.columns, *(["ls_key"] if "ls_key" not in series.columns else [])])
+
+
+def with_dropped(series: DataFrame, rules: list[Rule]) -> DataFrame:
+    """series as they are, with `dropped`: whether the rules drop them or leave no label; one pass."""
+    out = F.col("_relabeled")
+    gone = out.isNull() if only_filters(rules) else out.isNull() | (F.size(out) == 0)
+    return relabeled(series, "_relabeled", rules).withColumn("dropped", gone).drop("_relabeled")
 
 
 def dropped_by(series: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Series that the rules drop."""
-    return series.join(relabel(series, rules).select("series_id"), "series_id", "left_anti")
+    """Series that the rules drop, or leave without labels, as they were."""
+    return with_dropped(series, rules).where("dropped").drop("dropped")
+
+
+def dropped_count(series: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(dropped, kept): how many series the rules drop and keep."""
+    return with_dropped(series, rules).agg(F.count_if("dropped").alias("dropped"), F.count_if(~F.col("dropped")).alias("kept"))
+
+
+def relabel_samples(series: DataFrame, samples: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(ls_key, ts_ms, value) of samples under the labels that the rules leave; those of dropped series are gone.
+
+    Rules run on the series; the fact is joined once, on series_id.
+    """
+    return samples.join(relabel(series, rules).select("series_id", "ls_key"), "series_id").select("ls_key", "ts_ms", "value")
 
 
 def external_labels(labels: Column, added: dict[str, str]) -> Column:

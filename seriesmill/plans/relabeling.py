@@ -50,11 +50,26 @@ _register(
 )
 
 
+LONG = [Rule(("job",), regex="(job.)", replacement=f"$1-{k}", target_label=f"step{k:02d}") for k in range(40)] + [Rule(regex=f"step{k:02d}", action="labeldrop") for k in range(0, 40, 2)]
+_register("relabel_long_chain", changed(f"{OLD} UNION ALL SELECT ls_key, 'step' || lpad(k::VARCHAR, 2, '0'), 'job' || (user_id % 3) || '-' || k FROM series, range(1, 40, 2) t(k)"), *LONG)
+
+
 @query(f"WITH {SERIES} SELECT ls_key AS old_key, user_id % 3 = 0 AS dropped FROM series")
 def relabel_dropped(spark: SparkSession, d: str) -> DataFrame:
     series = bridge.event_series(spark, d)
-    gone = rel.dropped_by(series, [Rule(("job",), regex="job0", action="drop")]).select("series_id", F.lit(True).alias("dropped"))
-    return series.join(gone, "series_id", "left").select(F.col("ls_key").alias("old_key"), F.coalesce("dropped", F.lit(False)).alias("dropped"))
+    return rel.with_dropped(series, [Rule(("job",), regex="job0", action="drop")]).select(F.col("ls_key").alias("old_key"), "dropped")
+
+
+@query(f"WITH {SERIES} SELECT count(*) FILTER (user_id % 3 = 0) AS dropped, count(*) FILTER (user_id % 3 <> 0) AS kept FROM series")
+def relabel_dropped_count(spark: SparkSession, d: str) -> DataFrame:
+    return rel.dropped_count(bridge.event_series(spark, d), [Rule(("job",), regex="job0", action="drop")])
+
+
+@query(f"WITH {EVENTS} SELECT replace(ls_key, 'job:job' || (user_id % 3) || ';', 'job:J' || (user_id % 3) || ';') AS ls_key, ts_ms, value FROM ev WHERE user_id % 3 <> 0")
+def relabel_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Samples under new labels."""
+    rules = [Rule(("job",), regex="job0", action="drop"), Rule(("job",), regex="job(.)", replacement="J$1", target_label="job")]
+    return rel.relabel_samples(bridge.event_series(spark, d), bridge.event_samples(spark, d), rules)
 
 
 def _with(name: str, sql: str, column) -> None:  # noqa: ANN001

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -49,6 +50,17 @@ class TestMatchers:
         got = {r.series_id for r in select.match_series(series(spark, *FIVE), [m], need_positive=False).collect()}
         assert got == {k for k, s in enumerate(FIVE) if m.accepts(s.get("foo", ""))}
 
+    @pytest.mark.parametrize("pattern", ["(?=a)", "a(?!b)", r"(a)\1", "a++", "(?>a)", "(?<=a)b", "[", "a**", "x{1001}", r"\y"])
+    def test_what_re2_lacks_is_refused(self, pattern):
+        with pytest.raises(BadRegex):
+            Matcher("a", "=~", pattern)
+
+    @pytest.mark.parametrize(("pattern", "value", "found"), [(r"\pL+", "é", True), (r"\p{Greek}", "λ", True), (r"[[:alpha:]]+", "ab", True), ("[a&&b]+", "&b", True), ("[[x]+", "[x", True), ("(?P<one_two>a)b", "ab", True), (r"\Qa.b\E", "a.b", True), (r"\Qa.b\E", "axb", False), (r"\s", "\x0b", False), (r"[^\S]", " ", True), (r"a{,2}", "a{,2}", True), (r"\x{e9}", "é", True)])
+    def test_patterns_are_re2s(self, spark, pattern, value, found):
+        m = Matcher("foo", "=~", pattern)
+        assert m.accepts(value) == found
+        assert select.match_series(series(spark, {"foo": value}), [m], need_positive=False).count() == found
+
     def test_a_newline_is_part_of_the_value(self, spark):
         got = series(spark, {"a": "x\n"}, {"a": "x"})
         assert select.match_series(got, [Matcher("a", "=~", "x")]).count() == 1
@@ -72,6 +84,16 @@ class TestLabels:
         assert row.c == "".join(f"{k}:{v};" for k, v in sorted(a.items()))
         assert row.j == a and row.n == len(a)
 
+    @settings(max_examples=15, deadline=None)
+    @given(st.dictionaries(st.text("ab \"'\\\\:#é", min_size=1, max_size=4), st.text("kl \"'\\\\:#\n{,", max_size=5), max_size=4))
+    def test_yaml_round_trip(self, spark, m):
+        text = ls.to_yaml(F.col("m"))
+        assert spark.createDataFrame([(m,)], "m map<string,string>").select(ls.from_yaml(text).alias("y")).first().y == m
+
+    @pytest.mark.parametrize(("text", "labels"), [("a: 1\nb: 'it''s'\n", {"a": "1", "b": "it's"}), ("---\n# note\nhost: a.b:80  # port\nempty:\n", {"host": "a.b:80", "empty": ""}), ("{}", {}), ("", {}), ("a: 1\na: 2", None), ("a", None), ("- a", None), ("a: [1]", None), ("'q r': \"x\\ty\"", {"q r": "x\ty"})])
+    def test_yaml(self, spark, text, labels):
+        assert spark.createDataFrame([(text,)], "t string").select(ls.from_yaml(F.col("t")).alias("y")).first().y == labels
+
     def test_postings(self, spark):
         got = {(r.name, r.value): r.ids for r in select.postings(series(spark, *FIVE)).collect()}
         assert got["lol", "kek"] == [0, 1, 2] and got["foo", "baz"] == [4]
@@ -95,12 +117,13 @@ class TestRelabel:
     @pytest.mark.parametrize(
         ("rule", "message"),
         [
-            (Rule(action=""), "cannot be empty"),
-            (Rule(action="replace"), "requires 'target_label' value"),
-            (Rule(action="lowercase"), "requires 'target_label' value"),
-            (Rule(action="lowercase", target_label="${3}"), "is invalid 'target_label'"),
-            (Rule(("a",), regex="some-([^-]+)-([^,]+)", replacement="${1}", target_label="0${3}"), "is invalid 'target_label'"),
-            (Rule(("a",), regex="some-([^-]+)-([^,]+)", replacement="${1}", target_label="-${3}"), "is invalid 'target_label' for replace action"),
+            (Rule(action=""), "names no action"),
+            (Rule(action="replace"), "has no target label"),
+            (Rule(action="lowercase"), "has no target label"),
+            (Rule(action="lowercase", target_label="${2}x"), "can't write"),
+            (Rule(("a",), regex="(x+)/(y*)", replacement="$2", target_label="9$1"), "can't write"),
+            (Rule(("a",), regex="(x+)/(y*)", replacement="$2", target_label="/$1"), "can't write"),
+            (Rule(regex="(a)", replacement="-$1", action="labelmap"), "can't make names"),
             (Rule(action="hashmod", target_label="x"), "modulus"),
             (Rule(regex="(", action="drop"), "regex"),
         ],
@@ -110,10 +133,10 @@ class TestRelabel:
             rule.validate()
 
     def test_valid(self):
-        Rule(("a",), regex="some-([^-]+)-([^,]+)", replacement="${1}", target_label="${3}").validate()
-        assert Rule.of({"action": "Labelkeep"}).action == "labelkeep"
+        Rule(("a",), regex="(x+)/(y*)", replacement="$2", target_label="${1}").validate()
+        assert Rule.of({"action": "HashMod"}).action == "hashmod"
 
-    @pytest.mark.parametrize(("label", "valid"), [("-label", False), ("label", True), ("label${1}", True), ("${1}label", True), ("${1}", True), ("${", False), ("$", False), ("${}", False), ("foo${", False), ("$1", True), ("asd$2asd", True), ("-foo${1}bar-", False), ("_${1}_", True), ("foo${bar}foo", True)])
+    @pytest.mark.parametrize(("label", "valid"), [("zone", True), ("_z9", True), ("9z", False), ("a-b", False), ("$1", True), ("${kind}", True), ("pre_$2_post", True), ("${1}${2}", True), ("a$", False), ("${", False), ("${}", False), ("a${b", False), ("", False), ("$1/x", False)])
     def test_targets(self, label, valid):
         assert bool(relabel.TARGET.fullmatch(label)) == valid
 
@@ -122,14 +145,31 @@ class TestRelabel:
         return got[0].labels if got else None
 
     def test_replace(self, spark):
-        rule = Rule(("__name__",), regex="some-([^-]+)-([^,]+)", replacement="${1}:$2", target_label="$1")
-        assert self.run(spark, {"__name__": "some-job-b"}, rule) == {"__name__": "some-job-b", "job": "job:b"}
-        assert self.run(spark, {"__name__": "else"}, rule) == {"__name__": "else"}
+        rule = Rule(("path",), regex="/(\\w+)/(.+)", replacement="${1}:$2", target_label="$1")
+        assert self.run(spark, {"path": "/disk/sda"}, rule) == {"path": "/disk/sda", "disk": "disk:sda"}
+        assert self.run(spark, {"path": "disk"}, rule) == {"path": "disk"}
 
     def test_keep_drops_the_series(self, spark):
         assert self.run(spark, {"job": "abc"}, Rule(("job",), regex="abc", action="keep")) is not None
         assert self.run(spark, {"job": "abcd"}, Rule(("job",), regex="abc", action="keep")) is None
 
+    def test_long_chains_plan_in_linear_time(self, spark):
+        sizes = []
+        for n in (10, 20, 50):
+            rules = [Rule(("a", f"l{k}"), regex="(.*);(.*)", replacement="$1$2", target_label=f"l{k + 1}") for k in range(n)] + [Rule(("a",), regex="no.*", action="drop")]
+            began = time.perf_counter()
+            out = relabel.relabel(series(spark, {"a": "x", "l0": "y"}), rules)
+            sizes.append(len(out._jdf.queryExecution().executedPlan().toString()))
+            assert time.perf_counter() - began < 10
+            assert out.first().labels[f"l{n}"] == "x" * n + "y"
+        assert sizes[2] < 8 * sizes[0]
+
+    def test_dropped(self, spark):
+        s = series(spark, {"a": "x"}, {"a": "y"}, {"b": "x"})
+        rules = [Rule(("a",), regex="x", action="drop"), Rule(regex="b", action="labeldrop")]
+        assert [r.series_id for r in relabel.dropped_by(s, rules).orderBy("series_id").collect()] == [0, 2]
+        assert relabel.dropped_count(s, rules).first()[:] == (2, 1)
+
     def test_a_series_without_labels_goes(self, spark):
         assert self.run(spark, {"job": "a"}, Rule(regex="job", action="labeldrop")) is None
 
