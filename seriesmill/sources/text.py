@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.bind import once
+
 ERRORS = {1: "unexpected token", 2: "no metric name", 3: "invalid UTF-8", 4: "invalid value", 5: "invalid timestamp"}
 NAME, LABEL = r"[a-zA-Z_:][a-zA-Z0-9_:]*", r"[a-zA-Z_][a-zA-Z0-9_]*"
-QUOTED = r'"(?:[^"\\]|\\.)*"'
-BODY = rf"\{{(?:[^\"}}]|{QUOTED})*\}}"
-SAMPLE = rf"(?s)^[ \t]*({NAME})?[ \t]*({BODY})?[ \t]*([^ \t{{}}]*)[ \t]*([^ \t]*)[ \t]*(.*)\z"
-PAIRS = rf"(?s)^\{{[ \t]*(?:{LABEL}[ \t]*=[ \t]*{QUOTED}[ \t]*,?[ \t]*)*\}}\z"
-PAIR = rf'(?s)({LABEL})[ \t]*=[ \t]*"((?:[^"\\]|\\.)*)"'
+#: Possessive, so that a value is read in one go: a pattern that may go back recurses for each character.
+QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+BODY = rf"\{{(?:[^\"}}]++|{QUOTED})*+\}}"
+#: Name, value, time, rest and label list; a line has no newline, so it can part them.
+SAMPLE = rf"(?s)^[ \t]*+({NAME})?[ \t]*+({BODY})?[ \t]*+([^ \t{{}}]*+)[ \t]*+([^ \t]*+)[ \t]*+(.*)\z"
+PARTS = ("name", "raw", "stamp", "rest", "body")
+PAIR = rf"({LABEL})[ \t]*+=[ \t]*+({QUOTED})"
+PAIRS = rf"(?s)^\{{[ \t]*+(?:{PAIR}[ \t]*+,?[ \t]*+)*+\}}\z"
 VALUE = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z|^[+-]?(?:[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])\z"
 META = rf"(?s)^[ \t]*#[ \t]*(HELP|TYPE|UNIT)[ \t]+({NAME})(?:[ \t]+(.*))?\z"
 
@@ -31,10 +36,16 @@ def unescape(value: Column) -> Column:
 
 
 def _labels(name: Column, body: Column) -> Column:
-    names = F.regexp_extract_all(body, F.lit(PAIR), F.lit(1))
-    values = F.transform(F.regexp_extract_all(body, F.lit(PAIR), F.lit(2)), unescape)
-    pairs = F.filter(F.arrays_zip(names.alias("key"), values.alias("value")), lambda e: e["value"] != "")
-    return F.map_from_entries(F.array_append(F.filter(pairs, lambda e: e["key"] != "__name__"), F.struct(F.lit("__name__").alias("key"), name.alias("value"))))
+    """The labels of a list that has the right form: empty values are left out."""
+
+    def pair(text: Column) -> Column:
+        start = F.instr(text, F.lit('"'))
+        key = F.regexp_extract(text, LABEL, 0)
+        return F.struct(key.alias("key"), unescape(F.substring(text, start + 1, F.length(text) - start - 1)).alias("value"))
+
+    pairs = F.transform(F.regexp_extract_all(body, F.lit("(?s)" + PAIR), F.lit(0)), pair)
+    kept = F.filter(pairs, lambda e: (e["value"] != "") & (e["key"] != "__name__"))
+    return F.map_from_entries(F.array_append(kept, F.struct(F.lit("__name__").alias("key"), name.alias("value"))))
 
 
 def parse_samples(lines: DataFrame, open_metrics: bool = False) -> DataFrame:
@@ -50,24 +61,24 @@ def parse_samples(lines: DataFrame, open_metrics: bool = False) -> DataFrame:
         lines = lines.join(end, "payload_id", "left").where("eof is null or line_no < eof").drop("eof")
     text = F.col("line")
     kept = lines.where(~text.rlike(r"^[ \t\r]*(?:#|\z)"))
-    part = {k: F.regexp_extract(text, SAMPLE, n) for n, k in enumerate(("name", "body", "raw", "stamp", "rest"), 1)}
-    got = kept.withColumns(part)
+    parts = F.split(F.regexp_replace(text, SAMPLE, "$1\n$3\n$4\n$5\n$2"), "\n")  # one match a line
+    got = once(kept, "parts", parts).withColumns({k: F.coalesce(F.get("parts", n), F.lit("")) for n, k in enumerate(PARTS)}).drop("parts")
     if open_metrics:
         exemplar = (F.col("stamp") == "#") | F.col("rest").startswith("#")
         got = got.withColumns({"rest": F.when(exemplar, "").otherwise(F.col("rest")), "stamp": F.when(F.col("stamp") == "#", "").otherwise(F.col("stamp"))})
         stamp = F.floor(F.expr("try_cast(stamp as double)") * 1000 + 0.5).cast("long")
     else:
         stamp = F.expr("try_cast(stamp as bigint)")
-    value = F.expr("try_cast(raw as double)")
+    value = F.when(F.col("raw").rlike(VALUE), F.expr("try_cast(raw as double)"))
     body = F.col("body")
     error = (
         F.when(~F.col("valid"), 3)
         .when((F.col("name") == "") & text.rlike(r"^[ \t]*\{"), 2)
         .when((F.col("name") == "") | (F.col("raw") == "") | ((body != "") & ~body.rlike(PAIRS)) | (F.col("rest") != ""), 1)
-        .when(~F.col("raw").rlike(VALUE) | value.isNull(), 4)
+        .when(value.isNull(), 4)
         .when((F.col("stamp") != "") & (stamp.isNull() | ~F.col("stamp").rlike(r"^-?[0-9.eE+]+\z")), 5)
     )
-    full = got.withColumn("error", error)
+    full = once(got, "error", error)
     fine = F.col("error").isNull()
     return full.select("payload_id", "line_no", F.when(fine, _labels(F.col("name"), body)).alias("labels"), F.when(fine & (F.col("stamp") != ""), stamp).alias("ts_ms"), F.when(fine, value).alias("value"), "error")
 
