@@ -164,10 +164,11 @@ def _one(docs: DataFrame, raw: DataFrame, k: int, threshold: float) -> DataFrame
     items = raw.select("item_id", F.size("w").alias("length"), shingles_of(F.col("w"), k).alias("sh"))
     spots = written(_spots(docs, items, k, threshold), "spots")
     few = (spots.agg(F.sum(F.aggregate("spots", F.lit(0).cast("long"), lambda a, s: a + F.size(s["starts"]) + 4))).first()[0] or 0) <= BROADCAST_STARTS
-    held = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(spots) if few else spots, ["doc_id", "version"]).select("doc_id", "spots", shingles_of(words_of(F.col("text")), k).alias("sh"))
-    # Each block takes only its part of the document's shingles along.
-    part = F.transform("spots", lambda s: F.struct(s["n"].alias("n"), s["block"].alias("block"), s["starts"].alias("starts"), F.slice("sh", s["block"] * s["n"] + 1, 2 * s["n"]).alias("sh")))
-    near = held.select("doc_id", F.explode(part).alias("b")).select("doc_id", "b.*").select("doc_id", "n", "block", "sh", F.explode("starts").alias("start"))
+    held = docs.withColumn("version", F.xxhash64("text")).join(F.broadcast(spots) if few else spots, ["doc_id", "version"])
+    # Each block takes only its part of the document's shingles along. Words and shingles are bound, so that they are not made for each use.
+    part = lambda sh: F.transform("spots", lambda s: F.struct(s["n"].alias("n"), s["block"].alias("block"), s["starts"].alias("starts"), F.slice(sh, s["block"] * s["n"] + 1, 2 * s["n"]).alias("sh")))
+    cut = bound(bound(words_of(F.col("text")), lambda w: shingles_of(w, k)), part)
+    near = held.select("doc_id", F.explode(cut).alias("b")).select("doc_id", "b.*").select("doc_id", "n", "block", "sh", F.explode("starts").alias("start"))
     windows = near.select("doc_id", "start", (F.col("n") + (k - 1)).alias("n_words"), "n", weighted(F.slice("sh", F.col("start") - F.col("block") * F.col("n") + 1, F.col("n"))).alias("ws"))
     prints = windows.withColumn("fp", bound(F.col("ws"), simhash))
 
