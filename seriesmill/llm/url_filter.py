@@ -1,6 +1,9 @@
 """URL filtering: a rule list, and gradient-boosted trees on lexical features where no rule fits.
 
-Features are computed by Spark expressions; the fitted trees are compiled to one Spark expression too.
+Features are computed by Spark expressions; the fitted trees are compiled to one Spark expression too. What
+is known of a suffix, the share of blocked URLs among those that rules decide, is counted out of fold for
+the rows that trees are fitted on, so that no row's own label is in its features; and for a part of them it
+is withheld, so that the trees also learn to judge URLs of suffixes that no rule decides.
 """
 
 from __future__ import annotations
@@ -11,12 +14,17 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 #: Labelled URLs that the trees are fitted on at most, chosen by a hash of the URL.
 FIT_ROWS = 8_000
-#: Broadcast suffix statistics up to so many suffixes, else shuffle.
+#: Parts by a hash of the site (the last two labels) that leave each other out of suffix statistics.
+FOLDS = 4
+#: Broadcast the statistics of so many suffixes at most: beyond it those of the common ones, of which there
+#: can't be more, and shuffle the URLs of the others.
 BROADCAST_SUFFIXES = 100_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "suffix_count", "suffix_block_rate", "site_block_rate")
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters", "hyphens", "suffix_count", "suffix_block_rate")
 
 
 @dataclass(frozen=True)
@@ -141,31 +149,72 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 25, depth: int = 3, rate:
     return base, trees
 
 
-def with_features(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """pages(page_id, url) with host, path, the fitting rule as `fit`, and FEATURES.
+def _split(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """pages(page_id, url) with host, path, the fitting rule as `fit`, suffix (the host's last label) and fold."""
+    split = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    split = split.withColumns({"fit": longest_rule(F.col("host"), F.col("path"), rules), "suffix": F.substring_index("host", ".", -1)})
+    return split.withColumn("fold", F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(FOLDS)).cast("int"))
+
+
+@dataclass(frozen=True)
+class Suffixes:
+    """counts(suffix, n, b0.., d0..): URLs, blocked and decided ones by fold; over all: rate of blocked among decided ones."""
+
+    counts: DataFrame
+    rows: int
+    total: int
+    blocked: tuple[int, ...]
+    decided: tuple[int, ...]
+
+    def rate(self, without: int | None = None) -> float:
+        b, d = (sum(x for k, x in enumerate(c) if k != without) for c in (self.blocked, self.decided))
+        return (b + 1) / (d + 2)
+
+
+def suffixes(split: DataFrame) -> Suffixes:
+    """Counts over all URLs; partial ones come before the shuffle."""
+    blocked, decided = F.col("fit.verdict") == "block", F.col("fit").isNotNull()
+    parts = [F.count_if((F.col("fold") == k) & what).alias(f"{name}{k}") for name, what in (("b", blocked), ("d", decided)) for k in range(FOLDS)]
+    counts = written(split.groupBy("suffix").agg(F.count("*").alias("n"), *parts), "suffixes")
+    names = [f"{name}{k}" for name in "bd" for k in range(FOLDS)]
+    rows, total, *sums = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), *(F.coalesce(F.sum(c), F.lit(0)) for c in names)).first()
+    return Suffixes(counts, rows, total, tuple(sums[:FOLDS]), tuple(sums[FOLDS:]))
+
+
+def with_features(split: DataFrame, known: Suffixes, fitting: bool = False) -> DataFrame:
+    """split (as _split gives it) with FEATURES.
 
-    suffix_count is the logarithm of the number of URLs under the last label of the host;
-    suffix_block_rate and site_block_rate are the smoothed shares of blocked URLs among those that a
-    rule decides, under that label and under the last two. They are counted over all pages; a page's
-    own label is left out of its own rates. Partial counts come before the shuffle, and their join is a
-    broadcast only for a checked number of suffixes.
+    suffix_count is the logarithm of the number of URLs of the suffix; suffix_block_rate is the share of
+    blocked URLs among those of the suffix that a rule decides, drawn to the share over all suffixes, which
+    it is where none is decided. When fitting, a row's own fold is left out of it, and rows of fold 0 get
+    the share over all.
     """
-    split = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("fit", longest_rule(F.col("host"), F.col("path"), rules))
-    split = split.withColumns({"suffix": F.substring_index("host", ".", -1), "site": F.substring_index("host", ".", -2)}).withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
-    blocked, decided = F.when(F.col("fit.verdict") == "block", 1).otherwise(0), F.when(F.col("fit").isNotNull(), 1).otherwise(0)
-    counts = split.groupBy("suffix", "site").agg(F.count("*").alias("n"), F.sum(blocked).alias("b"), F.sum(decided).alias("d"))
-    per_suffix = counts.groupBy("suffix").agg(F.sum("n").alias("sn"), F.sum("b").alias("sb"), F.sum("d").alias("sd"))
-    per_site = counts.select("site", F.col("b").alias("tb"), F.col("d").alias("td"))
-    few = counts.count() <= BROADCAST_SUFFIXES
-    joined = split.join(F.broadcast(per_suffix) if few else per_suffix, "suffix").join(F.broadcast(per_site) if few else per_site, "site")
-    rate = lambda b, d: (F.col(b) - blocked + 1) / (F.col(d) - decided + 2)
-    full = joined.withColumns({"suffix_count": F.log1p("sn"), "suffix_block_rate": rate("sb", "sd"), "site_block_rate": rate("tb", "td")})
+    if known.rows <= BROADCAST_SUFFIXES:
+        joined = split.join(F.broadcast(known.counts), "suffix")
+    else:
+        common = known.counts.where(F.col("n") * BROADCAST_SUFFIXES > known.total)  # fewer than BROADCAST_SUFFIXES
+        rest = split.join(F.broadcast(common.select("suffix")), "suffix", "left_anti")
+        joined = split.join(F.broadcast(common), "suffix").unionByName(rest.join(known.counts, "suffix"))
+
+    def rate(without: int | None) -> Column:
+        b, d = (sum((F.col(f"{name}{k}") for k in range(FOLDS) if k != without), F.lit(0)) for name in "bd")
+        p = known.rate(without)
+        return (b + 2 * p) / (d + 2)
+
+    share = rate(None)
+    if fitting:
+        share = F.lit(known.rate(0))
+        for k in range(1, FOLDS):
+            share = F.when(F.col("fold") == k, rate(k)).otherwise(share)
+    full = joined.withColumns({**lexical(F.col("url"), F.col("host"), F.col("path")), "suffix_count": F.log1p("n"), "suffix_block_rate": share})
     return full.select("page_id", "url", "host", "path", "fit", *(F.col(c).cast("double").alias(c) for c in FEATURES))
 
 
-def train(featured: DataFrame, rows: int = FIT_ROWS) -> tuple[float, list[Tree]]:
+def train(split: DataFrame, known: Suffixes, rows: int = FIT_ROWS) -> tuple[float, list[Tree]]:
     """Trees from at most `rows` of the URLs that a rule decides; block is 1."""
-    got = featured.where("fit is not null").select("url", F.when(F.col("fit.verdict") == "block", 1.0).otherwise(0.0).alias("y"), *FEATURES).orderBy(F.xxhash64("url"), "url", "y").limit(rows).toPandas()
+    some = split.where("fit is not null").orderBy(F.xxhash64("url"), "url", "page_id").limit(rows)
+    got = with_features(some, known, fitting=True).select("url", F.when(F.col("fit.verdict") == "block", 1.0).otherwise(0.0).alias("y"), *FEATURES).toPandas()
+    got = got.sort_values(["url", "y"], kind="stable")  # the same trees whatever the order of rows
     return boost(got[list(FEATURES)].to_numpy(float).reshape(len(got), len(FEATURES)), got["y"].to_numpy(float))
 
 
@@ -175,10 +224,12 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rate: float =
     rule: the longest rule that fits, else null; verdict: its verdict, else allow or block as the trees
     decide at one half; score: their probability of block. A null url, and one without ://, has an
     empty host and path and no rule; it is judged by its features like any other. Where rules decide no
-    URL, or all alike, the trees are empty and give the constant rate. Repeated rows are judged alike.
+    URL, or all alike, there are no trees and the score is the constant rate. Repeated rows are judged alike.
     """
-    featured = with_features(pages, rules)
-    base, trees = train(featured)
+    split = _split(pages, rules)
+    known = suffixes(split)
+    base, trees = train(split, known)
+    featured = with_features(split, known)
     raw = F.lit(base)
     for t in trees:
         raw = raw + F.lit(rate) * t.column(FEATURES)

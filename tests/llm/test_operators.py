@@ -460,7 +460,8 @@ def test_url_rules(spark):
 
 def test_url_features(spark):
     row = spark.createDataFrame([(1, "http://a.b-c.org/x/y1?p=1&q=22#z")], "page_id long, url string")
-    got = url_filter.with_features(row).first()
+    split = url_filter._split(row, url_filter.RULES)
+    got = url_filter.with_features(split, url_filter.suffixes(split)).first()
     assert (got["length"], got.depth, got.labels, got.parameters, got.hyphens) == (32, 2, 3, 2, 1)
     text = "http://a.b-c.org/x/y1?p=1&q=22#z"
     p = np.array(list(Counter(text).values())) / len(text)
@@ -473,6 +474,46 @@ def test_url_edges(spark):
     assert url_filter.url_filter(one.limit(0)).count() == 0
 
 
+def url_corpus(n=3000, seed=5):
+    """URLs whose lexical form says what the rules say: blocked paths are deep and full of digits."""
+    r = random.Random(seed)
+    rows = []
+    for k in range(n):
+        suffix, bad = r.choice(["org", "com", "net", "xyz"]), r.random() < 0.4
+        site = f"{r.choice('abcdefgh')}{r.randrange(30)}.{suffix}"
+        tail = "/".join(str(r.randrange(10**6)) for _ in range(r.randrange(3, 6))) if bad else r.choice(["about", "news", "help/me"])
+        rows.append((k, f"http://{site}/{'x' if bad else 'y'}/{tail}", suffix, bad))
+    return rows
+
+
+URL_RULES = (url_filter.Rule("org", "/x/", "block"), url_filter.Rule("org", "/y/", "allow"), url_filter.Rule("com", "/x/", "block"), url_filter.Rule("com", "/y/", "allow"))
+
+
+@pytest.mark.parametrize("most", [100_000, 3])
+def test_urls_of_a_suffix_without_labels(spark, monkeypatch, most):
+    monkeypatch.setattr(url_filter, "BROADCAST_SUFFIXES", most)
+    rows = url_corpus()
+    pages = spark.createDataFrame([(k, u) for k, u, _, _ in rows], "page_id long, url string")
+    got = {x.page_id: x.verdict for x in url_filter.url_filter(pages, URL_RULES).collect()}
+    held = [(got[k] == "block") == bad for k, _, suffix, bad in rows if suffix in ("net", "xyz")]
+    assert len(got) == len(rows) and np.mean(held) > 0.97
+    split = url_filter._split(pages, URL_RULES)
+    _, trees = url_filter.train(split, url_filter.suffixes(split))
+    assert {url_filter.FEATURES[t.feature] for t in trees if t.feature >= 0} & {"length", "path_length", "depth", "digit_ratio"}
+
+
+def test_suffix_rates_leave_out_the_fold(spark):
+    rows = [(k, f"http://{c}{k}.com/{'de' if k % 2 else 'fr'}/") for k, c in enumerate("abcdefghijklmnop" * 8)]
+    split = url_filter._split(spark.createDataFrame(rows, "page_id long, url string"), url_filter.RULES)
+    known = url_filter.suffixes(split)
+    got = url_filter.with_features(split, known, fitting=True).join(split.select("page_id", "fold"), "page_id").collect()
+    rates = defaultdict(set)
+    for x in got:
+        rates[x.fold].add(x.suffix_block_rate)
+    assert all(len(v) == 1 for v in rates.values())  # no row's own label shows
+    assert {x.suffix_block_rate for x in url_filter.with_features(split, known).collect()} == {0.5}
+
+
 def test_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 4))
