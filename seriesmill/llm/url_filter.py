@@ -2,8 +2,9 @@
 
 Features are computed by Spark expressions; the fitted trees are compiled to one Spark expression too. What
 is known of a suffix, the share of blocked URLs among those that rules decide, is counted out of fold for
-the rows that trees are fitted on, so that no row's own label is in its features; and for a part of them it
-is withheld, so that the trees also learn to judge URLs of suffixes that no rule decides.
+the rows that trees are fitted on, so that no row's own label is in its features. Boosting starts from that
+share, so trees explain what differs inside of suffixes, and the form of a suffix's URLs does not stand for
+its rules: a suffix that no rule decides starts from the share over all.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from .scratch import written
 
 #: Labelled URLs that the trees are fitted on at most, chosen by a hash of the URL.
 FIT_ROWS = 8_000
-#: Parts by a hash of the site (the last two labels) that leave each other out of suffix statistics.
+#: Parts by a hash of the URL that leave each other out of suffix statistics.
 FOLDS = 4
 #: Broadcast the statistics of so many suffixes at most: beyond it those of the common ones, of which there
 #: can't be more, and shuffle the URLs of the others.
@@ -134,26 +135,47 @@ def _grow(x: np.ndarray, bins: np.ndarray, edges: list[np.ndarray], grad: np.nda
     return Tree(0.0, f, float(edges[f][k]), _grow(x[low], bins[low], edges, grad[low], hess[low], depth - 1, least), _grow(x[~low], bins[~low], edges, grad[~low], hess[~low], depth - 1, least))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 25, depth: int = 3, rate: float = 0.3, least: int = 10) -> tuple[float, list[Tree]]:
-    """(base, trees) of boosted log-odds for y in 0 and 1; deterministic."""
-    mean = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
-    base = float(np.log(mean / (1 - mean)))
+def log_odds(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
+
+
+def boost(x: np.ndarray, y: np.ndarray, start: np.ndarray, rounds: int = 25, depth: int = 3, rate: float = 0.3, least: int = 10) -> list[Tree]:
+    """Trees that add to the log-odds `start` of y in 0 and 1; deterministic."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, 33)[1:-1])) if len(c) else np.zeros(0) for c in x.T]
     bins = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1) if len(x) else np.zeros((0, x.shape[1]), int)
-    score, trees = np.full(len(y), base), []
+    score, trees = start.copy(), []
     for _ in range(rounds if 0 < y.sum() < len(y) else 0):
         p = 1 / (1 + np.exp(-score))
-        tree = _grow(x, bins, edges, p - y, p * (1 - p), depth, least)
-        trees.append(tree)
-        score = score + rate * tree.predict(x)
-    return base, trees
+        trees.append(_grow(x, bins, edges, p - y, p * (1 - p), depth, least))
+        score = score + rate * trees[-1].predict(x)
+    return trees
+
+
+def stopped(x: np.ndarray, y: np.ndarray, start: np.ndarray, group: np.ndarray, rounds: int = 25, rate: float = 0.3) -> list[Tree]:
+    """boost with as many rounds as judge the rows of held-out groups best, then on all rows.
+
+    Every fifth group (a host) is held out. Rules may say nothing that the form of a URL shows; then there
+    are no trees.
+    """
+    held = group % 5 == 0
+    best, keep = np.inf, 0
+    if held.any() and not held.all():
+        trees, score = boost(x[~held], y[~held], start[~held], rounds, rate=rate), start[held]
+        for k in range(len(trees) + 1):
+            loss = float(np.logaddexp(0, np.where(y[held] > 0, -score, score)).mean())
+            if loss < best - 5e-3:
+                best, keep = loss, k
+            if k < len(trees):
+                score = score + rate * trees[k].predict(x[held])
+    return boost(x, y, start, keep, rate=rate)
 
 
 def _split(pages: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """pages(page_id, url) with host, path, the fitting rule as `fit`, suffix (the host's last label) and fold."""
     split = pages.select("page_id", "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     split = split.withColumns({"fit": longest_rule(F.col("host"), F.col("path"), rules), "suffix": F.substring_index("host", ".", -1)})
-    return split.withColumn("fold", F.pmod(F.xxhash64(F.substring_index("host", ".", -2)), F.lit(FOLDS)).cast("int"))
+    return split.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
 
 
 @dataclass(frozen=True)
@@ -184,10 +206,10 @@ def suffixes(split: DataFrame) -> Suffixes:
 def with_features(split: DataFrame, known: Suffixes, fitting: bool = False) -> DataFrame:
     """split (as _split gives it) with FEATURES.
 
-    suffix_count is the logarithm of the number of URLs of the suffix; suffix_block_rate is the share of
+    suffix_count is the order of magnitude (in powers of 2, as a finer number would name the suffix) of
+    the number of its URLs; suffix_block_rate is the share of
     blocked URLs among those of the suffix that a rule decides, drawn to the share over all suffixes, which
-    it is where none is decided. When fitting, a row's own fold is left out of it, and rows of fold 0 get
-    the share over all.
+    it is where none is decided. When fitting, a row's own fold is left out of it.
     """
     if known.rows <= BROADCAST_SUFFIXES:
         joined = split.join(F.broadcast(known.counts), "suffix")
@@ -203,19 +225,19 @@ def with_features(split: DataFrame, known: Suffixes, fitting: bool = False) -> D
 
     share = rate(None)
     if fitting:
-        share = F.lit(known.rate(0))
-        for k in range(1, FOLDS):
+        for k in range(FOLDS):
             share = F.when(F.col("fold") == k, rate(k)).otherwise(share)
-    full = joined.withColumns({**lexical(F.col("url"), F.col("host"), F.col("path")), "suffix_count": F.log1p("n"), "suffix_block_rate": share})
+    full = joined.withColumns({**lexical(F.col("url"), F.col("host"), F.col("path")), "suffix_count": F.floor(F.log2("n")), "suffix_block_rate": share})
     return full.select("page_id", "url", "host", "path", "fit", *(F.col(c).cast("double").alias(c) for c in FEATURES))
 
 
-def train(split: DataFrame, known: Suffixes, rows: int = FIT_ROWS) -> tuple[float, list[Tree]]:
+def train(split: DataFrame, known: Suffixes, rows: int = FIT_ROWS) -> list[Tree]:
     """Trees from at most `rows` of the URLs that a rule decides; block is 1."""
     some = split.where("fit is not null").orderBy(F.xxhash64("url"), "url", "page_id").limit(rows)
-    got = with_features(some, known, fitting=True).select("url", F.when(F.col("fit.verdict") == "block", 1.0).otherwise(0.0).alias("y"), *FEATURES).toPandas()
+    got = with_features(some, known, fitting=True).select("url", F.xxhash64("host").alias("group"), F.when(F.col("fit.verdict") == "block", 1.0).otherwise(0.0).alias("y"), *FEATURES).toPandas()
     got = got.sort_values(["url", "y"], kind="stable")  # the same trees whatever the order of rows
-    return boost(got[list(FEATURES)].to_numpy(float).reshape(len(got), len(FEATURES)), got["y"].to_numpy(float))
+    x, y = got[list(FEATURES)].to_numpy(float).reshape(len(got), len(FEATURES)), got["y"].to_numpy(float)
+    return stopped(x, y, log_odds(x[:, FEATURES.index("suffix_block_rate")]), got["group"].to_numpy(np.int64))
 
 
 def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rate: float = 0.3) -> DataFrame:
@@ -224,14 +246,14 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rate: float =
     rule: the longest rule that fits, else null; verdict: its verdict, else allow or block as the trees
     decide at one half; score: their probability of block. A null url, and one without ://, has an
     empty host and path and no rule; it is judged by its features like any other. Where rules decide no
-    URL, or all alike, there are no trees and the score is the constant rate. Repeated rows are judged alike.
+    URL, or all alike, there are no trees and the score is the suffix's share. Repeated rows are judged alike.
     """
     split = _split(pages, rules)
     known = suffixes(split)
-    base, trees = train(split, known)
     featured = with_features(split, known)
-    raw = F.lit(base)
-    for t in trees:
+    share = F.greatest(F.lit(1e-3), F.least(F.lit(1 - 1e-3), F.col("suffix_block_rate")))
+    raw = F.log(share / (1 - share))
+    for t in train(split, known):
         raw = raw + F.lit(rate) * t.column(FEATURES)
     scored = featured.withColumn("score", 1 / (1 + F.exp(-raw)))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))

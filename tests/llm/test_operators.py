@@ -498,28 +498,39 @@ def test_urls_of_a_suffix_without_labels(spark, monkeypatch, most):
     held = [(got[k] == "block") == bad for k, _, suffix, bad in rows if suffix in ("net", "xyz")]
     assert len(got) == len(rows) and np.mean(held) > 0.97
     split = url_filter._split(pages, URL_RULES)
-    _, trees = url_filter.train(split, url_filter.suffixes(split))
+    trees = url_filter.train(split, url_filter.suffixes(split))
     assert {url_filter.FEATURES[t.feature] for t in trees if t.feature >= 0} & {"length", "path_length", "depth", "digit_ratio"}
 
 
 def test_suffix_rates_leave_out_the_fold(spark):
-    rows = [(k, f"http://{c}{k}.com/{'de' if k % 2 else 'fr'}/") for k, c in enumerate("abcdefghijklmnop" * 8)]
+    rows = [(k, f"http://{c}{k}.com/{'de' if k % 2 else 'fr'}/") for k, c in enumerate("abcdefghijklmnop" * 8)] + [(900 + k, f"http://a{k}.net/") for k in range(40)]
     split = url_filter._split(spark.createDataFrame(rows, "page_id long, url string"), url_filter.RULES)
     known = url_filter.suffixes(split)
-    got = url_filter.with_features(split, known, fitting=True).join(split.select("page_id", "fold"), "page_id").collect()
+    got = url_filter.with_features(split, known, fitting=True).join(split.select("page_id", "fold", "suffix"), "page_id").collect()
     rates = defaultdict(set)
     for x in got:
-        rates[x.fold].add(x.suffix_block_rate)
-    assert all(len(v) == 1 for v in rates.values())  # no row's own label shows
-    assert {x.suffix_block_rate for x in url_filter.with_features(split, known).collect()} == {0.5}
+        rates[x.fold, x.suffix].add(x.suffix_block_rate)
+    assert all(len(v) == 1 for v in rates.values())  # equal for a fold's blocked and allowed URLs: no row's own label shows
+    used = {x.suffix_block_rate for x in url_filter.with_features(split, known).where("host like '%.net'").collect()}
+    assert used == {known.rate()}
+
+
+def test_suffixes_do_not_stand_for_rules(spark):
+    """org is allowed and com is blocked whatever the URL; what looks like com is not blocked for it."""
+    r = random.Random(3)
+    name = lambda letters: "".join(r.choices(letters, k=9))
+    rows = [(k, f"http://{name('xyz' if s != 'org' else 'abcdefgh')}.{s}/p/{name('pqr')}") for k, s in enumerate(r.choices(["org", "com", "net"], [5, 2, 2], k=3000))]
+    rules = (url_filter.Rule("org", "/", "allow"), url_filter.Rule("com", "/", "block"))
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
+    assert got and {x.verdict for x in got} == {"allow"}
 
 
 def test_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 4))
     y = ((x[:, 0] > 0.3) ^ (x[:, 2] > 0)).astype(float)
-    base, trees = url_filter.boost(x[:1000], y[:1000])
-    score = base + 0.3 * sum(t.predict(x[1000:]) for t in trees)
+    trees = url_filter.boost(x[:1000], y[:1000], np.zeros(1000))
+    score = 0.3 * sum(t.predict(x[1000:]) for t in trees)
     assert ((score > 0) == (y[1000:] > 0)).mean() > 0.95
 
 
