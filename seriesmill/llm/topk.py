@@ -1,7 +1,7 @@
 """Exact top-k inner products: vectors in order of descending length, pruned by Cauchy-Schwarz bounds.
 
-Vectors are rotated onto the singular directions of the whole table, so that the first coordinates hold
-most of every product. For a query q and a vector v, the product is at most the partial sum over the
+Vectors are rotated onto the singular directions of a sample of the table, so that the first coordinates
+hold most of every product; the rotation decides how much is pruned, never what is found. For a query q and a vector v, the product is at most the partial sum over the
 first coordinates plus |rest of q| * |rest of v|; what can't reach the query's k-th best score is not
 looked at further. Survivors are scored exactly, on integers.
 """
@@ -16,10 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scratch import written
+
 #: Queries in one pass; more are answered in several passes over the vectors.
 QUERY_BLOCK = 4_096
-#: The longest vectors that set each query's first bound.
+#: About so many of the longest vectors set each query's first bound.
 SEEDS = 2_048
+#: About so many vectors, chosen by a hash, that the rotation is fitted on.
+ROTATION_ROWS = 16_384
 ROWS = 2_048
 #: Integers up to this are exact as doubles.
 EXACT = 2.0**53
@@ -68,8 +72,11 @@ def _searcher(ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, rotation:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches come in order of descending length within a partition."""
         least = bound.copy()
+        done = False
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
         for whole in batches:
+            if done:  # all that follows is shorter
+                break
             for batch in (whole.slice(a, ROWS) for a in range(0, whole.num_rows, ROWS)):
                 own = batch.column("vec_id").to_numpy()
                 vectors = _matrix(batch.column("v"), dims)
@@ -77,7 +84,8 @@ def _searcher(ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, rotation:
                 slack = 1e-9 * (length * size[0] + 1) * dims  # for rounding: a bound may only err upwards
                 live = np.flatnonzero(length * size[0] + slack >= least)
                 if not len(live):
-                    continue
+                    done = True
+                    break
                 turn = vectors @ rotation
                 reach = first[live] @ turn[:, :head].T + rest[live, None] * np.linalg.norm(turn[:, head:], axis=1)[None, :]
                 a, b = np.nonzero((reach + slack[live, None] >= least[live, None]) & (ids[live, None] != own[None, :]))
@@ -101,17 +109,6 @@ def _searcher(ids: np.ndarray, queries: np.ndarray, bound: np.ndarray, rotation:
     return search
 
 
-def _gram(dims: int):
-    def gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dims, dims))
-        for batch in batches:
-            m = _matrix(batch.column("v"), dims)
-            total += m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dims * dims)), pa.array(total.ravel())], names=["cell", "x"])
-
-    return gram
-
-
 def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors(vec_id, embedding) with the greatest product for each query.
 
@@ -122,20 +119,23 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
     candidates of one id, of which the best score counts. Shorter vectors are filled with zeros. Scores
     beyond a long are held at its ends. Empty tables give no rows.
 
-    Each pass holds at most QUERY_BLOCK queries, so memory does not grow with their number.
+    Each pass holds at most QUERY_BLOCK queries, on the driver and in each task; where there are several,
+    each pass is written before the next one starts, so memory does not grow with their number.
     """
     spark = vectors.sparkSession
     numbers = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("q"), integers(F.col("embedding"), scale).alias("v")).where("vec_id is not null and v is not null")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     numbers = numbers.withColumn("norm", norm)
-    count, dims = numbers.agg(F.count_if("q"), F.max(F.size("v"))).first()
-    dims = max(1, dims or 1)
+    count, rows, dims = numbers.agg(F.count_if("q"), F.count("*"), F.max(F.size("v"))).first()
+    if not count or rows < 2:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dims = max(1, dims)
     plain = numbers.select("vec_id", "v")
-    cells = plain.mapInArrow(_gram(dims), "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x")).toPandas()
-    gram = np.zeros(dims * dims)
-    gram[cells["cell"].to_numpy(int)] = cells["x"].to_numpy(float)
-    rotation = np.linalg.svd(gram.reshape(dims, dims) + gram.reshape(dims, dims).T)[0] if np.isfinite(gram).all() else np.eye(dims)
-    longest = numbers.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").toArrow()
+    sample = _matrix(plain.where(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, rows // ROTATION_ROWS))) == 0).select("v").toArrow().column("v").combine_chunks(), dims)
+    gram = sample.T @ sample
+    rotation = np.linalg.svd(gram)[0] if np.isfinite(gram).all() else np.eye(dims)
+    least = numbers.agg(F.percentile_approx("norm", max(0.0, 1 - SEEDS / rows), 10_000)).first()[0]
+    longest = numbers.where(F.col("norm") >= least).limit(2 * SEEDS).select("vec_id", "v").toArrow()
     seeds, seed_ids = _matrix(longest.column("v").combine_chunks(), dims), longest.column("vec_id").to_numpy()
     ordered = plain.withColumn("norm", norm).sortWithinPartitions(F.desc("norm")).select("vec_id", "v")
 
@@ -143,6 +143,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
     out = None
     for p in range(passes):
         block = numbers.where("q").where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p).select("vec_id", "v").toArrow()
+        if not block.num_rows:
+            continue
         ids, queries = block.column("vec_id").to_numpy(), _matrix(block.column("v").combine_chunks(), dims)
         order = np.argsort(ids, kind="stable")
         ids, queries = ids[order], queries[order]
@@ -154,6 +156,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, scale:
         else:
             bound = np.full(len(ids), -np.inf)
         found = ordered.mapInArrow(_searcher(ids, queries, np.where(np.isfinite(bound), np.floor(bound), -np.inf), rotation, k, max(1, dims // 2)), "query_id long, vec_id long, score long")
+        found = written(found, "pass") if passes > 1 else found
         out = found if out is None else out.union(found)
     once = out.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -224,6 +224,53 @@ def test_packing(spark, docs):
     assert packing.best_fit_pack(documents(spark, []), tokenizer()).count() == 0
 
 
+def test_packing_of_large_ids_beside_nulls(spark):
+    ids = [2**53 + 1, 2**53 + 3, None, -(2**63), 2**63 - 1, None]
+    got = packing.best_fit_pack(documents(spark, [(d, f"text {k}") for k, d in enumerate(ids)]), tokenizer()).collect()
+    assert Counter(r.doc_id for r in got) == Counter(ids)
+
+
+def test_packing_is_tight(spark, monkeypatch):
+    """Against the least number of sequences, where the bound of open ones acts, and in several tasks."""
+    monkeypatch.setattr(packing, "PIECES_PER_TASK", 2_000)
+    r = random.Random(5)
+    rows = [(d, " ".join("a" for _ in range(min(400, int(r.expovariate(1 / 60)) + 1)))) for d in range(6000)]
+    got = packing.best_fit_pack(documents(spark, rows), tokenizer(), size=256).collect()
+    sizes = defaultdict(int)
+    for x in got:
+        sizes[x.sequence_id] += x.length
+    assert max(sizes.values()) <= 256 and len(sizes) <= 1.01 * sum(sizes.values()) / 256 + 3
+    again = packing.best_fit_pack(documents(spark, rows).repartition(7), tokenizer(), size=256).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))
+
+
+def brute_best_fit(sizes, capacity, open_bins):
+    bins, out = {}, []
+    for n in sizes:
+        fits = [(free, -k) for k, (free, _) in bins.items() if free >= n]
+        if fits:
+            free = min(fits)[0]
+            name = max(k for k, (f, _) in bins.items() if f == free and bins[k][1] == max(t for f2, t in bins.values() if f2 == free))
+        else:
+            if len(bins) >= open_bins:
+                least = min(f for f, _ in bins.values())
+                del bins[max(bins, key=lambda k: (bins[k][0] == least, bins[k][1]))]
+            name, free = max([-1, *(o[0] for o in out)]) + 1, capacity
+        out.append((name, capacity - free))
+        bins.pop(name, None)
+        if free - n:
+            bins[name] = (free - n, len(out))
+    return out
+
+
+@pytest.mark.parametrize("open_bins", [1, 3, 50])
+def test_best_fit_against_brute_force(open_bins):
+    r = random.Random(open_bins)
+    sizes = [r.randrange(1, 41) for _ in range(600)]
+    fit = packing.BestFit(40, open_bins)
+    assert [fit.put(n) for n in sizes] == brute_best_fit(sizes, 40, open_bins)
+
+
 def test_split_at_breaks():
     text = "some words here and there, 12 more"
     assert "".join(packing.split_at_breaks(text, 5)) == text
@@ -426,6 +473,19 @@ def test_top_inner_products_small(spark, monkeypatch):
     assert topk.top_inner_products(df.limit(0), F.col("vec_id") % 3 == 0).count() == 0
 
 
+def test_top_inner_products_without_queries_or_vectors(spark):
+    some = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "vec_id long, embedding array<double>")
+    for df in (some, spark.createDataFrame([], some.schema), spark.createDataFrame([(3, None), (None, [1.0])], some.schema), spark.createDataFrame([(3, [1.0])], some.schema)):
+        got = topk.top_inner_products(df, F.col("vec_id") % 3 == 0)
+        assert got.columns == ["query_id", "rank", "vec_id", "score"] and got.count() == 0
+
+
+def test_top_inner_products_of_equal_lengths(spark):
+    rows = [(k, [float(np.cos(k)), float(np.sin(k))]) for k in range(300)]
+    got = topk.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 3 == 0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows)
+
+
 def test_products_beyond_doubles():
     q = np.array([[2.0**40, 3.0]])
     assert topk.products(q, np.array([[2.0**20 + 1, 5.0]])).tolist() == [2**60 + 2**40 + 15]
