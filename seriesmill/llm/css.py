@@ -334,6 +334,8 @@ class Cascade:
 
     def __init__(self) -> None:
         self.rules: dict[str, list[tuple[tuple, Selector, Switch]]] = {}
+        self.ranked: dict[str, dict[str, list[tuple[tuple, Selector, str]]]] = {}  # by key and property, the strongest first
+        self.ranked_at = 0
         self.order = 0
         self.layers: dict[str, int] = {}
 
@@ -418,17 +420,40 @@ class Cascade:
         while len(stack) > 1:
             ended()
 
+    def _rank(self) -> None:
+        self.ranked, self.ranked_at = {}, self.order
+        for key, rules in self.rules.items():
+            of = self.ranked.setdefault(key, {})
+            for strength, sel, d in sorted(rules, key=lambda r: r[0], reverse=True):
+                of.setdefault(d.prop, []).append((strength, sel, d.value))
+
     def switched(self, stack: list, name: str, attributes: dict[str, str]) -> dict[str, str]:
-        """The winning values of display and visibility of an element about to be opened."""
+        """The winning values of display and visibility of an element about to be opened.
+
+        Elements alike in name and attributes under one parent are judged once.
+        """
+        seen = stack[-1].judged
+        like = (self.order, name, *attributes.items())
+        if like not in seen:
+            seen[like] = self._switched(stack, name, attributes)
+        return seen[like]
+
+    def _switched(self, stack: list, name: str, attributes: dict[str, str]) -> dict[str, str]:
         best: dict[str, tuple[tuple, str]] = {}
         if self.rules:
+            if self.ranked_at != self.order:
+                self._rank()
             keys = ["*", name, *(f".{c}" for c in set(attributes.get("class", "").split()))]
             if attributes.get("id"):
                 keys.append(f"#{attributes['id']}")
             for key in keys:
-                for strength, sel, d in self.rules.get(key, ()):
-                    if (d.prop not in best or strength > best[d.prop][0]) and sel.meets(stack, name, attributes):
-                        best[d.prop] = (strength, d.value)
+                for prop, rules in self.ranked.get(key, {}).items():
+                    for strength, sel, value in rules:
+                        if prop in best and strength < best[prop][0]:
+                            break
+                        if sel.meets(stack, name, attributes):
+                            best[prop] = (strength, value)
+                            break
         if style := attributes.get("style"):
             for d in declarations(style):
                 strength = (d.important, 2_000_000_000, True)

@@ -23,6 +23,10 @@ from .scratch import text_chunks
 
 #: Columns of a table are padded up to this width; longer cells run on.
 PAD = 60
+#: Columns from this one on are not aligned.
+COLUMNS = 100
+#: Levels of indents that are shown, and of tables in tables whose columns are aligned: text grows with its page.
+INDENTS, TABLES = 24, 6
 # Element groups of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -85,7 +89,7 @@ class Canvas:
                     have += 1
                 self.lines += [""] * (self.margin - have)
             self.margin = 0
-            indent = "".join(self.indents)
+            indent = "".join(self.indents[:INDENTS])
             if self.bullet:
                 indent = indent[: max(0, len(indent) - len(self.bullet))] + self.bullet
                 self.bullet = ""
@@ -151,6 +155,7 @@ class Table:
     rows: list[list[tuple[int, list[str]]]] = field(default_factory=list)
     spans: dict[int, int] = field(default_factory=dict)  # column: rows that a cell above still covers
     column: int = 0
+    plain: bool = False  # too deep in other tables: rows are blocks
 
     def row(self) -> None:
         self.rows.append([])
@@ -180,11 +185,13 @@ class Table:
             for at, lines in row:
                 width[at] = max(width.get(at, 0), min(PAD, max(map(len, lines), default=0)))
         out = []
+        aligned = [c for c in sorted(width) if c < COLUMNS]
         for row in self.rows:
             for k in range(max((len(lines) for _, lines in row), default=0)):
                 cells = {at: lines[k] for at, lines in row if k < len(lines)}
                 last = max(cells)
-                out.append("  ".join(cells.get(c, "").ljust(width[c]) for c in sorted(width) if c <= last).rstrip(" "))
+                line = [cells.get(c, "").ljust(width[c]) for c in aligned if c <= last]
+                out.append("  ".join(line + [text for c, text in sorted(cells.items()) if c >= COLUMNS]).rstrip(" "))
         return out
 
 
@@ -203,6 +210,7 @@ class Node:
     label: bool = False  # whether text shows inside of svg
     picks: list[tuple[bool, bool, str]] | None = None  # a drop-down's options: whether selected, whether disabled, text
     option: Canvas | None = None
+    judged: dict = field(default_factory=dict)  # what stylesheets say of children, by name and attributes
 
 
 class Page:
@@ -211,6 +219,7 @@ class Page:
         self.tables: list[Table] = []
         self.stack = [Node("#root", True, True, False)]
         self.scopes: list[Counter] = [Counter()]
+        self.names: Counter = Counter()  # of all open elements
         self.css = css or Cascade()
         self.styled = css is not None  # whether all stylesheets are in already
         self.drawn = False  # whether an element that may show text was opened
@@ -220,12 +229,14 @@ class Page:
 
     def _push(self, node: Node) -> None:
         self.stack.append(node)
+        self.names[node.name] += 1
         if node.name in BOUNDARY:
             self.scopes.append(Counter())
         self.scopes[-1][node.name] += 1
 
     def _pop(self) -> None:
         node = self.stack.pop()
+        self.names[node.name] -= 1
         self.scopes[-1][node.name] -= 1
         if node.name in BOUNDARY and len(self.scopes) > 1:
             self.scopes.pop()
@@ -283,7 +294,7 @@ class Page:
         if self.scopes[-1][name] > 0:
             self._pop_to(name)
         elif name in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "caption", "button") or name in BOUNDARY:
-            if any(n.name == name for n in self.stack) and (name != "tr" or self.tables):
+            if self.names[name] > 0 and (name != "tr" or self.tables):
                 self._pop_to(name)
         elif name in ("div", "ul", "ol", "article", "section", "main", "nav", "aside", "header", "footer", "form", "body") and self.stack[-1].name not in BOUNDARY:
             pass  # its opening tag is outside of a cell or missing
@@ -371,9 +382,14 @@ class Page:
             node.indent = True
         elif name == "table":
             canvas.block(1)
-            self.tables.append(Table())
+            self.tables.append(Table(plain=len(self.tables) >= TABLES))
         elif name == "tr" and self.tables:
-            self.tables[-1].row()
+            if self.tables[-1].plain:
+                canvas.block(0)
+            else:
+                self.tables[-1].row()
+        elif name in ("td", "th") and self.tables and self.tables[-1].plain:
+            canvas.words(" ")
         elif name in ("td", "th") and self.tables:
             at = self.tables[-1].place(number("colspan", 1, 1000), number("rowspan", 1, 1000))
             node.cell = (at, Canvas())
@@ -430,9 +446,15 @@ class Page:
             canvas.words(" ")
         if node.name == "table" and self.tables:
             table = self.tables.pop()
-            canvas.whole(table.laid_out(), 1)
+            if table.plain:
+                canvas.block(1)
+            else:
+                canvas.whole(table.laid_out(), 1)
         elif node.name == "tr" and self.tables:
-            self.tables[-1].finish_row()
+            if self.tables[-1].plain:
+                canvas.block(0)
+            else:
+                self.tables[-1].finish_row()
         elif node.name == "q":
             if node.visible:
                 canvas.words('"')
@@ -528,6 +550,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Null and empty html give an empty text. Unclosed and misnested tags are repaired as a browser would
     do in the common cases; a tag that never ends is dropped with what is in it. Pages are read whole.
+    Cells wider than PAD characters shift what follows them in their row out of line; indents beyond
+    INDENTS levels are not shown; a table inside of TABLES others, and a column from the COLUMNS-th on, is not aligned. So a
+    text is not much longer than its page, and time grows with the page, whatever it holds.
     """
 
     def rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

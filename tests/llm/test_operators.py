@@ -6,6 +6,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -801,6 +802,28 @@ def test_visible_text_is_whole_and_safe():
     assert html_text.visible_text("".join(many)).split() == [f"w{k}" for k in range(5000)]
 
 
+def test_hostile_pages_take_linear_time_and_space():
+    pages = (
+        lambda n: "<a " * n + '"',
+        lambda n: "<table><tr><td>" * n + "</button>" * n,
+        lambda n: "<ul><li>x" * n,
+        lambda n: "<blockquote>x" * n,
+        lambda n: "<table><tr><td>x" * n + "</table>" * n,
+        lambda n: "<style>" + ".a{display:none}" * n + "</style>" + "<p class=a>x" * n,
+        lambda n: "<table>" + "<tr><td colspan=1000>x<td>y" * n + "</table>",
+    )
+    for page in pages:
+        html = page(20_000)
+        began = time.perf_counter()
+        text = html_text.visible_text(html)
+        assert time.perf_counter() - began < 15 and len(text) < 20 * len(html)
+
+
+def test_deep_tables_keep_their_text():
+    deep = html_text.visible_text("<table><tr><td>" * 8 + "<table><tr><td>a<td>b<tr><td>c</table>" + "</table>" * 8)
+    assert deep.split() == ["a", "b", "c"]
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "<p>a", "u"), (None, None, None), (1, "<p>b", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract(rows).collect()) == [(0, ""), (1, "a"), (1, "b")]
