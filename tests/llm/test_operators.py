@@ -89,6 +89,7 @@ def test_jaccard_join(spark, docs):
 def test_jaccard_join_in_blocks(spark, docs, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 7)
     monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(jaccard_join, "PART", 7)
     base = " ".join(f"b{k}" for k in range(100))
     near = docs + [(2000 + k, f"{base} x{k}") for k in range(40)]
     got = jaccard_join.jaccard_join(documents(spark, near)).collect()
@@ -102,10 +103,62 @@ def test_jaccard_join_repeats_and_empty(spark):
     assert jaccard_join.jaccard_join(documents(spark, [])).count() == 0
 
 
-def test_forest_prefix():
+def test_forest_prefixes():
     forest = jaccard_join.Forest()
-    d = forest.prefix()
-    assert 1 - (1 - 0.8**d) ** forest.trees >= forest.recall > 1 - (1 - 0.8 ** (d + 1)) ** forest.trees
+    d = forest.shortest()
+    assert forest.found(0.8, d) >= forest.recall > forest.found(0.8, d + 1)
+    assert forest.lengths() == [10, 9, 8, 7]
+
+
+def test_prefixes_are_shortened_as_far_as_the_links_need(spark):
+    forest = jaccard_join.Forest()
+
+    def needs(*similarities):
+        rows = [(1 / forest.found(s, 10), *((1 - forest.found(s, d)) / forest.found(s, 10) for d in forest.lengths())) for s in similarities]
+        return jaccard_join.enough(spark.createDataFrame(rows, "weight double, missed10 double, missed9 double, missed8 double, missed7 double"), forest, 10)
+
+    assert [needs(0.99), needs(0.82), needs(0.8), needs(*[0.95] * 400, 0.8)] == [10, 8, 7, 9]
+
+
+def test_paths_are_tries():
+    """Equal prefixes of paths are equal min-hashes, and near copies share long ones more often than others."""
+    forest = jaccard_join.Forest()
+    w = [f"w{k}" for k in range(200)]
+    texts = [" ".join(w), " ".join([*w[:195], "other"]), " ".join(w[:100] + [f"x{k}" for k in range(100)]), " ".join(f"y{k}" for k in range(200))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array(texts)], names=["doc_id", "text"])
+    out = next(jaccard_join._signer(forest)(iter([batch])))
+    paths = np.array(out.column("paths").to_pylist(), np.int64).view(np.uint64)
+    shared = [[int((paths[0] >> np.uint64(8 * k) == paths[j] >> np.uint64(8 * k)).sum()) for k in range(4)] for j in (1, 2, 3)]
+    assert all(a <= b for s in shared for a, b in zip(s, s[1:], strict=False))
+    assert shared[0][3] > 30 and shared[1][3] < 8 and shared[2] == [0, 0, 0, 0]
+    sketch = np.array([list(x) for x in out.column("sketch").to_pylist()])
+    assert (sketch[0] == sketch[1]).mean() > 0.85 and 0.2 < (sketch[0] == sketch[2]).mean() < 0.5 and (sketch[0] == sketch[3]).mean() < 0.1
+
+
+def test_ties_connect_what_is_similar():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (5, 128), dtype=np.uint8)
+    rows, of = [], []
+    for k in range(300):
+        x = base[k % 5].copy()
+        at = rng.choice(128, rng.integers(0, 14), replace=False)
+        x[at] = rng.integers(0, 256, len(at))
+        rows.append(x)
+        of.append(k % 5)
+    ties, leaders = jaccard_join.tied(np.array(rows))
+    assert len(ties) == 295 and all(of[i] == of[j] for i, j in ties) and len(leaders) < 150
+
+
+def test_chance_collisions_do_not_chain(spark, monkeypatch):
+    """Texts that share half of their shingles meet in buckets, yet are not grouped."""
+    r = random.Random(2)
+    shared = [f"s{k}" for k in range(60)]
+    rows = [(d, " ".join(shared + [f"d{d}x{k}" for k in range(60 + r.randrange(5))])) for d in range(120)] + [(500 + d, " ".join(shared + [f"d{d}x{k}" for k in range(58)])) for d in range(0, 120, 7)]
+    groups = []
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda e, f=jaccard_join.connected_components: groups.append(f(e)) or groups[-1])
+    got = jaccard_join.jaccard_join(documents(spark, rows)).collect()
+    assert {x.doc_id: (x.class_id, x.n_links) for x in got} == brute_join(rows)
+    assert groups[0].groupBy("component").count().agg(F.max("count")).first()[0] <= 3
 
 
 def test_components(spark):
