@@ -8,14 +8,17 @@ each of them. Equal k-mers have equal anchors, so k-mers meet inside one anchor'
 1. Every path is listed with its coordinates and a digest of all its k-mers (a path has some 20).
    An aggregate keeps anchors that occur in two documents, and a join keeps their paths: all other
    k-mers are unique.
-2. Equal paths compact to one, with the smallest document that holds it (an aggregate, then a join back).
-3. Where an anchor has several different compacted paths (branches, or passages that end), these are
-   read again at their source coordinates and opened into single k-mers, which meet in an aggregate and
-   a join on (anchor, k-mer digest).
-4. Covered words are mapped back to every coordinate of every path.
-
-Two paths are held to be equal if 64-bit digests of the anchor and of all k-mers agree. Texts are only
-shuffled for documents that a bitmap of fixed size can't rule out.
+2. Equal paths compact to one, with the smallest document that holds it (an aggregate, then a join back;
+   paths that are very common are joined by broadcast, since there can only be few of those).
+3. Compacted paths that occur again are read at their source coordinates. Where an anchor has several
+   (branches, or passages that end), they are opened into single k-mers, which meet in an aggregate and a
+   join on (anchor, k-mer digest).
+4. Covered words are mapped back to every coordinate of every path. Before words are removed, the span at
+   each coordinate is verified: a second, cryptographic digest of its text must be that of the span at the
+   source coordinate.
+
+Paths meet by 64-bit digests of the anchor and of all k-mers. Texts are only shuffled for documents that a
+bitmap of fixed size can't rule out.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from .filters import bitmap, hits, maybe_in
 from .scratch import split_hot_keys, text_chunks, written
 from .words import U64, Words, column_bytes, mix, split_words
 
+#: Paths with more than this share of all rows are joined by broadcast.
+COMMON = 1_000
 P1, P2 = U64(0x9FB21C651E98DF25), U64(0xC2B2AE3D27D4EB4F)
 
 
@@ -100,7 +105,7 @@ def _lister(window: int, anchor: int):
     schema = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_chunks(batches):
             words = split_words(batch.column("text"))
             w = words.hashes()
             a, place, start, n = paths(words, w, window, anchor)
@@ -115,27 +120,48 @@ def _lister(window: int, anchor: int):
     return listed
 
 
-OPENED = "anchor long, unit long, low long, kmers array<long>"
+OPENED = "anchor long, unit long, low long, check long, kmers array<long>, checks array<long>"
+
+
+def text_check(words: list[bytes]) -> int:
+    """A cryptographic digest of words as they are, in 64 bits."""
+    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
 
 def _opener(window: int, anchor: int):
-    schema = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("low", pa.int64()), ("kmers", pa.list_(pa.int64()))])
+    """Reads compacted paths at their source: a digest of the span and, where `open`, its k-mers and their digests."""
+    longs = pa.list_(pa.int64())
+    schema = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("low", pa.int64()), ("check", pa.int64()), ("kmers", longs), ("checks", longs)])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_chunks(batches):
             words = split_words(batch.column("text"))
             w = words.hashes()
             a, place, start, n = paths(words, w, window, anchor)
-            wanted = batch.column("starts")
+            wanted = batch.column("wanted")
             sizes = wanted.value_lengths().to_numpy(zero_copy_only=False)
-            pick = np.flatnonzero(np.isin(start, np.repeat(words.first[:-1], sizes) + wanted.flatten().to_numpy()))
+            first, is_open = (wanted.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("start", "open"))
+            first = np.repeat(words.first[:-1], sizes) + first
+            pick = np.flatnonzero(np.isin(start, first))
             if not len(pick):
                 continue
             a, place, start, n = a[pick], place[pick], start[pick], n[pick]
             unit, each, ends = unit_digests(w, window, place, start, n)
             doc = np.searchsorted(words.first, start, side="right") - 1
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(each.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(unit.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), lists], schema=schema)
+            branched = np.isin(start, first[is_open])
+            split: dict[int, list[bytes]] = {}
+            rows: list[tuple] = []
+            for k, (d, at, size, end, more) in enumerate(zip(doc.tolist(), start.tolist(), n.tolist(), ends.tolist(), branched.tolist(), strict=True)):
+                if d not in split:
+                    split = {d: batch.column("text")[d].as_py().encode().split()}
+                at -= int(words.first[d])
+                text = split[d][at : at + size - 1 + window]
+                kmers = each[end - size : end].view(np.int64).tolist() if more else None
+                rows.append((text_check(text), kmers, [text_check(text[i : i + window]) for i in range(size)] if more else None))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(a.view(np.int64)), pa.array(unit.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), longs, longs)))],
+                schema=schema,
+            )
 
     return opened
 
@@ -148,7 +174,7 @@ def _untouched(bits, with_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.string())])
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_chunks(batches):
             data, offsets = column_bytes(batch.column("text"))
             raw = data.tobytes()
             open_ = hits(bits.value, batch.column("key")) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
@@ -169,7 +195,7 @@ def _remover(window: int, with_text: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * with_text)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_chunks(batches):
             n, gone, digest, texts = [], [], [], []
             for count, done, text, ranges in zip(*(batch.column(c).to_pylist() for c in ("n_words", "kept_sha256", "text", "ranges")), strict=True):
                 if done is not None:
@@ -180,9 +206,10 @@ def _remover(window: int, with_text: bool):
                     continue
                 words = text.encode().split()
                 n.append(len(words))
-                if ranges:
+                spans = [(x["start"], x["start"] + x["n"] - 1 + window, x["check"]) for x in ranges or ()]
+                r = np.array([(a, b) for a, b, check in spans if text_check(words[a:b]) == check], np.int64).reshape(-1, 2)
+                if len(r):
                     edge = np.zeros(len(words) + 1, np.int64)
-                    r = np.array([(x["start"], x["start"] + x["n"] - 1 + window) for x in ranges])
                     np.add.at(edge, r[:, 0], 1)
                     np.add.at(edge, r[:, 1], -1)
                     out = np.cumsum(edge[:-1]) > 0
@@ -208,37 +235,45 @@ def substring_dedup(documents: DataFrame, window: int = 50, anchor: int = 10, wi
     other. A very long text is one row; no part of it is left out. Needs 1 < anchor < window.
     """
     spark = documents.sparkSession
-    split_hot_keys(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
-
     docs = docs.withColumn("key", F.xxhash64("doc_id", "version"))
-    known = docs.where("doc_id is not null")
+    with split_hot_keys(spark):
+        removal = _removal(docs.where("doc_id is not null"), window, anchor)
+    bits = spark.sparkContext.broadcast(bitmap(removal.select("key")))
+    first = docs.mapInArrow(_untouched(bits, with_text), "doc_id long, version long, n_words long, kept_sha256 string, text string")
+    both = first.join(removal.drop("key"), ["doc_id", "version"], "left")
+    return both.select("doc_id", "n_words", "kept_sha256", "text", "ranges").mapInArrow(_remover(window, with_text), KEPT + (", kept_text string" if with_text else ""))
+
+
+def _removal(known: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(doc_id, version, ranges, key): starts and numbers of k-mers to be removed, and the digest that their text must have."""
     listed = written(known.select("doc_id", "version", "text").mapInArrow(_lister(window, anchor), LISTED), "paths")
     anchors = written(listed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
     found = written(listed.join(anchors, "anchor"), "found")
 
-    units = written(found.groupBy("anchor", "unit").agg(F.min(F.struct("doc_id", "version", "start")).alias("at")).select("anchor", "unit", "at.*"), "units")
-    branched = written(units.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "branched")
-    sources = written(units.join(branched, "anchor").groupBy("doc_id", "version").agg(F.collect_list("start").alias("starts")).withColumn("key", F.xxhash64("doc_id", "version")), "sources")
+    counted = found.groupBy("anchor", "unit").agg(F.min(F.struct("doc_id", "version", "start")).alias("at"), F.max("doc_id").alias("high"), F.count("*").alias("rows"))
+    units = written(counted.select("anchor", "unit", "at.*", (F.col("at.doc_id") < F.col("high")).alias("again"), "rows"), "units")
+    branched = written(units.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", F.lit(True).alias("open")), "branched")
+    wanted = units.join(branched, "anchor", "left").where("again or open").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", F.coalesce("open", F.lit(False)).alias("open"))).alias("wanted"))
+    sources = written(wanted.withColumn("key", F.xxhash64("doc_id", "version")), "sources")
     texts = maybe_in(known, bitmap(sources.select("key"))).join(sources.drop("key"), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
-    opened = written(texts.select("doc_id", "text", "starts").mapInArrow(_opener(window, anchor), OPENED), "opened")
-    each = opened.select("anchor", "unit", "low", F.posexplode("kmers").alias("place", "kmer"))
-    earliest = each.groupBy("anchor", "kmer").agg(F.min("low").alias("first"))
-    partly = each.join(earliest, ["anchor", "kmer"]).where("first < low").groupBy("anchor", "unit").agg(F.collect_set("place").alias("places"))
-    compact = units.select("anchor", "unit", F.col("doc_id").alias("low")).join(partly, ["anchor", "unit"], "left")
-
-    whole = F.array(F.struct(F.col("start"), F.col("n")))
-    single = F.transform("places", lambda p: F.struct((F.col("start") + p).alias("start"), F.lit(1).alias("n")))
-    ranges = (
-        found.join(compact, ["anchor", "unit"])
-        .where("doc_id > low or places is not null")
-        .select("doc_id", "version", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(single)).alias("r"))
-    )
-    removal = written(ranges.groupBy("doc_id", "version").agg(F.collect_set("r").alias("ranges")).withColumn("key", F.xxhash64("doc_id", "version")), "ranges")
-    bits = spark.sparkContext.broadcast(bitmap(removal.select("key")))
-    first = docs.mapInArrow(_untouched(bits, with_text), "doc_id long, version long, n_words long, kept_sha256 string, text string")
-    both = first.join(removal.drop("key"), ["doc_id", "version"], "left")
-    return both.select("doc_id", "n_words", "kept_sha256", "text", "ranges").mapInArrow(_remover(window, with_text), KEPT + (", kept_text string" if with_text else ""))
+    opened = written(texts.select("doc_id", "text", "wanted").mapInArrow(_opener(window, anchor), OPENED), "opened")
+
+    each = opened.where("kmers is not null").select("anchor", "unit", "low", F.posexplode(F.arrays_zip("kmers", "checks")).alias("place", "k")).select("anchor", "unit", "low", "place", F.col("k.kmers").alias("kmer"), F.col("k.checks").alias("check"))
+    earliest = each.groupBy("anchor", "kmer").agg(F.min(F.struct(F.col("low").alias("first"), "check")).alias("e")).select("anchor", "kmer", "e.first", F.col("e.check").alias("source"))
+    partly = each.join(earliest, ["anchor", "kmer"]).where("first < low").groupBy("anchor", "unit").agg(F.collect_set(F.struct("place", "source")).alias("places"))
+    compact = units.select("anchor", "unit", F.col("doc_id").alias("low"), "rows").join(opened.select("anchor", "unit", "check"), ["anchor", "unit"], "left").join(partly, ["anchor", "unit"], "left")
+    compact = written(compact, "compact")
+
+    # Of paths with more than a COMMON-th of all rows there are fewer than COMMON.
+    total = found.count()
+    common = compact.where(F.col("rows") * COMMON > total).drop("rows")
+    rest = found.join(F.broadcast(common.select("anchor", "unit")), ["anchor", "unit"], "left_anti").join(compact.drop("rows"), ["anchor", "unit"])
+    mapped = found.join(F.broadcast(common), ["anchor", "unit"]).unionByName(rest)
+    whole = F.array(F.struct(F.col("start"), F.col("n"), F.col("check")))
+    single = F.transform("places", lambda p: F.struct((F.col("start") + p["place"]).alias("start"), F.lit(1).alias("n"), p["source"].alias("check")))
+    ranges = mapped.where("doc_id > low or places is not null").select("doc_id", "version", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(single)).alias("r"))
+    return written(ranges.groupBy("doc_id", "version").agg(F.collect_set("r").alias("ranges")).withColumn("key", F.xxhash64("doc_id", "version")), "ranges")
 
 
 SQL = r"""

@@ -210,6 +210,22 @@ def test_substring_dedup(spark, docs, window, anchor):
     assert all(r.n_removed == 0 for r in got if r.doc_id is None)
 
 
+def test_common_passages_are_split(spark, docs):
+    passage = " ".join(f"c{k}" for k in range(70))
+    rows = docs + [(4000 + k, f"u{k} v{k} {passage} w{k}") for k in range(300)]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(documents(spark, rows)).collect() if r.doc_id is not None} == brute_removal(rows, 50)
+
+
+def test_spans_are_verified_before_they_go():
+    text = [f"w{k}" for k in range(80)]
+    right = substring_dedup.text_check([t.encode() for t in text[5:60]])
+    for check, gone in ((right, 55), (right + 1, 0)):
+        ranges = pa.array([[{"start": 5, "n": 6, "check": check}]], pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("check", pa.int64())])))
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([None], pa.int64()), pa.array([None], pa.string()), pa.array(["  ".join(text)]), ranges], names=["doc_id", "n_words", "kept_sha256", "text", "ranges"])
+        out = next(substring_dedup._remover(50, False)(iter([batch])))
+        assert out.column("n_removed").to_pylist() == [gone]
+
+
 def test_substring_dedup_text_and_empty(spark):
     t = " ".join(f"w{k}" for k in range(60))
     got = {r.doc_id: r.kept_text for r in substring_dedup.substring_dedup(documents(spark, [(1, t), (2, "start  " + t), (3, "free")]), with_text=True).collect()}
