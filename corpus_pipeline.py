@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm.decontaminate import contamination
-from seriesmill.llm.filters import LEAST_ID, without_rows
+from seriesmill.llm.filters import BROADCAST_IDS, LEAST_ID, without_rows
 from seriesmill.llm.jaccard_join import jaccard_join
 from seriesmill.llm.packing import best_fit_pack
 from seriesmill.llm.queries import byte_bpe, table
@@ -33,8 +33,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     def copies(rows: DataFrame) -> DataFrame:
         # An id that stands for a text is below all true ones; where a class has a true one, the least true one stays.
         found = written(jaccard_join(rows), "classes")
-        true = found.where((F.col("class_id") < LEAST_ID) & (F.col("doc_id") >= LEAST_ID)).groupBy("class_id").agg(F.min("doc_id").alias("stays"))
-        return found.join(true, "class_id", "left").where(F.col("doc_id") != F.coalesce("stays", "class_id"))
+        true = written(found.where((F.col("class_id") < LEAST_ID) & (F.col("doc_id") >= LEAST_ID)).groupBy("class_id").agg(F.min("doc_id").alias("stays")), "stays")
+        few = true.count() <= BROADCAST_IDS
+        return found.join(F.broadcast(true) if few else true, "class_id", "left").where(F.col("doc_id") != F.coalesce("stays", "class_id"))
 
     return without_rows(named.unionByName(nameless), copies)
 
