@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -17,12 +18,13 @@ TEXT_ROWS, TEXT_BYTES = 256, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in spark.checkpoint.dir; a session that names none can't run what needs it."""
+    """This application's folder in spark.checkpoint.dir; where a session on one machine names none, a new one that it then names."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.scratch"  # one machine: any folder is shared
+        found = f"file://{tempfile.mkdtemp(prefix='seriesmill-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
