@@ -71,3 +71,28 @@ def next_rotation(now_ms: Column, phase: Column, duration: int = TWO_HOURS) -> C
     shift = F.floor(phase * duration)
     at = F.floor((now_ms - shift) / duration) * duration + shift
     return (at + duration).cast("long")
+
+
+def persist(samples: DataFrame, plan: DataFrame, path: str, duration: int = TWO_HOURS) -> DataFrame:
+    """Writes the samples(head, series_id, ts_ms, value) of heads that plan(id, action) says to write; returns (id, status) after it.
+
+    Heads in one call go together; a failure raises and leaves their records as they are, so the next round
+    writes them again, and readers take one of equal samples.
+    """
+    due = plan.where("action = 'write'").select(F.col("id").alias("head"))
+    write_blocks(samples.join(due, "head", "left_semi").drop("head"), path, duration)
+    return plan.where("action in ('write', 'discard')").select("id", F.lit("persisted").alias("status"))
+
+
+#: Fixed value: the digits of block ids.
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def block_id(at_ms: Column, seed: Column) -> Column:
+    """A sortable id of 26 digits: 48 bits of time and 80 bits that a hash of seed gives."""
+
+    def digits(bits: Column, n: int) -> Column:
+        return F.lpad(F.translate(F.upper(bits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", CROCKFORD), n, "0")
+
+    noise = F.md5(seed)
+    return F.concat(digits(F.conv(at_ms.cast("string"), 10, 32), 10), digits(F.conv(F.substring(noise, 1, 10), 16, 32), 8), digits(F.conv(F.substring(noise, 11, 10), 16, 32), 8))

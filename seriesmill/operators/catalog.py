@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STATUSES = ("new", "rotated", "corrupted", "persisted", "active")
@@ -45,9 +45,40 @@ def mismatched(last_appended: str, loaded: str):
     return F.when(F.col(last_appended).isNull(), F.col(loaded) != 0).otherwise(F.col(last_appended) + 1 != F.col(loaded))
 
 
-def resume_order(records: DataFrame) -> DataFrame:
-    """Heads with their successor by creation."""
-    return live(records).select("id", "created_at", F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("created_at", "id")).alias("next_id"))
+def append(records: DataFrame, path: str) -> None:
+    """Adds records to the log; the log is only ever appended to."""
+    records.write.mode("append").parquet(path)
+
+
+def compact(log: DataFrame) -> DataFrame:
+    """The log without what it no longer needs: the last record of each head that is not deleted, in today's form."""
+    return live(latest(log)).select(log.columns)
+
+
+def listed(records: DataFrame, where: str, order: list[str]) -> DataFrame:
+    """Live heads that a condition holds for, in an order, which the id makes total."""
+    return live(records).where(where).orderBy(*order, "id")
+
+
+def chain_from(records: DataFrame, head: int) -> DataFrame:
+    """(id, created_at) of a head and all that were created after it, in order: what a reader that resumes there goes through."""
+    heads = live(records)
+    start = heads.where(F.col("id") == head).agg(F.min(F.struct("created_at", "id")).alias("start"))
+    return heads.join(start, F.lit(True)).where(F.struct("created_at", "id") >= F.col("start")).select("id", "created_at").orderBy("created_at", "id")
+
+
+def persist_plan(heads: DataFrame, now_ms: int, retention_ms: int, retry_ms: int) -> DataFrame:
+    """(id, action) of rotated heads(id, status, corrupted, max_ts, tried_ms, persisted_ms): discard, write, wait or shrink.
+
+    A head whose samples are all older than the retention is discarded unwritten; one whose last attempt is
+    less than retry_ms ago waits; a persisted one is kept until the retention after it was written, then shrunk.
+    """
+    old = F.lit(now_ms) - F.col("max_ts") > retention_ms
+    waits = F.coalesce(F.lit(now_ms) - F.col("tried_ms") < retry_ms, F.lit(False))
+    persisted = F.col("status") == "persisted"
+    shrink = F.coalesce(F.lit(now_ms) - F.col("persisted_ms") > retention_ms, F.lit(False))
+    action = F.when(persisted, F.when(shrink, "shrink").otherwise("wait")).when(old, "discard").when(waits, "wait").otherwise("write")
+    return heads.where("status in ('rotated', 'persisted')").select("id", action.alias("action"))
 
 
 def head_to_resume(records: DataFrame, cursors: DataFrame) -> DataFrame:

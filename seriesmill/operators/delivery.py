@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .folds import ordered_fold
+from .wal import bodies
 
 
 def age_filter(samples: DataFrame, lower: int) -> DataFrame:
@@ -101,10 +102,17 @@ def post_accounting(messages: DataFrame) -> DataFrame:
 
 
 def encode_shards(samples: DataFrame, shards: int) -> DataFrame:
-    """(shard, samples, series, max_ts): what each output shard carries; a series always goes to one shard."""
-    dealt = samples.withColumn("shard", shard_of(F.col("ls_key"), shards))
-    per = dealt.groupBy("shard", "ls_key").agg(F.count("*").alias("n"), F.max("ts_ms").alias("high"))
-    return per.groupBy("shard").agg(F.sum("n").alias("samples"), F.count("*").alias("series"), F.max("high").alias("max_ts"))
+    """(batch, shard, samples, series, max_ts, body): the body that each output shard sends for each batch.
+
+    samples(batch, labels, ls_key, ts_ms, value). A series always goes to one shard; send batching bounds a body.
+    """
+    return bodies(samples.withColumn("shard", shard_of(F.col("ls_key"), shards)), ["batch", "shard"])
+
+
+def worth_sending(messages: DataFrame, lower: int | None = None) -> DataFrame:
+    """messages(body, samples, max_ts): those with samples of which, while they waited, not all have become too old."""
+    full = messages.where((F.col("samples") > 0) & (F.octet_length("body") > 0))
+    return full if lower is None else full.where(F.col("max_ts") >= lower)
 
 
 def shard_of(key: Column, shards: int) -> Column:
@@ -130,19 +138,63 @@ def open_head_batches(rows: DataFrame, most: int = 40_000, age_ms: int = 5_000,
     return ordered_fold(rows.select("row_id", "shard", "ts_ms"), "shard", ["ts_ms", "row_id"], lambda: None, step, ["ts_ms"], ["segment"], "row_id long, shard long, ts_ms long, segment long")
 
 
+def send_batches(segments: DataFrame, per_send: int, deadline_ms: int) -> DataFrame:
+    """segments(dest, segment, shards, samples, read_ms) with `batch`, from 0 within each destination.
+
+    A batch takes segments in order until it holds more than shards x per_send samples or a segment is read
+    deadline_ms after its first one; that segment is its last.
+    """
+
+    def step(state: tuple | None, v: tuple) -> tuple[tuple, tuple[int]]:
+        shards, samples, at = map(int, v)
+        batch, first, held = state or (0, at, 0)
+        first = at if first is None else first
+        held += samples
+        if held > shards * per_send or at - first >= deadline_ms:
+            return (batch + 1, None, 0), (batch,)
+        return (batch, first, held), (batch,)
+
+    rows = segments.select("dest", "segment", F.col("shards").cast("long").alias("shards"), F.col("samples").cast("long").alias("samples"), "read_ms")
+    return ordered_fold(rows, "dest", ["segment"], lambda: None, step, ["shards", "samples", "read_ms"], ["batch"], "dest string, segment long, shards long, samples long, read_ms long, batch long")
+
+
+def apply_responses(acked: DataFrame, responses: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(acked, rejects) after responses(dest, shard, segment, ok): an ack moves the last segment forward only."""
+    moved = responses.where("ok").select("dest", "shard", F.col("segment").alias("last_segment"))
+    after = acked.select("dest", "shard", "last_segment").unionByName(moved).groupBy("dest", "shard").agg(F.max("last_segment").alias("last_segment"))
+    return after, responses.where("not ok").select("dest", "shard", "segment").distinct()
+
+
+def rejects_in_order(rejects: DataFrame) -> DataFrame:
+    return rejects.orderBy("shard", "segment")
+
+
+def exchange_state(events: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
+    """(shard, segment, state) of events(shard, segment, kind: put, ack or reject, at_ms): acked, rejected, expired or waiting.
+
+    A rejected segment rejects all later ones of its shard that are not acknowledged.
+    """
+    per = events.groupBy("shard", "segment").agg(F.min(F.when(F.col("kind") == "put", F.col("at_ms"))).alias("put"), F.bool_or(F.col("kind") == "ack").alias("acked"), F.bool_or(F.col("kind") == "reject").alias("rejected"))
+    first = per.where("rejected").groupBy("shard").agg(F.min("segment").alias("first"))
+    late = F.coalesce(F.col("segment") >= F.col("first"), F.lit(False))
+    state = F.when(F.col("acked"), "acked").when(late, "rejected").when(F.col("put") + ttl_ms < now_ms, "expired").otherwise("waiting")
+    return per.where("put is not null").join(first, "shard", "left").select("shard", "segment", state.alias("state"))
+
+
+def write_refill(due: DataFrame, segments: DataFrame, path: str) -> None:
+    """Appends due segments(head, shard, segment) with their payloads to the refill table, in files by shard."""
+    rows = segments.join(due.select("head", "shard", "segment").distinct(), ["head", "shard", "segment"], "left_semi")
+    rows.write.mode("append").partitionBy("head", "shard").parquet(path)
+
+
+def read_refill(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The segments of the refill table that keys(head, shard, segment) name; one that was written twice comes once."""
+    table = spark.read.schema("segment long, samples long, crc long, payload binary, head string, shard int").parquet(path)
+    return table.join(keys.select("head", "shard", "segment").distinct(), ["head", "shard", "segment"], "left_semi").dropDuplicates(["head", "shard", "segment"])
+
+
 def config_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """(dest, change) of old and new (dest, config): stop, start or restart."""
     both = old.select("dest", F.col("config").alias("was")).join(new.select("dest", F.col("config").alias("now")), "dest", "full_outer")
     change = F.when(F.col("now").isNull(), "stop").when(F.col("was").isNull(), "start").when(F.col("was") != F.col("now"), "restart")
     return both.select("dest", change.alias("change")).where("change is not null")
-
-
-def heartbeat(spark: SparkSession, now_ms: int, sent_ns: int, agent: str, host: str, prefix: str = "agent", config: str = "/etc/agent/config.yaml") -> DataFrame:
-    """Three samples that an agent adds to each segment: when it sent it, that it lives, and its clock's offset."""
-    base = {"agent_uuid": agent, "instance": host}
-    rows = [
-        ({"__name__": f"{prefix}__timestamp", "conf": config, "job": "heartbeat", "plugin": "heartbeat", "plugin_instance": config} | base, now_ms, sent_ns / 1e9),
-        ({"__name__": f"{prefix}__heartbeat", "job": "collector"} | base, now_ms, 1.0),
-        ({"__name__": "time__offset__collector", "job": "collector"} | base, now_ms, (now_ms * 1_000_000 - sent_ns) / 1e9),
-    ]
-    return spark.createDataFrame(rows, "labels map<string,string>, ts_ms long, value double")

@@ -10,7 +10,7 @@ import hashlib
 import json
 import re
 from dataclasses import asdict, dataclass
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -224,6 +224,56 @@ def target_labels(labels: Column, added: dict[str, str], honor: bool = False) ->
     return labels
 
 
+@dataclass(frozen=True)
+class Destination:
+    """Where series go: external labels are added, then the rules run."""
+
+    name: str
+    external: tuple[tuple[str, str], ...] = ()
+    rules: tuple[Rule, ...] = ()
+
+    @property
+    def shrinkable(self) -> bool:
+        """Whether series keep their labels, so that no mapping is needed."""
+        return not self.external and only_filters(list(self.rules))
+
+
+def output_relabel(series: DataFrame, destinations: list[Destination]) -> DataFrame:
+    """(dest, series_id, labels, ls_key): what each destination gets of series(series_id, labels, ls_key).
+
+    Destinations are a configuration, so a branch for each is a short plan; series are the small dimension.
+    """
+    outs = []
+    for d in destinations:
+        rows = series.select("series_id", "labels", "ls_key")
+        if d.external:
+            rows = rows.withColumn("labels", external_labels(F.col("labels"), dict(d.external)))
+        rows = relabel(rows, list(d.rules)).withColumn("ls_key", canonical(F.col("labels")))
+        outs.append(rows.select(F.lit(d.name).alias("dest"), "series_id", "labels", "ls_key"))
+    return reduce(DataFrame.unionByName, outs)
+
+
+def mapping(series: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(config, ls_key, target_labels, target_key) of series(labels, ls_key): nulls where the rules drop a series."""
+    rows = relabeled(series.select("ls_key", "labels"), "target_labels", rules).select("ls_key", "target_labels")
+    kept = F.when(F.size("target_labels") > 0, F.col("target_labels"))
+    return rows.select(F.lit(config_hash(rules)).alias("config"), "ls_key", kept.alias("target_labels"), F.when(kept.isNotNull(), canonical(kept)).alias("target_key"))
+
+
+def cached_mapping(series: DataFrame, cache: DataFrame, rules: list[Rule]) -> tuple[DataFrame, DataFrame]:
+    """(mapping of all series, what of it the cache lacked): rules only run on series that cache, a stored mapping, lacks under them."""
+    held = cache.where(F.col("config") == config_hash(rules)).join(series.select("ls_key"), "ls_key", "left_semi").select(cache.columns)
+    fresh = mapping(series.join(held.select("ls_key"), "ls_key", "left_anti"), rules)
+    return held.unionByName(fresh), fresh
+
+
+def input_relabel(samples: DataFrame, mapped: DataFrame, shards: int) -> DataFrame:
+    """(shard, ls_key, labels, ts_ms, value): samples(ls_key, ts_ms, value) under their target labels, on their target's shard."""
+    kept = mapped.where("target_key is not null").select("ls_key", "target_key", "target_labels")
+    rows = samples.select("ls_key", "ts_ms", "value").join(kept, "ls_key")
+    return rows.select((low_md5(F.col("target_key")) % shards).cast("int").alias("shard"), F.col("target_key").alias("ls_key"), F.col("target_labels").alias("labels"), "ts_ms", "value")
+
+
 def relabel_stats(samples: DataFrame, known: DataFrame) -> DataFrame:
     """(samples_added, series_added) of a batch (ls_key, ...): series count if known(ls_key) lacks them."""
     per = samples.groupBy("ls_key").agg(F.count("*").alias("n")).join(known.select("ls_key").distinct().withColumn("old", F.lit(1)), "ls_key", "left")

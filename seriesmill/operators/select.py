@@ -66,6 +66,12 @@ def symbols(series: DataFrame) -> DataFrame:
     return series.select(F.explode(F.concat(F.map_keys("labels"), F.map_values("labels"))).alias("symbol")).distinct()
 
 
+def label_indices(series: DataFrame) -> DataFrame:
+    """(name, place, value): the values of each name in order, a row each, so no list grows with a name's values."""
+    values = label_pairs(series).select("name", "value").distinct()
+    return values.select("name", (F.row_number().over(Window.partitionBy("name").orderBy("value")) - 1).alias("place"), "value")
+
+
 def union_heads(heads: list[DataFrame]) -> DataFrame:
     """(ls_key, ts_ms, value) of several heads; at the same label set and time the first head's sample stays."""
     tagged = [h.select("ls_key", "ts_ms", "value").withColumn("head", F.lit(k)) for k, h in enumerate(heads)]

@@ -11,6 +11,11 @@ def with_timestamps(ts: Column, default: Column, honor: bool) -> Column:
     return F.coalesce(ts, default) if honor else default
 
 
+def tracked(scrapes: DataFrame, track_timestamps: bool) -> DataFrame:
+    """The rows of scrapes(..., explicit) whose going stale is tracked: series with times of their own only on request."""
+    return scrapes if track_timestamps else scrapes.where(~F.col("explicit"))
+
+
 def stale_markers(scrapes: DataFrame) -> DataFrame:
     """(target, scrape_ts, ls_key): series that were in the target's previous scrape and are not in this one.
 

@@ -1,6 +1,6 @@
 """Ready queries over the test tables, each with the SQL that it must agree with."""
 
-from . import ingestion, relabeling, selection
+from . import forwarding, ingestion, relabeling, selection
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "ingestion", "relabeling", "selection"]
+__all__ = ["QUERIES", "SQL", "forwarding", "ingestion", "relabeling", "selection"]

@@ -216,20 +216,11 @@ def post_accounting(spark: SparkSession, d: str) -> DataFrame:
     return delivery.post_accounting(rows)
 
 
-@query(f"WITH {EVENTS}, s AS (SELECT *, (('0x' || substr(md5(ls_key), 17, 16))::UBIGINT % 8)::INTEGER AS shard FROM ev) SELECT shard, count(*) AS samples, count(DISTINCT ls_key) AS series, max(ts_ms) AS max_ts FROM s GROUP BY shard")
-def remote_write_encode(spark: SparkSession, d: str) -> DataFrame:
-    return delivery.encode_shards(_keyed(spark, d, _events(spark, d)), 8)
-
-
-@query("SELECT * FROM (VALUES ('a', 'stop'), ('b', 'restart'), ('d', 'start')) t(dest, change)")
+@query("WITH old AS (SELECT c_custkey % 300 AS dest, max(c_nationkey) AS config FROM customer WHERE c_custkey % 7 > 0 GROUP BY 1), new AS (SELECT c_custkey % 300 AS dest, max(c_nationkey) FILTER (c_custkey % 5 > 0) AS config FROM customer WHERE c_custkey % 11 > 0 GROUP BY 1 HAVING count(*) FILTER (c_custkey % 5 > 0) > 0) SELECT dest, CASE WHEN new.config IS NULL THEN 'stop' WHEN old.config IS NULL THEN 'start' ELSE 'restart' END AS change FROM old FULL JOIN new USING (dest) WHERE old.config IS DISTINCT FROM new.config")
 def config_changes(spark: SparkSession, d: str) -> DataFrame:
-    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "dest string, config string")
-    return delivery.config_changes(old, spark.createDataFrame([("b", "2"), ("c", "1"), ("d", "1")], "dest string, config string"))
-
-
-@query("SELECT * FROM (VALUES ('__name__:agent__heartbeat;agent_uuid:u;instance:h;job:collector;', 7000::BIGINT, 1.0::DOUBLE), ('__name__:agent__timestamp;agent_uuid:u;conf:/etc/agent/config.yaml;instance:h;job:heartbeat;plugin:heartbeat;plugin_instance:/etc/agent/config.yaml;', 7000, 5.0), ('__name__:time__offset__collector;agent_uuid:u;instance:h;job:collector;', 7000, 2.0)) t(ls_key, ts_ms, value)")
-def heartbeat(spark: SparkSession, d: str) -> DataFrame:
-    return delivery.heartbeat(spark, 7000, 5_000_000_000, "u", "h").select(canonical(F.col("labels")).alias("ls_key"), "ts_ms", "value")
+    c = bridge.table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 300).alias("dest"), "c_nationkey")
+    old, new = c.where("c_custkey % 7 > 0"), c.where("c_custkey % 11 > 0 and c_custkey % 5 > 0")
+    return delivery.config_changes(*(x.groupBy("dest").agg(F.max("c_nationkey").alias("config")) for x in (old, new)))
 
 
 # Catalogue

@@ -31,9 +31,14 @@ def violations(labels: Column, limits: Limits) -> Column:
 
 
 def check(batches: DataFrame, limits: Limits) -> DataFrame:
-    """(batch_id, series, error) of batches(batch_id, labels): a batch with any violation is rejected as a whole."""
-    got = batches.withColumn("why", violations(F.col("labels"), limits)).groupBy("batch_id").agg(F.count("*").alias("series"), F.min("why").alias("why"))
-    return got.select("batch_id", "series", F.coalesce("why", F.when(_over(F.col("series"), limits.series), "series per batch")).alias("error"))
+    """(batch_id, series, error) of batches(batch_id, labels[, samples]): a batch with any violation is rejected as a whole.
+
+    samples is the number of a series' samples, 1 where there is no such column.
+    """
+    samples = F.sum("samples") if "samples" in batches.columns else F.count("*")
+    got = batches.withColumn("why", violations(F.col("labels"), limits)).groupBy("batch_id").agg(F.count("*").alias("series"), samples.alias("all_samples"), F.min("why").alias("why"))
+    counts = F.when(_over(F.col("series"), limits.series), "series per batch").when(_over(F.col("all_samples"), limits.samples), "samples per batch")
+    return got.select("batch_id", "series", F.coalesce("why", counts).alias("error"))
 
 
 def accepted(batches: DataFrame, limits: Limits) -> DataFrame:

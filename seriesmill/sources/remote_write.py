@@ -140,6 +140,16 @@ def encode_payloads(requests: DataFrame) -> DataFrame:
     return requests.select("payload_id", "series", "metadata").mapInArrow(run, f"payload_id {kind}, body binary")
 
 
+def requests_of_structs(rows: DataFrame) -> DataFrame:
+    """rows(payload_id, labels ARRAY<STRUCT<name, value>>, ts_ms, value), a sample each, as requests(payload_id, series, metadata).
+
+    For batches that a caller holds as structs; a batch is one request.
+    """
+    one = F.struct(F.transform(F.col("labels"), lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value"))).alias("labels"), F.array(F.struct("ts_ms", "value")).alias("samples"))
+    none = F.array().cast("array<struct<metric_name:string,type:int,help:string,unit:string>>")
+    return rows.groupBy("payload_id").agg(F.collect_list(one).alias("series")).withColumn("metadata", none)
+
+
 def samples_of(requests: DataFrame) -> DataFrame:
     """(payload_id, labels, ts_ms, value), a row for each sample."""
     each = requests.select("payload_id", F.explode("series").alias("s"))

@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.blocks import with_block
 from ..operators.replicas import Elected, decide
+from ..operators.wal import decode_segments
 
 
 def read(spark: SparkSession, path: str, schema: Any, files_per_batch: int = 1) -> DataFrame:
@@ -33,6 +34,11 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append", timeout_s: int =
     return df.sparkSession.table(name)
 
 
+def read_log(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
+    """A head's log as it grows: samples of the segments that are new. The checkpoint is the cursor; it moves on after a batch is written."""
+    return decode_segments(read(spark, path, "head string, shard int, segment long, samples long, crc long, payload binary", files_per_batch))
+
+
 def write_blocks(samples: DataFrame, path: str, checkpoint: str, duration: int) -> Any:
     """An exactly-once append of each micro-batch to the folders of its blocks."""
     return with_block(samples, duration).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("block_start").trigger(availableNow=True).start()

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seriesmill.functions import labelset as ls
-from seriesmill.operators import blocks, catalog, delivery, relabel, replicas, select, staleness, status
+from seriesmill.operators import blocks, catalog, delivery, relabel, replicas, select, staleness, status, wal
 from seriesmill.operators.matchers import BadRegex, Matcher, NoPositiveMatchers, query_status
 from seriesmill.operators.relabel import Rule
 from seriesmill.sources import limits, remote_write, segments, text
@@ -377,3 +377,104 @@ def test_empty_tables(spark):
     assert select.select(s, samples, [Matcher("a", "=", "b")], 0, 1).count() == 0
     assert status.totals(s, samples).first()[:] == (0, 0, 0, None, None)
     assert blocks.block_meta(samples).count() == 0
+
+
+class TestLog:
+    def rows(self, spark, *rows):
+        df = spark.createDataFrame([("h", *r) for r in rows], "head string, shard int, segment long, labels map<string,string>, ts_ms long, value double")
+        return df.withColumn("ls_key", ls.canonical(F.col("labels")))
+
+    def log(self, spark):
+        return wal.encode_segments(self.rows(spark, *((s, k, {"__name__": "m", "s": str(s)}, k * 10 + j, math.nan if j else float(k)) for s in (0, 1, 2) for k in range(5) for j in range(2))))
+
+    def test_round_trip(self, spark):
+        back = wal.decode_segments(self.log(spark)).orderBy("shard", "segment", "ts_ms").collect()
+        assert len(back) == 30 and back[0].labels == {"__name__": "m", "s": "0"} and back[1].ts_ms == 1 and math.isnan(back[1].value)
+
+    def test_damage_ends_a_shard(self, spark):
+        log = self.log(spark).withColumn("payload", F.when(F.expr("shard = 1 and segment = 2"), F.lit(b"junk")).when(F.expr("shard = 2 and segment = 0"), F.lit(None)).otherwise(F.col("payload")))
+        head = wal.load_head(log)
+        assert {r.shard: (r.segments, r.corrupted) for r in head.report.collect()} == {0: (5, False), 1: (2, True), 2: (0, True)}
+        assert head.samples.count() == 14 and head.series.count() == 2
+        states = wal.shard_states(log, 3)
+        assert {r.shard: r.state for r in states.collect()} == {0: "ok", 1: "corrupted", 2: "corrupted"}
+        assert not wal.end_of_block(states).first().ended and wal.end_of_block(states.where("shard > 0")).first().ended
+        assert wal.read_segment(log, 3, 31).select("shard", "ts_ms").collect() == [(0, 31)]
+        assert wal.shard_states(log, 9).where("shard = 0").first().state == "wait"
+
+    def test_a_gap_ends_a_shard(self, spark):
+        assert wal.valid_lengths(self.log(spark).where("segment <> 3 and shard = 0")).first()[2:] == (3, True)
+
+    def test_empty(self, spark):
+        none = self.log(spark).limit(0)
+        assert wal.load_head(none).samples.count() == 0 and wal.shard_states(none, 0).count() == 0
+        assert wal.notified(wal.flushed(spark.createDataFrame([], "shard int, segment long, ok boolean"))).first().segment is None
+
+    def test_bodies_are_never_empty(self, spark):
+        sent = delivery.encode_shards(self.rows(spark, (0, 0, {"a": "b"}, 5, 1.0)).withColumn("batch", F.lit(1)), 4)
+        assert delivery.worth_sending(sent).count() == 1 and delivery.worth_sending(sent, 6).count() == 0
+        assert delivery.worth_sending(sent.withColumn("body", F.lit(b""))).count() == 0
+
+    def test_batches_close_with_the_segment_that_fills_them(self, spark):
+        rows = [("d", k, 2, n, at) for k, (n, at) in enumerate([(5, 0), (6, 1), (1, 2), (1, 50), (3, 60), (30, 61)])]
+        got = delivery.send_batches(spark.createDataFrame(rows, "dest string, segment long, shards int, samples int, read_ms long"), 5, 40).orderBy("segment").collect()
+        assert [r.batch for r in got] == [0, 0, 1, 1, 2, 2]
+
+    def test_responses_only_move_forward(self, spark):
+        acked = spark.createDataFrame([("d", 0, 7), ("d", 1, None)], "dest string, shard int, last_segment long")
+        got, rejects = delivery.apply_responses(acked, spark.createDataFrame([("d", 0, 3, True), ("d", 1, 4, True), ("d", 1, 9, False), ("d", 1, 2, False)], "dest string, shard int, segment long, ok boolean"))
+        assert sorted(map(tuple, got.collect())) == [("d", 0, 7), ("d", 1, 4)]
+        assert [r.segment for r in delivery.rejects_in_order(rejects).collect()] == [2, 9]
+
+    def test_stream_resumes_where_it_stopped(self, spark, tmp_path):
+        log, path = self.log(spark), str(tmp_path / "log")
+        for k in range(2):
+            log.where(F.col("segment") == k).write.mode("append").parquet(path)
+            query = stateful.read_log(spark, path).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert spark.read.parquet(str(tmp_path / "out")).count() == 6 * (k + 1)
+
+    def test_block_stream(self, spark, tmp_path):
+        path = str(tmp_path / "in")
+        for k in range(2):
+            spark.createDataFrame([(1, k * 10 + j, 1.0) for j in range(5)], "series_id long, ts_ms long, value double").write.mode("append").parquet(path)
+            stateful.write_blocks(stateful.read(spark, path, "series_id long, ts_ms long, value double"), str(tmp_path / "blocks"), str(tmp_path / "mark"), 10).awaitTermination()
+        got = spark.read.parquet(str(tmp_path / "blocks"))
+        assert {r.block_start: r["count"] for r in got.groupBy("block_start").count().collect()} == {0: 5, 10: 5}
+
+
+def test_mapping_cache_is_kept_by_rules(spark):
+    s = series(spark, {"a": "x"}, {"a": "y"}, {"b": "z"})
+    rules = [Rule(("a",), regex="x", action="drop"), Rule(replacement="1", target_label="c")]
+    first = relabel.mapping(s, rules)
+    assert {r.ls_key: r.target_key for r in first.collect()} == {"a:x;": None, "a:y;": "a:y;c:1;", "b:z;": "b:z;c:1;"}
+    mapped, fresh = relabel.cached_mapping(s, first.where("ls_key = 'a:x;'"), rules)
+    assert mapped.count() == 3 and fresh.count() == 2
+    assert relabel.cached_mapping(s, first, rules[:1])[1].count() == 3
+
+
+def test_destinations(spark):
+    d = [relabel.Destination("a"), relabel.Destination("b", (("z", "1"),)), relabel.Destination("c", (), (Rule(("x",), regex="1", action="keep"),))]
+    assert [x.shrinkable for x in d] == [True, False, True]
+    got = relabel.output_relabel(series(spark, {"x": "1"}, {"x": "2", "z": "own"}), d).collect()
+    assert sorted((r.dest, r.ls_key) for r in got) == [("a", "x:1;"), ("a", "x:2;z:own;"), ("b", "x:1;z:1;"), ("b", "x:2;z:own;"), ("c", "x:1;")]
+
+
+def test_out_of_order_samples(spark):
+    rows = spark.createDataFrame([(1, 5, 1.0, 0), (1, 5, 2.0, 3), (1, 5, 3.0, 2), (2, 5, 4.0, 0)], "series_id long, ts_ms long, value double, seq long")
+    assert sorted(map(tuple, select.latest_wins(rows, "seq").collect())) == [(1, 5, 2.0), (2, 5, 4.0)]
+
+
+def test_block_ids_sort_by_time(spark):
+    got = [r[0] for r in spark.createDataFrame([(1, "a"), (1 << 47, "a"), (1700000000000, "b")], "t long, s string").select(blocks.block_id(F.col("t"), F.col("s"))).collect()]
+    assert got[0] < got[2] < got[1] and all(len(x) == 26 and set(x) <= set(blocks.CROCKFORD) for x in got)
+
+
+def test_persist_again_after_a_failure(spark, tmp_path):
+    heads = spark.createDataFrame([(1, "rotated", False, 90, None, None), (2, "rotated", False, 10, None, None), (3, "rotated", False, 90, 95, None), (4, "persisted", False, 90, None, 20), (5, "active", False, 90, None, None)], "id long, status string, corrupted boolean, max_ts long, tried_ms long, persisted_ms long")
+    plan = catalog.persist_plan(heads, 100, 50, 10)
+    assert {r.id: r.action for r in plan.collect()} == {1: "write", 2: "discard", 3: "wait", 4: "shrink"}
+    samples = spark.createDataFrame([(1, 7, 90, 1.0), (2, 7, 10, 1.0)], "head long, series_id long, ts_ms long, value double")
+    done = blocks.persist(samples, plan, str(tmp_path / "b"), 10)
+    assert {r.id: r.status for r in done.collect()} == {1: "persisted", 2: "persisted"} and spark.read.parquet(str(tmp_path / "b")).count() == 1
+    assert {r.id: r.action for r in catalog.persist_plan(heads, 110, 50, 10).collect()}[3] == "write"
