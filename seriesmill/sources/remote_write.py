@@ -10,13 +10,20 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labelset import from_pairs
+from .limits import Limits
 
 LABEL = "struct<name:string,value:string>"
 REQUEST = f"series array<struct<labels:array<{LABEL}>,samples:array<struct<ts_ms:bigint,value:double>>>>, metadata array<struct<metric_name:string,type:int,help:string,unit:string>>"
+SERIES = pa.list_(pa.struct([("labels", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("samples", pa.list_(pa.struct([("ts_ms", pa.int64()), ("value", pa.float64())])))]))
+METADATA = pa.list_(pa.struct([("metric_name", pa.string()), ("type", pa.int32()), ("help", pa.string()), ("unit", pa.string())]))
+DOUBLE = struct.Struct("<d")
+#: Bodies that are decoded or encoded at once.
+BODIES = 64
 #: The numbers of metric types on the wire.
 TYPES = ("unknown", "counter", "gauge", "histogram", "gaugehistogram", "summary", "info", "stateset")
 
@@ -67,63 +74,163 @@ def signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
-def _label(data: bytes) -> dict:
-    got = dict(fields(data))
-    return {"name": got.get(1, b"").decode(), "value": got.get(2, b"").decode()}
-
-
-def _sample(data: bytes) -> dict:
-    got = dict(fields(data))
-    return {"value": struct.unpack("<d", got.get(1, bytes(8)))[0], "ts_ms": signed(got.get(2, 0))}
-
-
-def decode(payload: bytes) -> dict:
-    """A request of a snappy block."""
-    size, _ = read_varint(payload, 0)
-    data = pa.Codec("snappy").decompress(payload, size, asbytes=True) if size else b""
-    out: dict = {"series": [], "metadata": []}
-    for number, value in fields(data):
-        if number == 1:
-            parts = list(fields(value))
-            out["series"].append({"labels": [_label(v) for n, v in parts if n == 1], "samples": [_sample(v) for n, v in parts if n == 2]})
-        elif number == 3:
-            got = dict(fields(value))
-            out["metadata"].append({"metric_name": got.get(2, b"").decode(), "type": got.get(1, 0), "help": got.get(4, b"").decode(), "unit": got.get(5, b"").decode()})
+class LimitExceeded(ValueError):
+    """A request that breaks a limit; it is rejected as a whole, and no more of it is read."""
+
+
+class Requests:
+    """Decoded requests as flat columns: a list for each leaf, and ends of lists, in the order of the wire."""
+
+    def __init__(self, limits: Limits) -> None:
+        self.limits = limits
+        self.names, self.values, self.label_ends = [], [], [0]
+        self.stamps, self.numbers, self.sample_ends = [], [], [0]
+        self.meta, self.series_ends, self.meta_ends, self.errors = [], [0], [0], []
+
+    def add(self, payload: bytes | None) -> None:
+        """A request of a snappy block; one that can't be read or breaks a limit leaves only its error."""
+        kept = [len(x) for x in (self.names, self.values, self.label_ends, self.stamps, self.numbers, self.sample_ends, self.meta)]
+        error = None
+        try:
+            self._read(payload or b"\x00")
+        except (ValueError, IndexError, OSError, struct.error, AttributeError, TypeError) as e:
+            error = str(e) or type(e).__name__
+            for x, n in zip((self.names, self.values, self.label_ends, self.stamps, self.numbers, self.sample_ends, self.meta), kept, strict=True):
+                del x[n:]
+        self.series_ends.append(len(self.label_ends) - 1)
+        self.meta_ends.append(len(self.meta))
+        self.errors.append(error)
+
+    def _read(self, payload: bytes) -> None:
+        size, _ = read_varint(payload, 0)
+        data = pa.Codec("snappy").decompress(payload, size, asbytes=True) if size else b""
+        series = samples = 0
+        limits = self.limits
+        for number, value in fields(data):
+            if number == 1:
+                series += 1
+                first = len(self.names)
+                for n, part in fields(value):
+                    if n == 1:
+                        self._label(part)
+                    elif n == 2:
+                        self._sample(part)
+                        samples += 1
+                if limits.labels and len(self.names) - first > limits.labels:
+                    raise LimitExceeded("labels per series")
+                if limits.series and series > limits.series:
+                    raise LimitExceeded("series per batch")
+                if limits.samples and samples > limits.samples:
+                    raise LimitExceeded("samples per batch")
+                self.label_ends.append(len(self.names))
+                self.sample_ends.append(len(self.stamps))
+            elif number == 3:
+                got = dict(fields(value))
+                self.meta.append((got.get(2, b"").decode(), got.get(1, 0), got.get(4, b"").decode(), got.get(5, b"").decode()))
+
+    def _label(self, part: bytes) -> None:
+        name = value = b""
+        n = len(part)
+        size = part[1] if n > 1 else 0
+        # Nearly always a short name and then a short value.
+        if n > 1 and part[0] == 10 and size < 128 and n > size + 3 and part[size + 2] == 18 and part[size + 3] < 128 and n == size + 4 + part[size + 3]:
+            name, value = part[2 : size + 2], part[size + 4 :]
+        else:
+            got = dict(fields(part))
+            name, value = got.get(1, b""), got.get(2, b"")
+        if self.limits.name_length and len(name) > self.limits.name_length:
+            raise LimitExceeded("label name length")
+        if self.limits.value_length and len(value) > self.limits.value_length:
+            raise LimitExceeded("label value length")
+        self.names.append(name.decode())
+        self.values.append(value.decode())
+
+    def _sample(self, part: bytes) -> None:
+        if len(part) > 10 and part[0] == 9 and part[9] == 16:
+            self.numbers.append(DOUBLE.unpack_from(part, 1)[0])
+            self.stamps.append(signed(read_varint(part, 10)[0]))
+        else:
+            got = dict(fields(part))
+            self.numbers.append(DOUBLE.unpack(got.get(1, bytes(8)))[0])
+            self.stamps.append(signed(got.get(2, 0)))
+
+    def arrays(self) -> tuple[pa.Array, pa.Array, pa.Array]:
+        """(series, metadata, error) of all requests."""
+        labels = pa.ListArray.from_arrays(pa.array(self.label_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(self.names, pa.string()), pa.array(self.values, pa.string())], ["name", "value"]))
+        samples = pa.ListArray.from_arrays(pa.array(self.sample_ends, pa.int32()), pa.StructArray.from_arrays([pa.array(self.stamps, pa.int64()), pa.array(self.numbers, pa.float64())], ["ts_ms", "value"]))
+        series = pa.ListArray.from_arrays(pa.array(self.series_ends, pa.int32()), pa.StructArray.from_arrays([labels, samples], ["labels", "samples"]))
+        columns = [pa.array([m[k] for m in self.meta], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string()))]
+        metadata = pa.ListArray.from_arrays(pa.array(self.meta_ends, pa.int32()), pa.StructArray.from_arrays(columns, ["metric_name", "type", "help", "unit"]))
+        return series, metadata, pa.array(self.errors, pa.string())
+
+
+def decode(payload: bytes, limits: Limits | None = None) -> dict:
+    """One request; raises if it can't be read."""
+    out = Requests(limits or Limits())
+    out.add(payload)
+    series, metadata, error = (a.to_pylist()[0] for a in out.arrays())
+    if error is not None:
+        raise ValueError(error)
+    return {"series": series, "metadata": metadata}
+
+
+def _part(key: int, data: bytes) -> bytes:
+    n = len(data)
+    return bytes((key, n)) + data if n < 128 else bytes((key,)) + varint(n) + data
+
+
+def _bodies(series: pa.ListArray, metadata: pa.ListArray) -> list[bytes]:
+    """Snappy blocks of requests, from flat columns."""
+    each = series.flatten()
+    labels, samples, meta = each.field("labels"), each.field("samples"), metadata.flatten().to_pylist()
+    pairs, points = labels.flatten(), samples.flatten()
+    # Equal names and values are encoded once.
+    name = pairs.field("name").dictionary_encode()
+    value = pairs.field("value").dictionary_encode()
+    names = [_part(10, x.encode()) for x in name.dictionary.to_pylist()]
+    values = [_part(18, x.encode()) for x in value.dictionary.to_pylist()]
+    encoded = [_part(10, names[a] + values[b]) for a, b in zip(name.indices.to_pylist(), value.indices.to_pylist(), strict=True)]
+    raw = points.field("value").to_numpy(zero_copy_only=False).astype("<f8").tobytes()
+    dots = []
+    for k, ts in enumerate(points.field("ts_ms").to_pylist()):
+        body = b"\x09" + raw[k * 8 : k * 8 + 8] + b"\x10" + varint(ts)
+        dots.append(bytes((18, len(body))) + body)
+
+    def ends(lists: pa.ListArray) -> list[int]:
+        return [0, *pa.compute.cumulative_sum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0)).to_pylist()]
+
+    of_label, of_sample, of_series, of_meta = ends(labels), ends(samples), ends(series), ends(metadata)
+    whole = [_part(10, b"".join(encoded[of_label[k] : of_label[k + 1]]) + b"".join(dots[of_sample[k] : of_sample[k + 1]])) for k in range(len(each))]
+    codec, out = pa.Codec("snappy"), []
+    for k in range(len(series)):
+        body = b"".join(whole[of_series[k] : of_series[k + 1]])
+        for m in meta[of_meta[k] : of_meta[k + 1]]:
+            body += _part(26, b"\x08" + varint(m["type"]) + _part(18, m["metric_name"].encode()) + _part(34, m["help"].encode()) + _part(42, m["unit"].encode()))
+        out.append(codec.compress(body, asbytes=True))
     return out
 
 
 def encode(request: dict) -> bytes:
-    def part(number: int, data: bytes) -> bytes:
-        return varint(number << 3 | 2) + varint(len(data)) + data
+    return _bodies(pa.array([request["series"]], SERIES), pa.array([request.get("metadata") or []], METADATA))[0]
 
-    out = b""
-    for s in request["series"]:
-        body = b"".join(part(1, part(1, x["name"].encode()) + part(2, x["value"].encode())) for x in s["labels"])
-        body += b"".join(part(2, varint(1 << 3 | 1) + struct.pack("<d", x["value"]) + varint(2 << 3) + varint(x["ts_ms"])) for x in s["samples"])
-        out += part(1, body)
-    for m in request.get("metadata") or []:
-        out += part(3, varint(1 << 3) + varint(m["type"]) + part(2, m["metric_name"].encode()) + part(4, m["help"].encode()) + part(5, m["unit"].encode()))
-    return pa.Codec("snappy").compress(out, asbytes=True)
 
+def decode_payloads(payloads: DataFrame, limits: Limits | None = None) -> DataFrame:
+    """payloads(payload_id, body) as (payload_id, series, metadata, error).
 
-def decode_payloads(payloads: DataFrame) -> DataFrame:
-    """payloads(payload_id, body) as (payload_id, series, metadata, error); error is a message where a body can't be read."""
+    error says why a body can't be read or which limit it breaks; limits hold while it is read, so a hostile
+    one is not decoded to its end.
+    """
     schema = f"payload_id {payloads.schema['payload_id'].dataType.simpleString()}, {REQUEST}, error string"
-    arrow = pa.struct([("labels", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("samples", pa.list_(pa.struct([("ts_ms", pa.int64()), ("value", pa.float64())])))])
-    meta = pa.struct([("metric_name", pa.string()), ("type", pa.int32()), ("help", pa.string()), ("unit", pa.string())])
+    bound = limits or Limits()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            series, metadata, errors = [], [], []
-            for body in batch.column("body").to_pylist():
-                try:
-                    got, error = decode(body or b"\x00"), None
-                except (ValueError, IndexError, OSError, struct.error, AttributeError, TypeError) as e:
-                    got, error = {"series": [], "metadata": []}, str(e) or type(e).__name__
-                series.append(got["series"])
-                metadata.append(got["metadata"])
-                errors.append(error)
-            yield pa.RecordBatch.from_arrays([batch.column("payload_id"), pa.array(series, pa.list_(arrow)), pa.array(metadata, pa.list_(meta)), pa.array(errors, pa.string())], names=["payload_id", "series", "metadata", "error"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BODIES):
+                batch = whole.slice(at, BODIES)
+                got = Requests(bound)
+                for body in batch.column("body"):
+                    got.add(body.as_py())
+                yield pa.RecordBatch.from_arrays([batch.column("payload_id"), *got.arrays()], names=["payload_id", "series", "metadata", "error"])
 
     return payloads.select("payload_id", "body").mapInArrow(run, schema)
 
@@ -132,9 +239,10 @@ def encode_payloads(requests: DataFrame) -> DataFrame:
     """requests(payload_id, series, metadata) as (payload_id, body)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [encode({"series": s or [], "metadata": m or []}) for s, m in zip(batch.column("series").to_pylist(), batch.column("metadata").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("payload_id"), pa.array(bodies, pa.binary())], names=["payload_id", "body"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, BODIES):
+                batch = whole.slice(at, BODIES)
+                yield pa.RecordBatch.from_arrays([batch.column("payload_id"), pa.array(_bodies(batch.column("series"), batch.column("metadata")), pa.binary())], names=["payload_id", "body"])
 
     kind = requests.schema["payload_id"].dataType.simpleString()
     return requests.select("payload_id", "series", "metadata").mapInArrow(run, f"payload_id {kind}, body binary")
@@ -173,17 +281,23 @@ def origin(requests: DataFrame) -> DataFrame:
     return requests.select("payload_id", F.try_element_at(first, F.lit("cluster")).alias("cluster"), F.try_element_at(first, F.lit("__replica__")).alias("replica"))
 
 
-def requests_of(samples: DataFrame, per_request: int = 10_000, window_ms: int = 7_200_000) -> DataFrame:
+def requests_of(samples: DataFrame, per_request: int = 10_000, window_ms: int = 7_200_000, requests: int | None = None) -> DataFrame:
     """Requests of samples(labels, ls_key, ts_ms, value): runs of a series' samples in order of time, many to a request.
 
-    A run is a series' samples of one window, at most per_request of them, and requests are so many that
-    each has some per_request samples; no list grows with the table.
+    A run is a series' samples of one window, at most per_request of them. A window's runs are dealt to as
+    many requests as give each some per_request samples, by the window's own count, so nothing is counted
+    ahead and no list grows with the table.
     """
     window = F.floor(F.col("ts_ms") / window_ms)
     runs = samples.groupBy("ls_key", window.alias("w")).agg(F.first("labels").alias("labels"), F.array_sort(F.collect_list(F.struct("ts_ms", "value"))).alias("samples"))
     cuts = F.transform(F.sequence(F.lit(0), F.floor((F.size("samples") - 1) / per_request).cast("int")), lambda k: F.slice("samples", k * per_request + 1, per_request))
-    requests = max(1, -(-samples.count() // per_request))
     pairs = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("value")))
-    shaped = runs.select("ls_key", "w", "labels", F.posexplode(cuts).alias("k", "samples")).select(F.pmod(F.xxhash64("ls_key", "w", "k"), F.lit(requests)).alias("payload_id"), F.struct(pairs.alias("labels"), "samples").alias("s"))
+    if requests is None:
+        sizes = samples.groupBy(window.alias("w")).agg(F.ceil(F.count("*") / per_request).alias("parts"))
+        runs = runs.join(sizes, "w")
+        place = F.struct("w", F.pmod(F.xxhash64("ls_key", "k"), F.col("parts")).alias("part"))
+    else:
+        place = F.struct(F.lit(0).cast("long").alias("w"), F.pmod(F.xxhash64("ls_key", "w", "k"), F.lit(requests)).alias("part"))
+    shaped = runs.select("*", F.posexplode(cuts).alias("k", "cut")).select(F.xxhash64(place).alias("payload_id"), place.alias("place"), F.struct(pairs.alias("labels"), F.col("cut").alias("samples")).alias("s"))
     none = F.array().cast("array<struct<metric_name:string,type:int,help:string,unit:string>>")
-    return shaped.groupBy("payload_id").agg(F.collect_list("s").alias("series")).withColumn("metadata", none)
+    return shaped.groupBy("place").agg(F.first("payload_id").alias("payload_id"), F.collect_list("s").alias("series")).select("payload_id", "series", none.alias("metadata"))

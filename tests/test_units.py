@@ -277,6 +277,26 @@ class TestRemoteWrite:
     def test_round_trip(self):
         assert remote_write.decode(remote_write.encode(REQUEST)) == REQUEST
 
+    @settings(max_examples=40, deadline=None)
+    @given(st.lists(st.tuples(st.lists(st.tuples(st.text(max_size=200), st.text(max_size=3)), max_size=3), st.lists(st.tuples(st.integers(-(2**63), 2**63 - 1), st.floats(allow_nan=False)), max_size=3)), max_size=4))
+    def test_round_trips(self, given_series):
+        request = {"series": [{"labels": [{"name": n, "value": v} for n, v in labels], "samples": [{"ts_ms": t, "value": x} for t, x in samples]} for labels, samples in given_series], "metadata": []}
+        assert remote_write.decode(remote_write.encode(request)) == request
+
+    @pytest.mark.parametrize(("limit", "error"), [({"name_length": 4}, "label name length"), ({"value_length": 2}, "label value length"), ({"labels": 2}, "labels per series"), ({"samples": 1}, "samples per batch")])
+    def test_limits_while_decoding(self, spark, limit, error):
+        payloads = spark.createDataFrame([(1, bytearray(remote_write.encode(REQUEST)))], "payload_id long, body binary")
+        got = remote_write.decode_payloads(payloads, limits.Limits(**limit)).first()
+        assert got.error == error and got.series == [] and got.metadata == []
+
+    def test_requests_hold_what_they_should(self, spark):
+        rows = spark.createDataFrame([({"a": str(k % 7)}, f"a:{k % 7};", k * 1000, float(k)) for k in range(500)], "labels map<string,string>, ls_key string, ts_ms long, value double")
+        for given_count in (None, 3):
+            got = remote_write.requests_of(rows, 40, 100_000, given_count)
+            back = remote_write.samples_of(remote_write.decode_payloads(remote_write.encode_payloads(got)))
+            assert sorted(r.value for r in back.collect()) == [float(k) for k in range(500)]
+        assert remote_write.requests_of(rows.limit(0)).count() == 0
+
     def test_rows(self, spark):
         payloads = spark.createDataFrame([(1, bytearray(remote_write.encode(REQUEST))), (2, bytearray(b"\x05junk")), (3, None)], "payload_id long, body binary")
         got = remote_write.decode_payloads(payloads)
