@@ -81,7 +81,11 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 TOKEN = re.compile(r"[^\s,;]+")
 CUES = {"email": ("mail", "e-mail", "email", "contact", "write", "reach"), "phone": ("tel", "tel.", "phone", "call", "mobile", "fax"), "card": ("card", "visa", "cc", "credit"), "ip": ("ip", "host", "server", "address")}
-CUE_OF = {w: k for k, ws in CUES.items() for w in ws}
+#: Words before numbers that are no one's.
+OTHERS = ("order", "number", "no", "id", "invoice", "ref", "case", "version", "part", "model", "ticket", "item", "page", "isbn", "serial")
+CUE_OF = {w: k for k, ws in CUES.items() for w in ws} | dict.fromkeys(OTHERS, "other")
+#: Last labels of addresses that are spelled out.
+ENDINGS = frozenset("com org net edu gov info biz io co de fr es it uk eu us ch at nl pl ru jp cn br ca au".split())
 
 
 def span_features(tokens: list[str], a: int, b: int) -> list[str]:
@@ -94,7 +98,7 @@ def span_features(tokens: list[str], a: int, b: int) -> list[str]:
     at = len(re.findall(r"@|[\[({]at[\])}]|\bat\b", text, re.I))
     dot = len(re.findall(r"\.[A-Za-z]|[\[({]dot[\])}]|\bdot\b", text, re.I))
     letters = bool(re.search(r"[A-Za-zÀ-ÿ]", text))
-    before = tokens[a - 1].lower().strip(":()") if a else ""
+    before = tokens[a - 1].lower().strip(":().#") if a else ""
     out = [
         "bias",
         f"tokens={b - a}",
@@ -103,7 +107,8 @@ def span_features(tokens: list[str], a: int, b: int) -> list[str]:
         f"signs={signs[:6]}",
         f"address={at == 1 and dot >= 1},{bool(re.fullmatch(r'[^ ]+ *(?:@|[^A-Za-z0-9]?at[^A-Za-z0-9]?) *[^ ]+(?: *(?:[.]|[^A-Za-z0-9]?dot[^A-Za-z0-9]?) *[A-Za-z]+)+', text, re.I))}",
         f"luhn={12 <= len(digits) <= 19 and luhn(digits)},letters={letters}",
-        f"cue={CUE_OF.get(before, '')}",
+        f"cue={CUE_OF.get(before, '')},letters={letters}",
+        f"spelled={at == 1 and dot >= 1},{(m[0].lower() in ENDINGS) if (m := re.search(r'[A-Za-z]+$', text)) else None}",
         f"grouped={bool(re.fullmatch(r'[(]?[0-9]{2,4}[)]?[ .-]+[0-9]{2,4}(?:[ .-]+[0-9]{2,4}){1,3}', text))}",
         f"quad={bool(re.fullmatch(r'[0-9]{1,3}(?:[.][0-9]{1,3}){3}', text))}",
     ]
@@ -115,6 +120,9 @@ def _example(r: random.Random) -> list[tuple[list[str], str]]:
     word = lambda: "".join(r.choice("abcdefghilmnoprstuvz") for _ in range(r.randint(2, 9)))
     number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
 
+    plain = lambda: next(w for w in iter(word, None) if w not in ENDINGS)
+    other = lambda: r.choice(OTHERS) + r.choice(["", "", ":", "."])
+
     def card() -> str:
         body = "4" + number(14)
         return next(body + c for c in "0123456789" if luhn(body + c))
@@ -133,7 +141,7 @@ def _example(r: random.Random) -> list[tuple[list[str], str]]:
         return r.choice([f"({a}) {b}-{c}", f"{a}{s}{b}{s}{c}", f"+1 {a} {b} {c}", f"00{number(2)} {number(3)} {number(3)} {number(3)}"]).split()
 
     def noise() -> str:
-        return r.choice([number(r.randint(1, 8)), number(4) + "-" + number(2) + "-" + number(2), "".join(r.choice("0123456789abcdef") for _ in range(r.randint(8, 40))), f"{number(1)}.{number(2)}", f"password={number(3)}{word()}{number(9)}", f"{number(2)}%", f"v{number(1)}.{number(1)}", number(16), "AKIA" + number(8), f"{word()}@", "at", "dot", f"{number(2)}:{number(2)}"])
+        return r.choice([number(r.randint(1, 8)), number(4) + "-" + number(2) + "-" + number(2), "".join(r.choice("0123456789abcdef") for _ in range(r.randint(8, 40))), f"{number(1)}.{number(2)}", f"password={number(3)}{word()}{number(9)}", f"{number(2)}%", f"v{number(1)}.{number(1)}", number(16), "AKIA" + number(8), f"{word()}@", "at", "dot", f"{number(2)}:{number(2)}", f"{other()} {number(3)}-{number(3)}-{number(4)}", f"{other()} {number(3)} {number(3)} {number(4)}", f"{other()} {card()}", f"{word()} at {plain()} dot {plain()}", f"{plain()} at {plain()} dot {plain()} {plain()}", f"{number(4)} - {number(4)}", f"{number(1)} {number(3)} {number(3)}"])
 
     out: list[tuple[list[str], str]] = []
     for _ in range(r.randint(3, 7)):
@@ -144,7 +152,7 @@ def _example(r: random.Random) -> list[tuple[list[str], str]]:
                 out.append(([r.choice(CUES[kind])], ""))
             out.append((entity(kind), kind))
         elif x < 0.55:
-            out.append(([noise()], ""))
+            out += [([w], "") for w in noise().split()]
         else:
             out.append(([word() + r.choice(["", "", ".", ","])], ""))
     return out
@@ -316,7 +324,9 @@ def personal_data(documents: DataFrame, field: Field | None = None) -> DataFrame
     Counts and base_sha256 are of the base patterns; spans holds those and the field's, as
     kind:start:end in code points, by start and then kind. Added spans never overlap base ones. Null is
     the empty text, without spans. Repeated rows and rows without doc_id are read like any other, and
-    texts are read whole.
+    texts are read whole. The field looks where two digits, an @ or a spelled-out at or dot stand outside of
+    base spans; a span it adds has at most LONGEST tokens, lies within AROUND tokens of such a place (in
+    LATTICE tokens at once, which follow one another) and holds no token of over 80 characters and no newline.
     """
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(field or trained())

@@ -685,6 +685,38 @@ def test_base_spans():
         assert pii.base_spans(text) == brute_pii(text)
 
 
+@pytest.mark.parametrize("line", ["look at him dot the", "order number 100-200-3000", "meet me at noon dot", "page 12 at line 14 dot", "2024-01-02 10:22", "score 3 - 2 at home", "ticket 555-123-4567 closed", "see version 1.2.3", "invoice: 4111 1111 1111 1112 paid", "from 1000 to 2000 at 30 percent"])
+def test_the_field_leaves_other_numbers_alone(line):
+    assert pii.added_spans(line, pii.base_spans(line), pii.trained()) == []
+
+
+@pytest.mark.parametrize(("line", "kind", "found"), [("call (212) 555-0199 now", "phone", "(212) 555-0199"), ("joe at mail dot com please", "email", "joe at mail dot com"), ("ann.lee [at] post [dot] org", "email", "ann.lee [at] post [dot] org"), ("my card 4111.1111.1111.1111 ok", "card", "4111.1111.1111.1111"), ("ph 0049 301 234 567", "phone", "0049 301 234 567")])
+def test_the_field_finds_what_patterns_miss(line, kind, found):
+    assert [(k, line[a:b]) for k, a, b in pii.added_spans(line, pii.base_spans(line), pii.trained())] == [(kind, found)]
+
+
+def test_the_field_on_held_out_lines():
+    r, field = random.Random(99), pii.trained()
+    right = wrong = missed = 0
+    for _ in range(300):
+        tokens, gold = [], set()
+        for words_, kind in pii._example(r):
+            if kind:
+                gold.add((len(tokens), len(tokens) + len(words_), kind))
+            tokens += words_
+        got = set(field.best(tokens))
+        right, wrong, missed = right + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
+    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
+
+
+def test_long_and_hostile_texts_of_personal_data():
+    field = pii.trained()
+    for text in ("@" * 50_000, "1 " * 5_000, "a at b dot c " * 1_000, "+1-" * 40_000, "9" * 100_000, "1.2.3." * 30_000, "[at]" * 30_000):
+        began = time.perf_counter()
+        pii.added_spans(text, pii.base_spans(text), field)
+        assert time.perf_counter() - began < 60
+
+
 def test_personal_data(spark):
     rows = [(1, "mail é a.b@c-d.org now"), (2, "+1 (212) 555-0199 and 4111 1111 1111 1111"), (3, "call (212) 555-0199 or joe at mail dot com"), (4, "1.2.3.4 1.2.3.256"), *ODD, (1, "10.0.0.1")]
     got = pii.personal_data(documents(spark, rows)).collect()
