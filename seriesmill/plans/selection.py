@@ -34,14 +34,9 @@ _register_select("select_empty_matcher", "user_id % 2 = 1", ("cluster", "=", "c1
 _register_select("select_no_match", "false", ("__name__", "=", "no such metric"))
 
 
-@query(f"WITH {EVENTS} SELECT ls_key, ts_ms, count(*) OVER (PARTITION BY ls_key) AS n, row_number() OVER (PARTITION BY ls_key ORDER BY ts_ms, event_id) - 1 AS place FROM ev WHERE event_type = 'purchase'")
+@query(f"WITH {EVENTS} SELECT ls_key, ts_ms, value FROM ev WHERE event_type = 'purchase' AND {RANGE} ORDER BY ls_key, ts_ms")
 def select_ordered(spark: SparkSession, d: str) -> DataFrame:
-    """Samples with their place in their series, by time."""
-    from pyspark.sql import Window
-
-    rows = bridge.table(spark, d, "events").where("event_type = 'purchase'").select("event_id", bridge.millis("ts").alias("ts_ms"), ls.canonical(bridge.event_labels()).alias("ls_key"))
-    w = Window.partitionBy("ls_key")
-    return rows.select("ls_key", "ts_ms", F.count("*").over(w).alias("n"), (F.row_number().over(w.orderBy("ts_ms", "event_id")) - 1).alias("place"))
+    return sel.ordered(_select(spark, d, ("__name__", "=", "purchase")))
 
 
 @query(f"""WITH {EVENTS}, heads AS (

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .remote_write import read_varint, varint
 
+#: Segments in a batch of rows.
+ROWS = 256
 SEGMENTS = "path string, segment long, samples long, payload binary, corrupted boolean"
 
 
@@ -37,13 +40,20 @@ def read_segments(data: bytes) -> Iterator[tuple[int, bytes, bool]]:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Segments of all files under path; a damaged one is a row with `corrupted`, and ends its file."""
+    """Segments of all files under path; a damaged one is a row with `corrupted`, and ends its file.
+
+    A file is one value, so this is for files that were cut at some hundred MB; a log as a table
+    (operators/wal.py) has no such bound.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    schema = pa.schema([("path", pa.string()), ("segment", pa.int64()), ("samples", pa.int64()), ("payload", pa.binary()), ("corrupted", pa.bool_())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [{"path": name, "segment": k, "samples": n, "payload": p, "corrupted": c} for k, (n, p, c) in enumerate(read_segments(content))]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("segment", pa.int64()), ("samples", pa.int64()), ("payload", pa.binary()), ("corrupted", pa.bool_())]))
+                found = ({"path": name, "segment": k, "samples": n, "payload": p, "corrupted": c} for k, (n, p, c) in enumerate(read_segments(content)))
+                while rows := list(islice(found, ROWS)):
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return files.mapInArrow(run, SEGMENTS)

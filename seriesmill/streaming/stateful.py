@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.blocks import with_block
 from ..operators.replicas import Elected, decide
 from ..operators.wal import decode_segments
+from ..sources.scratch import folder
 
 
 def read(spark: SparkSession, path: str, schema: Any, files_per_batch: int = 1) -> DataFrame:
@@ -24,14 +25,20 @@ def read(spark: SparkSession, path: str, schema: Any, files_per_batch: int = 1)
 
 
 def run_to_end(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 300) -> DataFrame:
-    """All that is there now, into a table in memory; for tests and small results."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that is there now, as a table in the shared folder; a batch that is repeated after a failure replaces itself."""
+    path = folder(df.sparkSession, name)
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        target = f"{path}/batch={batch_id if mode == 'append' else 0}"
+        batch.write.mode("overwrite").parquet(target)
+
+    query = df.writeStream.foreachBatch(keep).option("checkpointLocation", folder(df.sparkSession, f"{name}-mark")).outputMode(mode).trigger(availableNow=True).start()
     try:
         if not query.awaitTermination(timeout_s):
             raise TimeoutError(f"{name} did not end within {timeout_s} s")
     finally:
         query.stop()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch=*")
 
 
 def read_log(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:

@@ -67,6 +67,12 @@ class TestMatchers:
         assert select.match_series(got, [Matcher("a", "=~", "x.")]).count() == 1
 
 
+def test_ordered_by_labels_and_time(spark):
+    rows = [("b:1;", 2, 0.0), ("a:2;", 9, 0.0), ("b:1;", 1, 0.0), ("a:1;", 5, 0.0), ("a:2;", 3, 0.0)]
+    got = select.ordered(spark.createDataFrame(rows, "ls_key string, ts_ms long, value double").repartition(4)).collect()
+    assert [tuple(r)[:2] for r in got] == sorted((k, t) for k, t, _ in rows)
+
+
 class TestLabels:
     def test_names_and_values(self, spark):
         s = series(spark, *FIVE)
