@@ -9,7 +9,7 @@ from ..functions import labelset as ls
 from ..functions.labelset import canonical, get
 from ..operators import blocks, catalog, delivery, relabel, select, staleness, wal
 from ..operators.relabel import Destination, Rule
-from ..sources import bridge, remote_write, text
+from ..sources import bridge, frames, remote_write, text
 from ..sources.limits import Limits, check
 from ..sources.scratch import folder
 from ..streaming import stateful
@@ -231,6 +231,28 @@ def refill_table(spark: SparkSession, d: str) -> DataFrame:
     return wal.decode_segments(delivery.read_refill(spark, path, wanted)).select("shard", "segment", "ls_key", "ts_ms", "value")
 
 
+def _received(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of a log as a receiver gets them, in pieces of a day; those of shard 3 arrive damaged."""
+    sent = frames.encode_frames(_log(spark, d, broken=False))
+    damaged = F.concat(F.expr("substring(frame, 1, length(frame) - 1)"), F.unhex(F.lit("00")))
+    sent = sent.withColumn("frame", F.when(F.expr("shard = 3 and right(hex(frame), 2) <> '00'"), damaged).otherwise(F.col("frame")))
+    return frames.decode_frames(sent.groupBy(F.col("segment").alias("source")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("shard", "frame"))), lambda x: F.hex(x["frame"])), "").alias("hex")).select("source", F.unhex("hex").alias("bytes")))
+
+
+@query(f"WITH {ROWS} SELECT shard, segment, ls_key, ts_ms, value FROM rows WHERE shard < 3")
+def frames_received(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that arrived whole, decoded."""
+    return wal.decode_segments(frames.received_segments(_received(spark, d)).where("shard < 3")).select("shard", "segment", "ls_key", "ts_ms", "value")
+
+
+@query(f"WITH {ROWS} SELECT shard, max(segment) AS last_segment FROM rows WHERE shard < 3 GROUP BY shard")
+def frames_acknowledged(spark: SparkSession, d: str) -> DataFrame:
+    """What the sender knows after the receiver's answers."""
+    answers = frames.responses(_received(spark, d).where("shard < 3"), "d")
+    none = spark.createDataFrame([], "dest string, shard int, last_segment long")
+    return delivery.apply_responses(none, answers)[0].select("shard", "last_segment")
+
+
 # Catalogue and blocks
 
 

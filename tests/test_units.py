@@ -14,7 +14,7 @@ from seriesmill.functions import labelset as ls
 from seriesmill.operators import blocks, catalog, delivery, relabel, replicas, select, staleness, status, wal
 from seriesmill.operators.matchers import BadRegex, Matcher, NoPositiveMatchers, query_status
 from seriesmill.operators.relabel import Rule
-from seriesmill.sources import limits, remote_write, segments, text
+from seriesmill.sources import frames, limits, remote_write, segments, text
 from seriesmill.streaming import stateful
 
 
@@ -504,3 +504,32 @@ def test_persist_again_after_a_failure(spark, tmp_path):
     done = blocks.persist(samples, plan, str(tmp_path / "b"), 10)
     assert {r.id: r.status for r in done.collect()} == {1: "persisted", 2: "persisted"} and spark.read.parquet(str(tmp_path / "b")).count() == 1
     assert {r.id: r.action for r in catalog.persist_plan(heads, 110, 50, 10).collect()}[3] == "write"
+
+
+class TestFrames:
+    def test_files(self, spark, tmp_path):
+        one = [frames.encode("segment", "h", 1, k, 3, b"x" * k) for k in range(300)]
+        (tmp_path / "a").write_bytes(b"".join(one))
+        (tmp_path / "b").write_bytes(one[0] + frames.encode("segment", None, 7, 1 << 40, 0, b"abc", version=1) + frames.encode("end", "h", 0, 0, 0, b"") + one[9][:-3] + b"??!" + one[5][:-1])
+        (tmp_path / "c").write_bytes(b"")
+        got = frames.read_files(spark, str(tmp_path))
+        assert got.where("source like '%/a' and not corrupted").count() == 300
+        other = got.where("source like '%/b'").orderBy("position").collect()
+        assert [(r.version, r.kind, r.head, r.shard, r.segment, r.corrupted) for r in other] == [(2, "segment", "h", 1, 0, False), (1, "segment", None, 7, 1 << 40, False), (2, "end", "h", 0, 0, False), (2, "segment", "h", 1, 9, True), (None, None, None, None, None, True)]
+        assert frames.received_segments(got).count() == 301
+        answers = frames.responses(got.where("source like '%/b'"), "d").collect()
+        assert sorted((r.segment, r.ok) for r in answers) == [(0, True), (9, False), (1 << 40, True)]
+
+    def test_stream(self, spark, tmp_path):
+        path = tmp_path / "in"
+        path.mkdir()
+        for k in range(2):
+            (path / str(k)).write_bytes(frames.encode("segment", "h", 0, k, 1, b"p"))
+            query = frames.read_files(spark, str(path), stream=True).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "mark")).trigger(availableNow=True).start()
+            query.awaitTermination()
+            assert spark.read.parquet(str(tmp_path / "out")).count() == k + 1
+
+    def test_hostile_bytes(self, spark):
+        rows = [(1, None), (2, bytearray(b"")), (3, bytearray(b"\xa5")), (4, bytearray(b"\xa5\x02\x00" + b"\xff" * 20)), (5, bytearray(b"hello"))]
+        got = frames.decode_frames(spark.createDataFrame(rows, "source int, bytes binary")).collect()
+        assert sorted((r.source, r.corrupted) for r in got) == [(3, True), (4, True), (5, True)]
