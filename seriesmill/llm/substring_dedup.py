@@ -8,14 +8,17 @@ each of them. Equal k-mers have equal anchors, so k-mers meet inside one anchor'
 1. Every path is listed with its coordinates and a digest of all its k-mers (a path has some 20).
    An aggregate keeps anchors that occur in two documents, and a join keeps their paths: all other
    k-mers are unique.
-2. Equal paths compact to one, with the smallest document that holds it (an aggregate, then a join back;
-   paths that are very common are joined by broadcast, since there can only be few of those).
-3. Compacted paths that occur again are read at their source coordinates. Where an anchor has several
-   (branches, or passages that end), they are opened into single k-mers, which meet in an aggregate and a
-   join on (anchor, k-mer digest).
-4. Covered words are mapped back to every coordinate of every path. Before words are removed, the span at
-   each coordinate is verified: a second, cryptographic digest of its text must be that of the span at the
-   source coordinate.
+2. Equal paths are one node of the compacted graph, with the smallest document that holds it. Where every
+   occurrence of a path is followed by the same path, and that one always follows it, the two do not branch;
+   connected components of such pairs, by joins, are maximal nonbranching paths. All of a maximal path is
+   in each of its occurrences, so from here on it is one span, found by its first part (very common ones are
+   joined by broadcast, since there can only be few of those).
+3. Where an anchor has several different paths (branches, or passages that end), these are read again at their
+   source coordinates and opened into single k-mers, which meet in an aggregate and a join on (anchor,
+   k-mer digest).
+4. Spans are mapped back to every coordinate of every path. Before words are removed, the span at each
+   coordinate is verified: a second, cryptographic digest of its text must be that of the span at the source
+   coordinate.
 
 Paths meet by 64-bit digests of the anchor and of all k-mers. Texts are only shuffled for documents that a
 bitmap of fixed size can't rule out.
@@ -30,7 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from .components import connected_components
 from .filters import bitmap, hits, maybe_in
 from .scratch import split_hot_keys, text_chunks, written
 from .words import U64, Words, column_bytes, mix, split_words
@@ -128,40 +133,25 @@ def text_check(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
 
-def _opener(window: int, anchor: int):
-    """Reads compacted paths at their source: a digest of the span and, where `open`, its k-mers and their digests."""
+def _opener(window: int):
+    """Reads paths at their source: a digest of the span and, where `open`, its k-mers and their digests."""
     longs = pa.list_(pa.int64())
     schema = pa.schema([("anchor", pa.int64()), ("unit", pa.int64()), ("low", pa.int64()), ("check", pa.int64()), ("kmers", longs), ("checks", longs)])
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
             words = split_words(batch.column("text"))
-            w = words.hashes()
-            a, place, start, n = paths(words, w, window, anchor)
-            wanted = batch.column("wanted")
-            sizes = wanted.value_lengths().to_numpy(zero_copy_only=False)
-            first, is_open = (wanted.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("start", "open"))
-            first = np.repeat(words.first[:-1], sizes) + first
-            pick = np.flatnonzero(np.isin(start, first))
-            if not len(pick):
-                continue
-            a, place, start, n = a[pick], place[pick], start[pick], n[pick]
-            unit, each, ends = unit_digests(w, window, place, start, n)
-            doc = np.searchsorted(words.first, start, side="right") - 1
-            branched = np.isin(start, first[is_open])
-            split: dict[int, list[bytes]] = {}
+            kmer = rolling(words.hashes(), window, P2).view(np.int64) if len(words.start) >= window else np.zeros(0, np.int64)
             rows: list[tuple] = []
-            for k, (d, at, size, end, more) in enumerate(zip(doc.tolist(), start.tolist(), n.tolist(), ends.tolist(), branched.tolist(), strict=True)):
-                if d not in split:
-                    split = {d: batch.column("text")[d].as_py().encode().split()}
-                at -= int(words.first[d])
-                text = split[d][at : at + size - 1 + window]
-                kmers = each[end - size : end].view(np.int64).tolist() if more else None
-                rows.append((text_check(text), kmers, [text_check(text[i : i + window]) for i in range(size)] if more else None))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a.view(np.int64)), pa.array(unit.view(np.int64)), batch.column("doc_id").take(pa.array(doc)), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), longs, longs)))],
-                schema=schema,
-            )
+            for first, low, raw, wanted in zip(words.first.tolist(), *(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted")), strict=False):
+                split = raw.encode().split()
+                for x in wanted:
+                    at, n = x["start"], x["n"]
+                    text = split[at : at + n - 1 + window]
+                    more = x["open"]
+                    kmers = kmer[first + at : first + at + n].tolist() if more else None
+                    rows.append((x["anchor"], x["unit"], low, text_check(text), kmers, [text_check(text[i : i + window]) for i in range(n)] if more else None))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
     return opened
 
@@ -251,29 +241,62 @@ def _removal(known: DataFrame, window: int, anchor: int) -> DataFrame:
     anchors = written(listed.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor"), "anchors")
     found = written(listed.join(anchors, "anchor"), "found")
 
-    counted = found.groupBy("anchor", "unit").agg(F.min(F.struct("doc_id", "version", "start")).alias("at"), F.max("doc_id").alias("high"), F.count("*").alias("rows"))
-    units = written(counted.select("anchor", "unit", "at.*", (F.col("at.doc_id") < F.col("high")).alias("again"), "rows"), "units")
-    branched = written(units.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor", F.lit(True).alias("open")), "branched")
-    wanted = units.join(branched, "anchor", "left").where("again or open").groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", F.coalesce("open", F.lit(False)).alias("open"))).alias("wanted"))
-    sources = written(wanted.withColumn("key", F.xxhash64("doc_id", "version")), "sources")
+    units = written(_units(found), "units")
+    total = found.count()
+    heads = written(_maximal(units), "heads")
+    branched = written(units.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"), "branched")
+
+    whole = heads.select("doc_id", "version", F.struct("start", F.col("span").alias("n"), "anchor", "unit", F.lit(False).alias("open")).alias("x"))
+    split = units.join(branched, "anchor").select("doc_id", "version", F.struct("start", "n", "anchor", "unit", F.lit(True).alias("open")).alias("x"))
+    sources = written(whole.union(split).groupBy("doc_id", "version").agg(F.collect_list("x").alias("wanted")).withColumn("key", F.xxhash64("doc_id", "version")), "sources")
     texts = maybe_in(known, bitmap(sources.select("key"))).join(sources.drop("key"), ["doc_id", "version"]).dropDuplicates(["doc_id", "version"])
-    opened = written(texts.select("doc_id", "text", "wanted").mapInArrow(_opener(window, anchor), OPENED), "opened")
+    opened = written(texts.select("doc_id", "text", "wanted").mapInArrow(_opener(window), OPENED), "opened")
 
     each = opened.where("kmers is not null").select("anchor", "unit", "low", F.posexplode(F.arrays_zip("kmers", "checks")).alias("place", "k")).select("anchor", "unit", "low", "place", F.col("k.kmers").alias("kmer"), F.col("k.checks").alias("check"))
     earliest = each.groupBy("anchor", "kmer").agg(F.min(F.struct(F.col("low").alias("first"), "check")).alias("e")).select("anchor", "kmer", "e.first", F.col("e.check").alias("source"))
-    partly = each.join(earliest, ["anchor", "kmer"]).where("first < low").groupBy("anchor", "unit").agg(F.collect_set(F.struct("place", "source")).alias("places"))
-    compact = units.select("anchor", "unit", F.col("doc_id").alias("low"), "rows").join(opened.select("anchor", "unit", "check"), ["anchor", "unit"], "left").join(partly, ["anchor", "unit"], "left")
-    compact = written(compact, "compact")
+    partly = each.join(earliest, ["anchor", "kmer"]).where("first < low").groupBy("anchor", "unit").agg(F.first("low").alias("low"), F.collect_set(F.struct("place", "source")).alias("places"))
+    partly = partly.join(units.select("anchor", "unit", "rows"), ["anchor", "unit"])
+    checked = heads.select("anchor", "unit", F.col("doc_id").alias("low"), "span", "rows").join(opened.where("kmers is null").select("anchor", "unit", "check"), ["anchor", "unit"])
 
-    # Of paths with more than a COMMON-th of all rows there are fewer than COMMON.
-    total = found.count()
-    common = compact.where(F.col("rows") * COMMON > total).drop("rows")
-    rest = found.join(F.broadcast(common.select("anchor", "unit")), ["anchor", "unit"], "left_anti").join(compact.drop("rows"), ["anchor", "unit"])
-    mapped = found.join(F.broadcast(common), ["anchor", "unit"]).unionByName(rest)
-    whole = F.array(F.struct(F.col("start"), F.col("n"), F.col("check")))
+    spans = _mapped(found, checked, total).where("doc_id > low").select("doc_id", "version", F.struct("start", F.col("span").alias("n"), "check").alias("r"))
     single = F.transform("places", lambda p: F.struct((F.col("start") + p["place"]).alias("start"), F.lit(1).alias("n"), p["source"].alias("check")))
-    ranges = mapped.where("doc_id > low or places is not null").select("doc_id", "version", F.explode(F.when(F.col("doc_id") > F.col("low"), whole).otherwise(single)).alias("r"))
-    return written(ranges.groupBy("doc_id", "version").agg(F.collect_set("r").alias("ranges")).withColumn("key", F.xxhash64("doc_id", "version")), "ranges")
+    singles = _mapped(found, partly, total).where("doc_id = low").select("doc_id", "version", F.explode(single).alias("r"))
+    return written(spans.union(singles).groupBy("doc_id", "version").agg(F.collect_set("r").alias("ranges")).withColumn("key", F.xxhash64("doc_id", "version")), "ranges")
+
+
+def _units(found: DataFrame) -> DataFrame:
+    """A row for each different path: its first coordinates and length, whether another document has it (`again`),
+    its number of rows, and the paths that always follow and precede it (null where they differ or are missing)."""
+    order = Window.partitionBy("doc_id", "version").orderBy("start")
+    own = F.xxhash64("anchor", "unit")
+    near = found.withColumn("u", own).dropDuplicates(["doc_id", "version", "start"])
+    near = near.withColumns({"next": F.lead(F.struct("u", "start")).over(order), "prev": F.lag(F.struct("u", "start", "n")).over(order)})
+    near = near.withColumns({"next": F.when(F.col("next.start") == F.col("start") + F.col("n"), F.col("next.u")), "prev": F.when(F.col("prev.start") + F.col("prev.n") == F.col("start"), F.col("prev.u"))})
+    always = lambda c: F.when((F.count(c) == F.count("*")) & (F.min(c) == F.max(c)), F.min(c))
+    per = near.groupBy("anchor", "unit", "u").agg(F.min(F.struct("doc_id", "version", "start")).alias("at"), F.max("doc_id").alias("high"), F.first("n").alias("n"), F.count("*").alias("rows"), always("next").alias("next"), always("prev").alias("prev"))
+    return per.select("anchor", "unit", "u", "at.*", "n", (F.col("at.doc_id") < F.col("high")).alias("again"), "rows", "next", "prev")
+
+
+def _maximal(units: DataFrame) -> DataFrame:
+    """(anchor, unit, doc_id, version, start, span, rows) of the first part of each maximal nonbranching path that occurs again.
+
+    In every occurrence of a part all other parts are beside it, so the coordinates of the parts' first
+    occurrences are those of one occurrence of the whole.
+    """
+    again = units.where("again")
+    after = again.where("prev is not null").select(F.col("u").alias("v"), F.col("prev").alias("u"))
+    links = again.where("next is not null").select("u", F.col("next").alias("v")).join(after, ["u", "v"])
+    parts = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    joined = again.join(parts.select(F.col("id").alias("u"), "component"), "u", "left").withColumn("path", F.coalesce("component", "u"))
+    whole = joined.groupBy("path").agg(F.min(F.struct("doc_id", "version", "start", "anchor", "unit", "rows")).alias("head"), F.sum("n").cast("int").alias("span"))
+    return whole.select("head.*", "span")
+
+
+def _mapped(found: DataFrame, side: DataFrame, total: int) -> DataFrame:
+    """found joined with side on (anchor, unit); of paths with more than a COMMON-th of all rows there are fewer than COMMON."""
+    common = side.where(F.col("rows") * COMMON > total).drop("rows")
+    rest = found.join(F.broadcast(common.select("anchor", "unit")), ["anchor", "unit"], "left_anti").join(side.where(F.col("rows") * COMMON <= total).drop("rows"), ["anchor", "unit"])
+    return found.join(F.broadcast(common), ["anchor", "unit"]).unionByName(rest)
 
 
 SQL = r"""

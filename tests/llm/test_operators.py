@@ -216,6 +216,22 @@ def test_common_passages_are_split(spark, docs):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(documents(spark, rows)).collect() if r.doc_id is not None} == brute_removal(rows, 50)
 
 
+def test_maximal_paths(spark):
+    """A passage that always comes whole is one path over all of its anchors; where a branch begins, it ends."""
+    passage = [f"c{k}" for k in range(400)]
+    rows = [(k, " ".join([f"u{k}", *passage, f"v{k}"])) for k in range(4)]
+    docs = documents(spark, rows).select("doc_id", "text").withColumn("version", F.xxhash64("text"))
+    found = docs.mapInArrow(substring_dedup._lister(50, 10), substring_dedup.LISTED)
+    shared = found.join(found.groupBy("anchor").agg(F.countDistinct("doc_id").alias("c")).where("c = 4"), "anchor").drop("c")
+    units = substring_dedup._units(shared).cache()
+    longest = substring_dedup._maximal(units).orderBy(F.desc("span")).first()
+    assert units.where("again").count() > 8 and longest.doc_id == 0 and longest.rows == 4
+    assert longest.span > 250 and substring_dedup._maximal(units).count() <= 3
+    cut = rows + [(9, " ".join(passage[:200]))]
+    got = substring_dedup.substring_dedup(documents(spark, cut)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute_removal(cut, 50)
+
+
 def test_spans_are_verified_before_they_go():
     text = [f"w{k}" for k in range(80)]
     right = substring_dedup.text_check([t.encode() for t in text[5:60]])
@@ -991,6 +1007,8 @@ def test_not_toxic_keeps_rows_whole(spark):
     assert {r.doc_id for r in got if r.doc_id is not None} == {d for d, v in truth.items() if not v}
     assert sum(r.doc_id is None for r in got) == 2 - truth[0]
     assert {tuple(r)[2:] for r in got} == {("a", True, 9.0, 9.0, "b")}
+    binary = odd.withColumn("text", F.col("text").cast("binary"))
+    assert toxicity.not_toxic(binary, model).schema == binary.schema and toxicity.not_toxic(binary, model).count() == len(got)
 
 
 def test_cuts_increase():
