@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes of text that an operator works on at once. Spark bounds an Arrow batch by bytes, too,
 #: but a numpy working set is many times as large as its text.
-TEXT_ROWS, TEXT_BYTES = 256, 4 << 20
+TEXT_ROWS, TEXT_BYTES = 256, 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .filters import spare
 from .scratch import text_chunks
@@ -245,11 +246,14 @@ def severity(documents: DataFrame, model: Model | None) -> DataFrame:
 def not_toxic(documents: DataFrame, model: Model | None) -> DataFrame:
     """The rows of documents that severity does not call toxic, with all their columns, whatever their names."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    name = spare(documents, "judged_text")
+    plain = isinstance(documents.schema["text"].dataType, StringType)
+    name = "text" if plain else spare(documents, "judged_text")
+    source = documents if plain else documents.withColumn(name, F.col("text").cast("string"))
+    at, width = source.columns.index(name), len(documents.columns)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches, name):
-            kept = judged(batch.column(batch.num_columns - 1), shared.value)[:, 0] < 0.5
-            yield batch.select(range(batch.num_columns - 1)).filter(pa.array(kept))
+            kept = judged(batch.column(at), shared.value)[:, 0] < 0.5
+            yield batch.select(range(width)).filter(pa.array(kept))
 
-    return documents.withColumn(name, F.col("text").cast("string")).mapInArrow(passed, documents.schema)
+    return source.mapInArrow(passed, documents.schema)
