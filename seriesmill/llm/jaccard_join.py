@@ -162,10 +162,12 @@ def _ties(texts: DataFrame, forest: Forest, length: int) -> DataFrame:
     """(a, b): pairs that connect all sets that share a prefix of this length and may be similar."""
     prefix = F.shiftrightunsigned("path", STEP * (forest.lengths()[0] - length))
     prefixes = texts.select("id", F.posexplode("paths").alias("tree", "path")).select("id", F.xxhash64("tree", prefix).alias("bucket"))
+    shared = prefixes.groupBy("bucket").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("bucket")
+    held = written(prefixes.join(shared, "bucket"), "buckets")
     # Tries often agree in a bucket's members: each set of members is looked at once.
-    shared = prefixes.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.max("id").alias("last"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")).where("head < last")
-    once = shared.groupBy("n", "head", "last", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "head", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    members = prefixes.join(once, "bucket").join(texts.select("id", "sketch"), "id")
+    alike = held.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("head"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    once = alike.groupBy("n", "head", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "head", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    members = held.join(once, "bucket").join(texts.select("id", "sketch"), "id")
     parted = members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("long"))
     dealt = parted.select("bucket", "part", "parts", "head", "id", "sketch").repartition("bucket", "part").sortWithinPartitions("bucket", "part", "id")
     return dealt.mapInArrow(_tier, "a long, b long")
