@@ -6,7 +6,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +19,7 @@ from .words import U64, column_bytes, mix, slice_hashes
 #: Pieces that one task packs, and how many wait to be placed from the longest to the shortest.
 PIECES_PER_TASK, BUFFER = 100_000, 1_024
 #: Different pre-tokens a Python worker remembers, and bytes of text that it splits at once.
-REMEMBERED, CHUNK = 400_000, 4_000_000
+REMEMBERED, CHUNK = 150_000, 1_000_000
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 4
 
 
@@ -122,14 +122,21 @@ class Tokens:
     """Ids of texts: pre-tokens are found by arithmetic on code points, each different one is encoded once."""
 
     def __init__(self, path: str, end: int):
-        from tokenizers import Tokenizer
+        import json
 
-        self.whole = Tokenizer.from_file(path)
-        self.end = end
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self.end = path, end
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.known: dict[int, bytes] = {}
         self.fast = self._ranks(path)
 
+    @cached_property
+    def whole(self):
+        """The library's tokenizer, for the few texts that need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     @staticmethod
     def _ranks(path: str):
         """An encoder of single pre-tokens over the same vocabulary: it costs a tenth of a library call."""
