@@ -55,10 +55,14 @@ def block_meta(samples: DataFrame, duration: int = TWO_HOURS, chunk: int = 240)
     )
 
 
-def meta_json(meta: DataFrame) -> DataFrame:
-    """(block_start, json): a description of each block, as block_meta gives it."""
+def meta_json(meta: DataFrame, written_ms: int | None = None) -> DataFrame:
+    """(block_start, json): a description of each block, as block_meta gives it; with the time of writing also the block's id."""
     stats = F.struct(F.col("num_samples").alias("numSamples"), F.col("num_series").alias("numSeries"), F.col("num_chunks").alias("numChunks"))
-    return meta.select("block_start", F.to_json(F.struct(F.col("min_time").alias("minTime"), F.col("max_time").alias("maxTime"), stats.alias("stats"), F.lit(1).alias("version"))).alias("json"))
+    parts = [F.col("min_time").alias("minTime"), F.col("max_time").alias("maxTime"), stats.alias("stats"), F.lit(1).alias("version")]
+    if written_ms is not None:
+        seed = F.concat_ws("/", "block_start", "min_time", "max_time", "num_samples", "num_series")
+        parts.insert(0, block_id(F.lit(written_ms), seed).alias("ulid"))
+    return meta.select("block_start", F.to_json(F.struct(*parts)).alias("json"))
 
 
 def outdated(now_ms: int, max_ts: Column, retention_ms: int) -> Column:

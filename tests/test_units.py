@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import time
 
@@ -496,6 +497,13 @@ def test_block_ids_sort_by_time(spark):
     assert got[0] < got[2] < got[1] and all(len(x) == 26 and set(x) <= set(blocks.CROCKFORD) for x in got)
 
 
+def test_blocks_are_described_with_their_id(spark):
+    meta = blocks.block_meta(spark.createDataFrame([(1, 5, 1.0), (1, 25, 1.0)], "series_id long, ts_ms long, value double"), 10)
+    got = [json.loads(r.json) for r in blocks.meta_json(meta, 1_700_000_000_000).orderBy("block_start").collect()]
+    assert [(x["minTime"], x["maxTime"]) for x in got] == [(5, 6), (25, 26)] and got[0]["ulid"] != got[1]["ulid"] and got[0]["ulid"][:10] == got[1]["ulid"][:10]
+    assert "ulid" not in json.loads(blocks.meta_json(meta).first().json)
+
+
 def test_persist_again_after_a_failure(spark, tmp_path):
     heads = spark.createDataFrame([(1, "rotated", False, 90, None, None), (2, "rotated", False, 10, None, None), (3, "rotated", False, 90, 95, None), (4, "persisted", False, 90, None, 20), (5, "active", False, 90, None, None)], "id long, status string, corrupted boolean, max_ts long, tried_ms long, persisted_ms long")
     plan = catalog.persist_plan(heads, 100, 50, 10)
