@@ -725,6 +725,35 @@ def test_the_field_on_held_out_lines():
     assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
 
 
+def test_the_best_segmentation_against_all():
+    field, r = pii.trained(), random.Random(3)
+
+    def every(n):
+        if n == 0:
+            yield []
+        for size in range(1, min(n, pii.LONGEST) + 1):
+            for rest in every(n - size):
+                for y in range(len(pii.LABELS)):
+                    if y or size == 1:
+                        yield [*rest, (n - size, n, y)]
+
+    for _ in range(25):
+        tokens = [t for words_, _ in pii._example(r) for t in words_][:4]
+        scores = field.scores(field.codes(tokens))
+
+        def worth(parts, scores=scores):
+            total, last = 0.0, 0
+            for a, b, y in parts:
+                total += scores[a, b][y] + field.step[last, y]
+                last = y
+            return total
+
+        found = [(a, b, pii.LABELS.index(k)) for a, b, k in field.best(tokens)]
+        inside = {k for a, b, _ in found for k in range(a, b)}
+        whole = sorted(found + [(k, k + 1, 0) for k in range(len(tokens)) if k not in inside])
+        assert worth(whole) == pytest.approx(max(map(worth, every(len(tokens)))))
+
+
 def test_long_and_hostile_texts_of_personal_data():
     field = pii.trained()
     for text in ("@" * 50_000, "1 " * 5_000, "a at b dot c " * 1_000, "+1-" * 40_000, "9" * 100_000, "1.2.3." * 30_000, "[at]" * 30_000):
@@ -941,6 +970,52 @@ def test_deep_tables_keep_their_text():
     assert deep.split() == ["a", "b", "c"]
 
 
+def generated_page(r):
+    """A page and the text that it must give, made side by side: end tags left out, noise, hidden parts."""
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randrange(1, 8)))
+    tag = lambda t: t.upper() if r.random() < 0.2 else t
+    end = lambda t: "" if r.random() < 0.4 else f"</{tag(t)}>"
+    gap = lambda: r.choice(["", " ", "\n", " \n\t "])
+
+    def inline():
+        words, html = [], []
+        for _ in range(r.randrange(1, 6)):
+            w = word()
+            words.append(w)
+            html.append(r.choice([w, f"<b>{w}</b>", f"<a href='x?a>b'>{w}</a>", f"<span class=k>{w}</span>", w + "<!-- no -->", w + "<script>no()</script>", f"&#{ord(w[0])};{w[1:]}"]))
+        return " ".join(words), r.choice([" ", "\n  "]).join(html)
+
+    def block():
+        kind = r.choice(["p", "ul", "ol", "table", "div", "hidden"])
+        if kind == "p":
+            text, html = inline()
+            return text, f"<{tag('p')}>{gap()}{html}{gap()}" + end("p")
+        if kind == "div":
+            text, html = inline()
+            return text, f"<p><div>{html}</div><p>"
+        if kind == "hidden":
+            return None, r.choice([f"<div hidden>{inline()[1]}</div>", f"<p style='display: none'>{inline()[1]}</p>", f"<template>{inline()[1]}</template>", f"<style>.x{{color:red}}</style><div style='visibility:hidden'>{inline()[1]}</div>"])
+        if kind in ("ul", "ol"):
+            rows = [inline() for _ in range(r.randrange(1, 5))]
+            marks = ["* "] * len(rows) if kind == "ul" else [f"{k}. " for k in range(1, len(rows) + 1)]
+            return "\n".join(f"  {m}{t}" for m, (t, _) in zip(marks, rows, strict=True)), f"<{kind}>" + "".join(f"<{tag('li')}>{h}{end('li')}{gap()}" for _, h in rows) + f"</{kind}>"
+        wide = r.randrange(1, 4)
+        rows = [[inline() for _ in range(wide)] for _ in range(r.randrange(1, 4))]
+        widths = [max(len(row[c][0]) for row in rows) for c in range(wide)]
+        lines = ["  ".join(t.ljust(w) for (t, _), w in zip(row, widths, strict=True)).rstrip() for row in rows]
+        return "\n".join(lines), "<table>" + "".join(f"<tr>{gap()}" + "".join(f"<{tag('td')}>{h}{end('td')}" for _, h in row) + end("tr") for row in rows) + "</table>"
+
+    parts = [block() for _ in range(r.randrange(1, 6))]
+    return "<!DOCTYPE html><html><head><title>no</title></head><body>" + gap().join(h for _, h in parts), "\n\n".join(t for t, _ in parts if t is not None)
+
+
+def test_visible_text_of_generated_pages():
+    r = random.Random(21)
+    for _ in range(1500):
+        html, text = generated_page(r)
+        assert html_text.visible_text(html).strip("\n") == text, html
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "<p>a", "u"), (None, None, None), (1, "<p>b", "u")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extract(rows).collect()) == [(0, ""), (1, "a"), (1, "b")]
