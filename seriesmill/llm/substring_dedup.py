@@ -10,9 +10,9 @@ each of them. Equal k-mers have equal anchors, so k-mers meet inside one anchor'
    k-mers are unique.
 2. Equal paths are one node of the compacted graph, with the smallest document that holds it. Where every
    occurrence of a path is followed by the same path, and that one always follows it, the two do not branch;
-   connected components of such pairs, by joins, are maximal nonbranching paths. All of a maximal path is
-   in each of its occurrences, so from here on it is one span, found by its first part (very common ones are
-   joined by broadcast, since there can only be few of those).
+   runs of such pairs are maximal nonbranching paths. All of a maximal path is in each of its occurrences, so
+   it is compacted in the first one, and from here on it is one span, joined to the others by its first part
+   (very common ones by broadcast, since there can only be few of those).
 3. Where an anchor has several different paths (branches, or passages that end), these are read again at their
    source coordinates and opened into single k-mers, which meet in an aggregate and a join on (anchor,
    k-mer digest).
@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .components import connected_components
 from .filters import bitmap, hits, maybe_in
 from .scratch import split_hot_keys, text_chunks, written
 from .words import U64, Words, column_bytes, mix, split_words
@@ -280,16 +279,15 @@ def _units(found: DataFrame) -> DataFrame:
 def _maximal(units: DataFrame) -> DataFrame:
     """(anchor, unit, doc_id, version, start, span, rows) of the first part of each maximal nonbranching path that occurs again.
 
-    In every occurrence of a part all other parts are beside it, so the coordinates of the parts' first
-    occurrences are those of one occurrence of the whole.
+    In every occurrence of a part all other parts are beside it, so the parts' first occurrences are those of
+    one occurrence of the whole, one after another in one document: a run of linked rows there.
     """
-    again = units.where("again")
-    after = again.where("prev is not null").select(F.col("u").alias("v"), F.col("prev").alias("u"))
-    links = again.where("next is not null").select("u", F.col("next").alias("v")).join(after, ["u", "v"])
-    parts = connected_components(links.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    joined = again.join(parts.select(F.col("id").alias("u"), "component"), "u", "left").withColumn("path", F.coalesce("component", "u"))
-    whole = joined.groupBy("path").agg(F.min(F.struct("doc_id", "version", "start", "anchor", "unit", "rows")).alias("head"), F.sum("n").cast("int").alias("span"))
-    return whole.select("head.*", "span")
+    order = Window.partitionBy("doc_id", "version").orderBy("start")
+    rows = units.where("again").withColumn("before", F.lag(F.struct("u", "next", (F.col("start") + F.col("n")).alias("end"))).over(order))
+    linked = (F.col("before.next") == F.col("u")) & (F.col("prev") == F.col("before.u")) & (F.col("before.end") == F.col("start"))
+    runs = rows.withColumn("run", F.sum(F.when(linked, 0).otherwise(1)).over(order))
+    whole = runs.groupBy("doc_id", "version", "run").agg(F.min(F.struct("start", "anchor", "unit", "rows")).alias("head"), F.sum("n").cast("int").alias("span"))
+    return whole.select("head.anchor", "head.unit", "doc_id", "version", "head.start", "span", "head.rows")
 
 
 def _mapped(found: DataFrame, side: DataFrame, total: int) -> DataFrame:
