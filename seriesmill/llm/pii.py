@@ -292,6 +292,8 @@ def added_spans(text: str, base: list[tuple[str, int, int]], field: Field) -> li
                 if m.start() > h:
                     break
                 spots, after = [], 0
+                if h < m.end():  # the other triggers in it would find the same
+                    covered = m.end()
                 continue
             spots.append((m.start(), m.end()))
             triggers = False

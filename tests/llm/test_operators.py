@@ -756,10 +756,10 @@ def test_the_best_segmentation_against_all():
 
 def test_long_and_hostile_texts_of_personal_data():
     field = pii.trained()
-    for text in ("@" * 50_000, "1 " * 5_000, "a at b dot c " * 1_000, "+1-" * 40_000, "9" * 100_000, "1.2.3." * 30_000, "[at]" * 30_000):
+    for text in ("@" * 500_000, "12 " * 5_000, "a at b dot c " * 3_000, "+1-" * 400_000, "9" * 1_000_000, "1.2.3." * 300_000, "[at]" * 300_000):
         began = time.perf_counter()
         pii.added_spans(text, pii.base_spans(text), field)
-        assert time.perf_counter() - began < 60
+        assert time.perf_counter() - began < 20
 
 
 def test_personal_data(spark):
