@@ -36,7 +36,7 @@ def words_of(text: Column) -> Column:
 
 def shingles_of(words: Column, n: int) -> Column:
     """Hashes of all runs of n words, in order."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def bound(value: Column, then: Callable[[Column], Column]) -> Column:
