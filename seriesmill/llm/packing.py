@@ -227,6 +227,7 @@ def _cutter(path: str, end: int, size: int):
                     a, p = b, p + 1
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), batch.column("text_hash").take(take)], schema=schema)
+        tokens.known = {}  # a worker that goes on to other work holds no more than it needs
 
     return cut
 

@@ -43,8 +43,8 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches cut into parts of at most TEXT_ROWS rows and TEXT_BYTES of text (or one row)."""
+def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = TEXT_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches cut into parts of at most so many rows and TEXT_BYTES of text (or one row)."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         sizes = np.zeros(len(texts), np.int64) if not len(texts) else pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -52,7 +52,7 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         at = 0
         while at < batch.num_rows:
             before = ends[at - 1] if at else 0
-            stop = min(at + TEXT_ROWS, max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right"))))
+            stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + TEXT_BYTES, side="right"))))
             yield batch.slice(at, stop - at)
             at = stop
 

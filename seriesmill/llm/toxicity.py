@@ -24,6 +24,8 @@ from .words import U64, Words, column_bytes, mix, slice_hashes, split_words
 #: Rows that the model is fitted on at most, chosen by a hash of their doc_id.
 FIT_ROWS = 6_000
 BITS = 18
+#: Texts whose features are made at once.
+ROWS = 96
 STEMS = (5, 6)
 #: A word or stem that comes so often in a text is a feature of its own.
 REPEATS = (2, 4)
@@ -189,7 +191,7 @@ def fit(x: np.ndarray, at: np.ndarray, grade: np.ndarray, ridge: float = 1e-4, r
 
 
 def _featurizer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_chunks(batches):
+    for batch in text_chunks(batches, rows=ROWS):
         x, at = features(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x))], names=["toxic", "x"])
 
@@ -235,7 +237,7 @@ def severity(documents: DataFrame, model: Model | None) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, rows=ROWS):
             p = judged(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 0] >= 0.5)], names=["doc_id", "severity", "p_toxic", "toxic"])
 
@@ -252,7 +254,7 @@ def not_toxic(documents: DataFrame, model: Model | None) -> DataFrame:
     at, width = source.columns.index(name), len(documents.columns)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches, name):
+        for batch in text_chunks(batches, name, ROWS):
             kept = judged(batch.column(at), shared.value)[:, 0] < 0.5
             yield batch.select(range(width)).filter(pa.array(kept))
 
