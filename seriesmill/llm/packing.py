@@ -19,7 +19,7 @@ from .words import U64, column_bytes, mix, slice_hashes
 #: Pieces that one task packs, and how many wait to be placed from the longest to the shortest.
 PIECES_PER_TASK, BUFFER = 100_000, 1_024
 #: Different pre-tokens a Python worker remembers, and bytes of text that it splits at once.
-REMEMBERED, CHUNK = 150_000, 1_000_000
+REMEMBERED, CHUNK = 300_000, 1_000_000
 LETTER, NUMBER, SPACE, OTHER, UNKNOWN = 0, 1, 2, 3, 4
 
 
