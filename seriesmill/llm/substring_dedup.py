@@ -15,7 +15,8 @@ each of them. Equal k-mers have equal anchors, so k-mers meet inside one anchor'
    (very common ones by broadcast, since there can only be few of those).
 3. Where an anchor has several different paths (branches, or passages that end), these are read again at their
    source coordinates and opened into single k-mers, which meet in an aggregate and a join on (anchor,
-   k-mer digest).
+   k-mer digest). K-mers found so are removed in the path's own smallest document alone, as step 2 removes
+   all of the path elsewhere; so they are joined by path and document.
 4. Spans are mapped back to every coordinate of every path. Before words are removed, the span at each
    coordinate is verified: a second, cryptographic digest of its text must be that of the span at the source
    coordinate.
@@ -253,13 +254,12 @@ def _removal(known: DataFrame, window: int, anchor: int) -> DataFrame:
 
     each = opened.where("kmers is not null").select("anchor", "unit", "low", F.posexplode(F.arrays_zip("kmers", "checks")).alias("place", "k")).select("anchor", "unit", "low", "place", F.col("k.kmers").alias("kmer"), F.col("k.checks").alias("check"))
     earliest = each.groupBy("anchor", "kmer").agg(F.min(F.struct(F.col("low").alias("first"), "check")).alias("e")).select("anchor", "kmer", "e.first", F.col("e.check").alias("source"))
-    partly = each.join(earliest, ["anchor", "kmer"]).where("first < low").groupBy("anchor", "unit").agg(F.first("low").alias("low"), F.collect_set(F.struct("place", "source")).alias("places"))
-    partly = partly.join(units.select("anchor", "unit", "rows"), ["anchor", "unit"])
+    partly = each.join(earliest, ["anchor", "kmer"]).where("first < low").groupBy("anchor", "unit").agg(F.first("low").alias("doc_id"), F.collect_set(F.struct("place", "source")).alias("places"))
     checked = heads.select("anchor", "unit", F.col("doc_id").alias("low"), "span", "rows").join(opened.where("kmers is null").select("anchor", "unit", "check"), ["anchor", "unit"])
 
     spans = _mapped(found, checked, total).where("doc_id > low").select("doc_id", "version", F.struct("start", F.col("span").alias("n"), "check").alias("r"))
     single = F.transform("places", lambda p: F.struct((F.col("start") + p["place"]).alias("start"), F.lit(1).alias("n"), p["source"].alias("check")))
-    singles = _mapped(found, partly, total).where("doc_id = low").select("doc_id", "version", F.explode(single).alias("r"))
+    singles = found.join(partly, ["anchor", "unit", "doc_id"]).select("doc_id", "version", F.explode(single).alias("r"))
     return written(spans.union(singles).groupBy("doc_id", "version").agg(F.collect_set("r").alias("ranges")).withColumn("key", F.xxhash64("doc_id", "version")), "ranges")
 
 

@@ -216,6 +216,20 @@ def test_common_passages_are_split(spark, docs):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.substring_dedup(documents(spark, rows)).collect() if r.doc_id is not None} == brute_removal(rows, 50)
 
 
+@pytest.mark.parametrize("common", [1, 1_000])
+def test_partly_new_paths_are_joined_in_their_own_document(spark, docs, monkeypatch, common):
+    """K-mers that a path's first document shares with others are found by path and document; only whole spans pass the common ones by."""
+    tables = {}
+    monkeypatch.setattr(substring_dedup, "COMMON", common)
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name, f=substring_dedup.written: tables.setdefault(name, df) and f(df, name))
+    passage = [f"c{k}" for k in range(90)]
+    rows = docs + [(4000, " ".join(passage[:57]))] + [(4001 + k, " ".join([f"u{k}", *passage, f"v{k}"])) for k in range(40)]
+    got = substring_dedup.substring_dedup(documents(spark, rows)).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got if r.doc_id is not None} == brute_removal(rows, 50)
+    assert next(r.n_removed for r in got if r.doc_id == 4001) == 57
+    assert tables["ranges"]._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti") == 1
+
+
 def test_maximal_paths(spark):
     """A passage that always comes whole is one path over all of its anchors; where a branch begins, it ends."""
     passage = [f"c{k}" for k in range(400)]
