@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.remote_write import bodies_of
 from .folds import ordered_fold
-from .wal import bodies
+
+
+#: Segments of a range that are counted out at once.
+RUN = 65_536
 
 
 def age_filter(samples: DataFrame, lower: int) -> DataFrame:
@@ -106,7 +110,7 @@ def encode_shards(samples: DataFrame, shards: int) -> DataFrame:
 
     samples(batch, labels, ls_key, ts_ms, value). A series always goes to one shard; send batching bounds a body.
     """
-    return bodies(samples.withColumn("shard", shard_of(F.col("ls_key"), shards)), ["batch", "shard"])
+    return bodies_of(samples.withColumn("shard", shard_of(F.col("ls_key"), shards)), ["batch", "shard"])
 
 
 def worth_sending(messages: DataFrame, lower: int | None = None) -> DataFrame:

@@ -300,7 +300,7 @@ def scrape_errors(spark: SparkSession, d: str) -> DataFrame:
 def remote_write_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Samples to snappy protobuf requests and back."""
     rows = _events(spark, d).join(bridge.event_series(spark, d).select("series_id", "labels", "ls_key"), "series_id")
-    back = remote_write.decode_payloads(remote_write.encode_payloads(remote_write.requests_of(rows, 100)))
+    back = remote_write.decode_chunks(remote_write.encode_payloads(remote_write.requests_of(rows, 100)))
     return remote_write.samples_of(back).select(canonical(F.col("labels")).alias("ls_key"), "ts_ms", "value")
 
 

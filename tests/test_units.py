@@ -436,6 +436,30 @@ class TestLog:
         none = self.log(spark).limit(0)
         assert wal.load_head(none).samples.count() == 0 and wal.shard_states(none, 0).count() == 0
         assert wal.notified(wal.flushed(spark.createDataFrame([], "shard int, segment long, ok boolean"))).first().segment is None
+    def test_a_large_body_is_made_and_read_in_chunks(self, spark, monkeypatch):
+        monkeypatch.setattr(remote_write, "CHUNK", 50)
+        sizes = {k: 1 + k * 7 % 90 for k in range(40)}
+        rows = self.rows(spark, *((k % 2, 0, {"__name__": "m", "s": str(k)}, j, float(k)) for k, n in sizes.items() for j in range(n)))
+        made = remote_write._pieces(rows.withColumn("part", F.lit(0)).withColumn("labels", F.expr("transform(map_entries(labels), e -> struct(e.key as name, e.value as value))")).coalesce(1).sortWithinPartitions("shard", "ls_key", "ts_ms"), ["shard"])
+        assert made.count() > 10 and made.agg(F.max("samples")).first()[0] < 50 + 90
+        log = wal.encode_segments(rows).cache()
+        assert {(r.shard, r.samples) for r in log.collect()} == {(s, sum(n for k, n in sizes.items() if k % 2 == s)) for s in (0, 1)}
+        for r in log.collect():
+            got = remote_write.decode(r.payload)["series"]
+            assert sorted(len(x["samples"]) for x in got) == sorted(n for k, n in sizes.items() if k % 2 == r.shard)
+        payloads = log.select(F.col("shard").alias("payload_id"), F.col("payload").alias("body"))
+        for r in log.collect():
+            chunks = remote_write.Requests(limits.Limits()).chunks(r.payload)
+            assert len(chunks) > 5 and max(sum(len(x["samples"]) for x in c.to_pylist()[0]) for c in chunks) < 50 + 90
+        want = sorted((r.shard, r.ls_key, r.ts_ms, r.value) for r in rows.collect())
+        assert sorted((r.shard, r.ls_key, r.ts_ms, r.value) for r in wal.decode_segments(log).collect()) == want
+        assert remote_write.decode_chunks(payloads, limits.Limits(samples=100)).count() == 0
+
+    def test_payloads_are_not_sent_to_the_shards(self, spark):
+        rows = spark.createDataFrame([("h", 0, 0, 1, 0, b"x")], "head string, shard int, segment long, samples long, crc long, payload binary")
+        plan = wal.valid_lengths(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert "payload" not in plan[: plan.index("Window")] and "payload" not in plan[plan.index("Window") :].split("\n")[0]
+
 
     def test_bodies_are_never_empty(self, spark):
         sent = delivery.encode_shards(self.rows(spark, (0, 0, {"a": "b"}, 5, 1.0)).withColumn("batch", F.lit(1)), 4)
