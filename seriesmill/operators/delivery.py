@@ -54,10 +54,19 @@ def pending_segments(acked: DataFrame, written: DataFrame, rejects: DataFrame, f
     """(dest, shard, segment) still to be sent: after the last acknowledged one up to the last written one, and rejected ones; not for what is finished.
 
     acked(dest, shard, last_segment; null: none yet), written(shard, max_segment), rejects(dest, shard, segment), finished(dest, shard).
+
+    What is due of a shard is one range, whose runs of RUN segments are dealt to tasks and counted out there; only
+    rejects are made distinct, and those within a range are in it already.
     """
     first = F.coalesce(F.col("last_segment") + 1, F.lit(0))
-    due = acked.join(written, "shard").where(first <= F.col("max_segment")).select("dest", "shard", F.explode(F.sequence(first, F.col("max_segment"))).alias("segment"))
-    return due.unionByName(rejects.select("dest", "shard", "segment")).distinct().join(finished.select("dest", "shard").distinct(), ["dest", "shard"], "left_anti")
+    done = finished.select("dest", "shard").distinct()
+    ranges = acked.join(written, "shard").where(first <= F.col("max_segment")).groupBy("dest", "shard").agg(F.min(first).alias("first"), F.max("max_segment").alias("last")).join(done, ["dest", "shard"], "left_anti")
+    runs = ranges.select("dest", "shard", "last", F.explode(F.sequence("first", "last", F.lit(RUN))).alias("low"))
+    tasks = int(acked.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number of its own: runs are small rows, which would be put into one task
+    due = runs.repartition(tasks, "dest", "shard", "low").select("dest", "shard", F.explode(F.sequence("low", F.least(F.col("low") + RUN - 1, "last"))).alias("segment"))
+    others = rejects.select("dest", "shard", "segment").distinct().join(done, ["dest", "shard"], "left_anti").join(ranges, ["dest", "shard"], "left")
+    within = F.coalesce(F.col("segment").between(F.col("first"), F.col("last")), F.lit(False))
+    return due.unionByName(others.where(~within).select("dest", "shard", "segment"))
 
 
 def ack_status(acked: DataFrame) -> DataFrame:

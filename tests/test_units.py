@@ -361,6 +361,16 @@ class TestDelivery:
             if len(calls) < 3:
                 raise ConnectionError
 
+    def test_pending_ranges_are_counted_out_in_runs(self, spark, monkeypatch):
+        monkeypatch.setattr(delivery, "RUN", 7)
+        acked = spark.createDataFrame([("d", 0, 4), ("d", 0, 9), ("e", 0, 99), ("e", 1, None)], "dest string, shard int, last_segment long")
+        written = spark.createDataFrame([(0, 99), (1, 7)], "shard int, max_segment long")
+        rejects = spark.createDataFrame([("d", 0, 2), ("d", 0, 2), ("d", 0, 50), ("f", 3, 8)], "dest string, shard int, segment long")
+        finished = spark.createDataFrame([("x", 1)], "dest string, shard int")
+        pending = delivery.pending_segments(acked, written, rejects, finished)
+        assert sorted(map(tuple, pending.collect())) == sorted([("d", 0, 2), ("f", 3, 8), *(("d", 0, k) for k in range(5, 100)), *(("e", 1, k) for k in range(8))])
+        assert pending.where("segment between 5 and 99 and dest = 'd'").select(F.spark_partition_id()).distinct().count() > 1
+
         stateful.deliver(spark.range(1), 7, send, wait_s=0)
         assert calls == [7, 7, 7]
         with pytest.raises(ConnectionError):
