@@ -18,8 +18,9 @@ from .remote_write import read_varint, varint
 
 MARK = 0xA5
 KINDS = ("segment", "response", "end")
-#: Rows in a batch of decoded frames.
+#: Rows in a batch of frames, and bytes beyond which it ends.
 ROWS = 256
+BYTES = 4 << 20
 FRAME = pa.struct([("position", pa.int64()), ("version", pa.int32()), ("kind", pa.string()), ("head", pa.string()), ("shard", pa.int32()), ("segment", pa.int64()), ("samples", pa.int64()), ("payload", pa.binary()), ("corrupted", pa.bool_())])
 SCHEMA = "position long, version int, kind string, head string, shard int, segment long, samples long, payload binary, corrupted boolean"
 
@@ -66,9 +67,14 @@ def encode_frames(segments: DataFrame, version: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("head", "shard", "segment", "samples", "payload")), strict=True)
-            frames = [encode("segment", h, s, k, n, p or b"", version) for h, s, k, n, p in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(frames, pa.binary())], names=["head", "shard", "segment", "frame"])
+            at, frames, size = 0, [], 0
+            rows = zip(*(batch.column(c).to_pylist() for c in ("head", "shard", "segment", "samples")), batch.column("payload"), strict=True)
+            for i, (h, s, k, n, p) in enumerate(rows, 1):
+                frames.append(encode("segment", h, s, k, n, p.as_py() or b"", version))
+                size += len(frames[-1])
+                if i == batch.num_rows or size >= BYTES:
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, i - at) for c in range(3)), pa.array(frames, pa.binary())], names=["head", "shard", "segment", "frame"])
+                    at, frames, size = i, [], 0
 
     return segments.select("head", "shard", "segment", "samples", "payload").mapInArrow(run, "head string, shard int, segment long, frame binary")
 
@@ -84,11 +90,13 @@ def decode_frames(received: DataFrame) -> DataFrame:
         for batch in batches:
             for source, data in zip(batch.column("source"), batch.column("bytes"), strict=True):
                 rows: list[tuple] = []
+                size = 0
                 for row in decode(data.as_py() or b""):
                     rows.append(row)
-                    if len(rows) == ROWS:
+                    size += len(row[7] or b"")
+                    if len(rows) == ROWS or size >= BYTES:
                         yield _rows(source, rows)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield _rows(source, rows)
 
